@@ -23,6 +23,10 @@ _FOLD[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
+#: All ASCII but letters and digits.
+NOT_ALNUM = np.ones(256, dtype=bool)
+NOT_ALNUM[128:] = NOT_ALNUM[48:58] = NOT_ALNUM[65:91] = NOT_ALNUM[97:123] = False
+
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n+1 offsets of a string or binary column; null counts as empty."""
@@ -56,15 +60,15 @@ def blocks(buf: np.ndarray, offs: np.ndarray, limit: int = BLOCK_BYTES) -> Itera
 
 
 class Words:
-    """Words (maximal runs of non-white-space bytes) of a block of documents.
+    """Words of a block of documents: maximal runs of bytes outside ``apart`` (white space).
 
     start, end: byte positions in the block; first: n_docs+1 positions of each document's words.
     """
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray, fold: bool = True):
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, fold: bool = True, apart: np.ndarray = _SPACE):
         self.buf = _FOLD[buf] if fold else buf
         self.raw, self.offs = buf, offs
-        solid = ~_SPACE[buf]
+        solid = ~apart[buf]
         begin = solid.copy()
         begin[1:] &= ~solid[:-1]
         stop = np.zeros(len(buf) + 1, dtype=bool)
