@@ -3,8 +3,8 @@
 Input of a step is one word (a run of letters and digits): a hashed word vector next to the mean of its hashed character grams, so
 unseen words are read by their spelling.  A text is cut into overlapping windows of WINDOW words, one
 every STRIDE words, down to its last word; two GRUs read each window in both directions, every position
-gets an attention weight and a vote, and the window's logit is the weighted vote.  A document's score is
-that of its most toxic window.
+gets an attention weight and a vote, and the window's logit is the weighted vote.  A document's score weighs
+its most toxic window and the most toxic one that does not overlap it.
 
 Labels are per document, so training chooses windows: of a toxic document the one that looks most toxic to
 the model so far, of a clean one random ones and the two worst.  Per round all windows of the training texts
@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 
 from spindrift.llm import shared, textkit
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 48, 36
 HIDDEN, EMBED = 8, 8
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 16, 1 << 15
 #: Words and grams in fewer training documents than this have no vector of their own.
-LEAST_DOCS = 3
+LEAST_DOCS = 5
+PRIOR_DOCS = 8.0
 PER_CLASS = 1200
 ROUNDS = 8
 
@@ -67,6 +68,13 @@ class Vocabulary:
     def __len__(self) -> int:
         return len(self.word)
 
+    def odds(self, words: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """Per word: its own log odds, the mean and the maximum of its grams'."""
+        if not len(self):
+            return np.zeros((0, 3), np.float32)
+        own = grams[self.grams]
+        return np.stack([words[self.word], np.add.reduceat(own, self.first[:-1]) / np.diff(self.first), np.maximum.reduceat(own, self.first[:-1])], 1).astype(np.float32)
+
     def mean(self, table: np.ndarray) -> np.ndarray:
         """Mean of the grams' rows per word."""
         if not len(self):
@@ -99,7 +107,7 @@ def new_model(seed: int = 11) -> dict[str, np.ndarray]:
     normal = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
     model = {"word": normal(WORD_BUCKETS, EMBED, scale=0.05), "gram": normal(GRAM_BUCKETS, EMBED, scale=0.05)}
     for d in "fb":
-        model["w" + d] = normal(2 * EMBED, 3 * HIDDEN, scale=0.3)
+        model["w" + d] = normal(2 * EMBED + 3, 3 * HIDDEN, scale=0.3)
         model["u" + d] = normal(HIDDEN, 3 * HIDDEN, scale=0.3)
         model["c" + d] = np.zeros(3 * HIDDEN, np.float32)
         model["v" + d] = normal(HIDDEN, 2, scale=0.5)  # attention and vote
@@ -108,7 +116,8 @@ def new_model(seed: int = 11) -> dict[str, np.ndarray]:
 
 
 def inputs(model: dict, vocabulary: Vocabulary) -> np.ndarray:
-    return np.concatenate([model["word"][vocabulary.word], vocabulary.mean(model["gram"])], axis=1)
+    """Per word: its vector, the mean vector of its grams, and three fixed log odds."""
+    return np.concatenate([model["word"][vocabulary.word], vocabulary.mean(model["gram"]), vocabulary.odds(model["word_odds"], model["gram_odds"])], axis=1)
 
 
 def _gates(model: dict, x: np.ndarray) -> dict[str, np.ndarray]:
@@ -156,18 +165,20 @@ def logits(model: dict, gates: dict, index: np.ndarray, chunk: int = 2048) -> np
     return out
 
 
-def _learn(model: dict, vocabulary: Vocabulary, index: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradient of the weighted log loss over a batch of windows."""
+def _learn(model: dict, vocabulary: Vocabulary, odds: np.ndarray, index: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradient of the weighted log loss over a batch of windows; odds: per label and word."""
     n_words, B = len(vocabulary), index.shape[1]
-    used, local = np.unique(index[index < n_words], return_inverse=True)
+    there = index < n_words
+    pairs, local = np.unique((index + y.astype(np.int64) * n_words)[there], return_inverse=True)
+    used, side = pairs % n_words, pairs // n_words
     place = np.full(index.shape, len(used))
-    place[index < n_words] = local
+    place[there] = local
     counts = np.diff(vocabulary.first)[used]
     begin = np.concatenate(([0], np.cumsum(counts)))
     gram_at = np.repeat(vocabulary.first[used] - begin[:-1], counts) + np.arange(begin[-1])
     grams = vocabulary.grams[gram_at]
-    x = np.concatenate([model["word"][vocabulary.word[used]], np.add.reduceat(model["gram"][grams], begin[:-1], axis=0) / counts[:, None].astype(np.float32)], axis=1)
-    x = np.concatenate([x, np.zeros((1, 2 * EMBED), np.float32)])
+    x = np.concatenate([model["word"][vocabulary.word[used]], np.add.reduceat(model["gram"][grams], begin[:-1], axis=0) / counts[:, None].astype(np.float32), odds[side, used]], axis=1)
+    x = np.concatenate([x, np.zeros((1, x.shape[1]), np.float32)])
     mask = (place < len(used)).astype(np.float32)[:, :, None]
     tape, total = {}, np.zeros((WINDOW, B, 2), np.float32)
     for d, order in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
@@ -189,7 +200,7 @@ def _learn(model: dict, vocabulary: Vocabulary, index: np.ndarray, y: np.ndarray
     vote = (attention * total[:, :, 1]).sum(0)
     out = vote + model["bias"][0]
     slope = weight * (1 / (1 + np.exp(-out)) - y)
-    grad = {k: np.zeros_like(v) for k, v in model.items()}
+    grad = {k: np.zeros_like(v) for k, v in model.items() if not k.endswith("odds")}
     grad["bias"][0] = slope.sum()
     dtotal = np.empty_like(total)
     dtotal[:, :, 1] = attention * slope
@@ -214,12 +225,15 @@ def _learn(model: dict, vocabulary: Vocabulary, index: np.ndarray, y: np.ndarray
         grad["w" + d] += x.T @ dg
         dx += dg @ model["w" + d].T
     np.add.at(grad["word"], vocabulary.word[used], dx[:-1, :EMBED])
-    np.add.at(grad["gram"], grams, np.repeat(dx[:-1, EMBED:] / counts[:, None].astype(np.float32), counts, axis=0))
+    np.add.at(grad["gram"], grams, np.repeat(dx[:-1, EMBED : 2 * EMBED] / counts[:, None].astype(np.float32), counts, axis=0))
     return grad
 
 
-def fit(buf: np.ndarray, offs: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, seed: int = 5) -> dict[str, np.ndarray]:
-    """A calibrated model from whole labelled texts (bytes and offsets)."""
+def fit(buf: np.ndarray, offs: np.ndarray, label: np.ndarray, share: float | None = None, rounds: int = ROUNDS, seed: int = 5) -> dict[str, np.ndarray]:
+    """A calibrated model from whole labelled texts (bytes and offsets).
+
+    ``share``: of toxic documents among all labelled ones, if the texts were not drawn in proportion.
+    """
     model = new_model()
     label = np.asarray(label, float)
     n_docs = len(label)
@@ -236,16 +250,19 @@ def fit(buf: np.ndarray, offs: np.ndarray, label: np.ndarray, rounds: int = ROUN
     shown = ~spare[words.docs()]
     seen = vocabulary.codes[shown]
     owner = words.docs()[shown]
-    odds, known = _log_odds(vocabulary.word[seen], owner, label, WORD_BUCKETS)
-    spelled, spelt = _log_odds(vocabulary.grams[_ranges(vocabulary, seen)], np.repeat(owner, np.diff(vocabulary.first)[seen]), label, GRAM_BUCKETS)
+    grams = vocabulary.grams[_ranges(vocabulary, seen)]
+    word_odds, known = _log_odds(vocabulary.word[seen], owner, label, WORD_BUCKETS)
+    gram_odds, spelt = _log_odds(grams, np.repeat(owner, np.diff(vocabulary.first)[seen]), label, GRAM_BUCKETS)
+    model["word_odds"], model["gram_odds"] = word_odds[2], gram_odds[2]
     mask = {"word": known[:, None].astype(np.float32), "gram": spelt[:, None].astype(np.float32)}
-    model["word"][:, 0] = odds * 0.4
-    model["gram"][:, 0] = spelled * 0.4
     for k, m in mask.items():
         model[k] *= m
-    hint = np.append(odds[vocabulary.word] + 2 * vocabulary.mean(spelled[:, None].astype(np.float32))[:, 0], -9.0) if len(vocabulary) else np.array([-9.0])
-    score = np.sort(hint[index], axis=0)[-2:].sum(0)
-    moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.items()}
+    # A training document sees odds that leave one document of its label out; others see all.
+    odds = np.stack([vocabulary.odds(word_odds[k], gram_odds[k]) for k in (0, 1, 2)])
+    view = np.where(spare, 2, label > 0)
+    hint = np.concatenate([odds[:, :, 0] + odds[:, :, 1], np.full((3, 1), -9.0)], 1)
+    score = np.sort(hint[view[doc][None, :], index], axis=0)[-2:].sum(0)
+    moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.items() if not k.endswith("odds")}
     step, many = 0, np.bincount(doc, minlength=n_docs)
     for _ in range(rounds):
         rank = np.lexsort((-score, doc))
@@ -264,25 +281,38 @@ def fit(buf: np.ndarray, offs: np.ndarray, label: np.ndarray, rounds: int = ROUN
                 part = pick[order[lo : lo + 96]]
                 shown_index = np.where(rng.random(index[:, part].shape) < 0.1, len(vocabulary), index[:, part])
                 shown_index[0] = index[0, part]
-                grad = _learn(model, vocabulary, shown_index, label[doc[part]].astype(np.float32), (balance[order[lo : lo + 96]] / len(part)).astype(np.float32))
+                grad = _learn(model, vocabulary, odds, shown_index, label[doc[part]].astype(np.float32), (balance[order[lo : lo + 96]] / len(part)).astype(np.float32))
                 step += 1
                 rate = 0.01 * min(1.0, step / 30)
                 for k, g in grad.items():
                     m, v = moment[k]
                     m += 0.1 * (g - m)
                     v += 0.01 * (g * g - v)
-                    slower = 0.2 if k in mask else 1.0
+                    slower = 0.05 if k in mask else 1.0
                     model[k] -= rate * slower * (m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.99**step)) + 1e-4)) + rate * 1e-3 * model[k]
                     if k in mask:
                         model[k] *= mask[k]
-        score = logits(model, _gates(model, inputs(model, vocabulary)), index)
-    top = np.full(n_docs, -1e9)
-    np.maximum.at(top, doc, score)
+        base = inputs(model, vocabulary)
+        for k in (0, 1, 2):
+            base[:, -3:] = odds[k]
+            mine = np.flatnonzero(view[doc] == k)
+            score[mine] = logits(model, _gates(model, base), index[:, mine])
     judged = spare if spare.any() else np.ones(n_docs, bool)
-    model["calibration"] = _calibrate(top[judged], label[judged])
+    model["calibration"] = _calibrate(evidence(doc, score, n_docs)[judged], label[judged], share)
     return model
 
 
+def evidence(doc: np.ndarray, score: np.ndarray, n_docs: int) -> np.ndarray:
+    """Per document: logit of the worst window, of the worst one that does not overlap it (else 0), whether there is one, 1."""
+    rank = np.lexsort((-score, doc))
+    lead = rank[np.searchsorted(doc[rank], np.arange(n_docs))]
+    apart = np.abs(np.arange(len(doc)) - lead[doc]) >= 2
+    second = np.full(n_docs, -1e9)
+    np.maximum.at(second, doc[apart], score[apart])
+    there = second > -1e8
+    return np.stack([score[lead], np.where(there, second, 0.0), there, np.ones(n_docs)], 1)
+
+
 def _ranges(vocabulary: Vocabulary, codes: np.ndarray) -> np.ndarray:
     counts = np.diff(vocabulary.first)[codes]
     begin = np.concatenate(([0], np.cumsum(counts)))
@@ -290,26 +320,37 @@ def _ranges(vocabulary: Vocabulary, codes: np.ndarray) -> np.ndarray:
 
 
 def _log_odds(item: np.ndarray, doc: np.ndarray, label: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """log P(item in a toxic document) / P(item in a clean one), smoothed and clipped; which items are known."""
+    """How the log odds of a toxic document change with the item, shrunk by PRIOR_DOCS average documents:
+    without one clean document, without one toxic document, with all; and which items are known."""
     pair = np.unique(doc.astype(np.int64) * size + item)
     owner, item = pair // size, pair % size
     there = [np.bincount(item[label[owner] == c], minlength=size) for c in (0, 1)]
-    rate = [(t + 1.0) / ((label == c).sum() + 2.0) for c, t in enumerate(there)]
     known = there[0] + there[1] >= LEAST_DOCS
-    return np.where(known, np.clip(np.log(rate[1] / rate[0]), -4, 4), 0.0).astype(np.float32), known
+    base = label[np.unique(owner)].mean()
+    out = []
+    for less in (0, 1, None):
+        neg, pos = (np.maximum(there[c] - (less == c), 0) for c in (0, 1))
+        share = (pos + PRIOR_DOCS * base) / (neg + pos + PRIOR_DOCS)
+        out.append(np.where(known, np.clip(np.log(share / (1 - share)) - np.log(base / (1 - base)), -4, 4), 0.0))
+    return np.array(out, np.float32), known
+
+
+_PRIOR = np.array([0.7, 0.2, 0.0, 0.0])
 
 
-def _calibrate(top: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """(slope, offset) of a sigmoid over the worst window's logit, by Newton steps on log loss."""
+def _calibrate(x: np.ndarray, label: np.ndarray, share: float | None) -> np.ndarray:
+    """Weights of a sigmoid over a document's evidence, by Newton steps on log loss at the given share of toxic ones."""
     pos, neg = (label > 0).sum(), (label == 0).sum()
-    x, ab = np.stack([top, np.ones(len(top))], 1), np.array([0.7, 0.0])
+    share = pos / (pos + neg) if share is None else min(max(share, 1e-3), 1 - 1e-3)
+    weight = np.where(label > 0, share / max(1, pos), (1 - share) / max(1, neg))
+    w = _PRIOR.copy()
     target = np.where(label > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ ab, -30, 30)))
-        g = x.T @ (p - target) / len(top) + 1e-2 * (ab - [0.7, 0.0])
-        h = (x * (p * (1 - p))[:, None]).T @ x / len(top) + 1e-2 * np.eye(2)
-        ab = ab - np.clip(np.linalg.solve(h, g), -0.5, 0.5)
-    return np.array([max(ab[0], 0.05), ab[1]])
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (weight * (p - target)) + 3e-3 * (w - _PRIOR)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 3e-3 * np.eye(4)
+        w = w - np.clip(np.linalg.solve(h, g), -0.5, 0.5)
+    return np.maximum(w, [0.05, 0.0, -99.0, -99.0])
 
 
 def score_block(model: dict, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -321,24 +362,25 @@ def score_block(model: dict, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     vocabulary = Vocabulary(words)
     doc, start, size = windows(words.first)
     gates = _gates(model, inputs(model, vocabulary))
-    top = np.full(n_docs, -1e9)
-    for lo in range(0, len(doc), 16384):
-        index = window_index(vocabulary.codes, start[lo : lo + 16384], size[lo : lo + 16384], len(vocabulary))
-        np.maximum.at(top, doc[lo : lo + 16384], logits(model, gates, index))
-    slope, offset = model["calibration"]
-    return 1 / (1 + np.exp(-np.clip(slope * top + offset, -30, 30)))
+    score = np.concatenate([
+        logits(model, gates, window_index(vocabulary.codes, start[lo : lo + 16384], size[lo : lo + 16384], len(vocabulary)))
+        for lo in range(0, len(doc), 16384)
+    ])
+    return 1 / (1 + np.exp(-np.clip(evidence(doc, score, n_docs) @ model["calibration"], -30, 30)))
 
 
 # --- Spark ------------------------------------------------------------------------------------
 
 def train(docs: DataFrame, labelled: DataFrame, label: str = "toxic", per_class: int = PER_CLASS):
     """Fits on at most ``per_class`` labelled documents of each kind, whole texts."""
-    chosen = shared.bounded_sample(labelled.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")), "y", "doc_id", per_class)
+    known = labelled.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
+    chosen = shared.bounded_sample(known, "y", "doc_id", per_class)
+    share = known.agg(F.avg((F.col("y") > 0).cast("double"))).first()[0]
     # At most 2 * per_class rows, so the broadcast and what reaches the driver are bounded.
     table = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toArrow()
     order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
     buf, offs = textkit.text_buffers(table.take(pa.array(order)).column("text"))
-    return docs.sparkSession.sparkContext.broadcast(fit(buf, offs, table.column("y").to_numpy()[order]))
+    return docs.sparkSession.sparkContext.broadcast(fit(buf, offs, table.column("y").to_numpy()[order], share))
 
 
 def score(docs: DataFrame, model, keep: list[str], threshold: float = 0.3) -> DataFrame:
