@@ -63,8 +63,8 @@ def line_role(text: Column) -> Column:
     )
 
 
-#: Quoted strings, written as an unrolled loop so that long ones need no stack.
-LITERAL = r"""'[^'\\]*(?:\\.[^'\\]*)*'|"[^"\\]*(?:\\.[^"\\]*)*\""""
+#: Quoted strings.  Possessive loops run without recursion, so long strings need no stack.
+LITERAL = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+\""""
 MESSAGES = {
     "long_line": ("info", "More than 120 characters in one line."),
     "todo": ("info", "Open TODO or FIXME."),
