@@ -171,15 +171,24 @@ def _salted(rows: DataFrame, groups: DataFrame, hot: list, parts: int, how: str
     return left.join(right, ["digest", "__salt"], how).drop("__salt")
 
 
-def differing(docs: DataFrame, groups: DataFrame, hot: list, parts: int) -> DataFrame:
-    """Rows whose bytes differ from those of their group's representative: (digest, doc_id, folded).
+def uneven(docs: DataFrame, groups: DataFrame, hot: list, parts: int) -> DataFrame:
+    """Digests whose documents are not all the same bytes.
 
-    Only documents of groups of two and more take part; their texts meet the representative's, hot
-    groups spread out.
+    Texts meet their group once, and a group whose smallest and largest text agree is even; both are
+    partial aggregates, so copies do not travel again.
     """
     several = groups.where("group_size > 1").select("digest", "keep_id")
     texts = digests(docs.select("doc_id", "text"), ["doc_id"], folded=True).drop("n_bytes")
     members = _salted(texts, several, hot, parts)
+    ends = members.groupBy("digest").agg(F.min("folded").alias("least"), F.max("folded").alias("most"))
+    return ends.where("least <> most").select("digest")
+
+
+def differing(docs: DataFrame, groups: DataFrame, hot: list, parts: int, odd: DataFrame) -> DataFrame:
+    """Rows of the ``odd`` digests whose bytes differ from those of their group's representative: (digest, doc_id, folded)."""
+    several = groups.join(odd, "digest", "left_semi").select("digest", "keep_id")
+    texts = digests(docs.select("doc_id", "text"), ["doc_id"], folded=True).drop("n_bytes")
+    members = _salted(texts, several, hot, parts)
     # One representative a group: of equal ids, either serves, as only equality of the whole group matters.
     heads = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.first("folded").alias("head"))
     return _salted(members.drop("keep_id"), heads, hot, parts).where("folded <> head").select("digest", "doc_id", "folded")
@@ -193,9 +202,9 @@ def dedup(docs: DataFrame, arriving, byte_check: bool = True) -> DataFrame:
     parts = 32
     joined = _salted(rows.drop("n_bytes"), groups, hot, parts)
     if byte_check:
-        odd = shared.materialize(differing(docs, groups, hot, parts))
+        odd = shared.materialize(uneven(docs, groups, hot, parts))
         if not odd.isEmpty():
-            joined = _split(joined, odd)
+            joined = _split(joined, shared.materialize(differing(docs, groups, hot, parts, odd)))
     tie = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     # Several rows may carry the largest id: the first of them in a fixed order is the one kept.
     twins = joined.where(tie).groupBy("digest", "keep_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
