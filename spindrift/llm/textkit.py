@@ -93,13 +93,23 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
     def hashes(self) -> np.ndarray:
-        """64-bit hash of each (folded) word: a polynomial in the bytes, read off one prefix sum."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        up, down = powers(len(self.buf) + 1)
-        pre = np.zeros(len(self.buf) + 1, np.uint64)
-        np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * up[: len(self.buf)], out=pre[1:])
-        return mix64((pre[self.end] - pre[self.start]) * down[self.start])
+        """64-bit hash of each (folded) word: a polynomial in the bytes, read off prefix sums.
+
+        Stretches of about BLOCK_BYTES are summed at a time, which bounds the scratch memory.
+        """
+        n, lo = len(self.start), 0
+        out = np.zeros(n, np.uint64)
+        while lo < n:
+            a = self.start[lo]
+            hi = max(lo + 1, int(np.searchsorted(self.end, a + BLOCK_BYTES, side="right")))
+            part = self.buf[a : self.end[hi - 1]]
+            up, down = powers(len(part) + 1)
+            pre = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=pre[1:])
+            begin = self.start[lo:hi] - a
+            out[lo:hi] = mix64((pre[self.end[lo:hi] - a] - pre[begin]) * down[begin])
+            lo = hi
+        return out
 
 
 _UP, _DOWN = np.ones(1, np.uint64), np.ones(1, np.uint64)

@@ -51,19 +51,24 @@ class Vocabulary:
         start, end = words.start[first], words.end[first]
         self.codes = codes.astype(np.int64)
         self.word = (unique.astype(np.uint64) >> np.uint64(20)).astype(np.int64) & (WORD_BUCKETS - 1)
+        length = end - start
+        self.first = np.concatenate(([0], np.cumsum(2 * length)))
+        self.grams = np.empty(self.first[-1], np.int32)
+        for lo in range(0, len(unique), 16384):  # bounds the scratch memory
+            some = slice(lo, lo + 16384)
+            self.grams[self.first[lo] : self.first[min(lo + 16384, len(unique))]] = self._spell(words.buf, start[some], end[some])
+
+    @staticmethod
+    def _spell(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         length = end - start
         at = np.repeat(start - np.concatenate(([0], np.cumsum(length)))[:-1], length) + np.arange(length.sum())
-        lead = np.repeat(start, length)
-        stop = np.repeat(end, length)
-        # The words' bytes with an edge on both sides; positions count from the edge.
-        buf = words.buf.astype(np.uint64)
-        byte = lambda k: np.where((at + k >= lead) & (at + k < stop), buf[np.clip(at + k, 0, max(0, len(buf) - 1))], np.uint64(1)) if len(buf) else at.astype(np.uint64)
-        middle = byte(0) << np.uint64(8)
-        tri = byte(-1) << np.uint64(16) | middle | byte(1)
+        lead, stop = np.repeat(start, length), np.repeat(end, length)
+        # A word's bytes with an edge on both sides.
+        byte = lambda k: np.where((at + k >= lead) & (at + k < stop), buf[np.clip(at + k, 0, len(buf) - 1)], 1).astype(np.uint64)
+        tri = byte(-1) << np.uint64(16) | byte(0) << np.uint64(8) | byte(1)
         five = tri << np.uint64(16) | byte(2) << np.uint64(8) | byte(3)
         grams = np.stack([textkit.mix64(tri), textkit.mix64(five + np.uint64(1 << 60))], 1)
-        self.grams = (grams.reshape(-1) & np.uint64(GRAM_BUCKETS - 1)).astype(np.int64)
-        self.first = np.concatenate(([0], np.cumsum(2 * length)))
+        return (grams.reshape(-1) & np.uint64(GRAM_BUCKETS - 1)).astype(np.int32)
 
     def __len__(self) -> int:
         return len(self.word)
@@ -72,14 +77,19 @@ class Vocabulary:
         """Per word: its own log odds, the mean and the maximum of its grams'."""
         if not len(self):
             return np.zeros((0, 3), np.float32)
-        own = grams[self.grams]
+        own = grams[self.grams].astype(np.float32)
         return np.stack([words[self.word], np.add.reduceat(own, self.first[:-1]) / np.diff(self.first), np.maximum.reduceat(own, self.first[:-1])], 1).astype(np.float32)
 
     def mean(self, table: np.ndarray) -> np.ndarray:
         """Mean of the grams' rows per word."""
         if not len(self):
             return np.zeros((0, table.shape[1]), table.dtype)
-        return np.add.reduceat(table[self.grams], self.first[:-1], axis=0) / np.diff(self.first)[:, None].astype(table.dtype)
+        out = np.empty((len(self), table.shape[1]), table.dtype)
+        for lo in range(0, len(self), 16384):  # bounds the gathered rows
+            first = self.first[lo : lo + 16385]
+            rows = table[self.grams[first[0] : first[-1]]]
+            out[lo : lo + 16384] = np.add.reduceat(rows, first[:-1] - first[0], axis=0) / np.diff(first)[:, None].astype(table.dtype)
+        return out
 
 
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,12 +257,16 @@ def fit(buf: np.ndarray, offs: np.ndarray, label: np.ndarray, share: float | Non
     index = window_index(vocabulary.codes, start, size, len(vocabulary))
     # With enough of both labels a quarter of the documents is kept for the calibration.
     spare = (np.arange(n_docs) % 4 == 3) & (min((label > 0).sum(), (label == 0).sum()) >= 80)
-    shown = ~spare[words.docs()]
-    seen = vocabulary.codes[shown]
-    owner = words.docs()[shown]
-    grams = vocabulary.grams[_ranges(vocabulary, seen)]
-    word_odds, known = _log_odds(vocabulary.word[seen], owner, label, WORD_BUCKETS)
-    gram_odds, spelt = _log_odds(grams, np.repeat(owner, np.diff(vocabulary.first)[seen]), label, GRAM_BUCKETS)
+    shown = np.flatnonzero(~spare)
+
+    def by_document(spelled: bool):
+        """(document, its distinct items), one document at a time, so that grams need little memory."""
+        for d in shown:
+            kinds = np.unique(vocabulary.codes[words.first[d] : words.first[d + 1]])
+            yield d, np.unique(vocabulary.grams[_ranges(vocabulary, kinds)] if spelled else vocabulary.word[kinds])
+
+    word_odds, known = _log_odds(by_document(False), label, len(shown), WORD_BUCKETS)
+    gram_odds, spelt = _log_odds(by_document(True), label, len(shown), GRAM_BUCKETS)
     model["word_odds"], model["gram_odds"] = word_odds[2], gram_odds[2]
     mask = {"word": known[:, None].astype(np.float32), "gram": spelt[:, None].astype(np.float32)}
     for k, m in mask.items():
@@ -319,14 +333,18 @@ def _ranges(vocabulary: Vocabulary, codes: np.ndarray) -> np.ndarray:
     return np.repeat(vocabulary.first[codes] - begin[:-1], counts) + np.arange(begin[-1])
 
 
-def _log_odds(item: np.ndarray, doc: np.ndarray, label: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """How the log odds of a toxic document change with the item, shrunk by PRIOR_DOCS average documents:
-    without one clean document, without one toxic document, with all; and which items are known."""
-    pair = np.unique(doc.astype(np.int64) * size + item)
-    owner, item = pair // size, pair % size
-    there = [np.bincount(item[label[owner] == c], minlength=size) for c in (0, 1)]
+def _log_odds(documents, label: np.ndarray, n_docs: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """How the log odds of a toxic document change with an item, shrunk by PRIOR_DOCS average documents:
+    without one clean document, without one toxic document, with all; and which items are known.
+
+    documents: (document, its distinct items).
+    """
+    there, toxic = np.zeros((2, size), np.int64), 0
+    for d, items in documents:
+        there[int(label[d] > 0)][items] += 1
+        toxic += label[d] > 0
     known = there[0] + there[1] >= LEAST_DOCS
-    base = label[np.unique(owner)].mean()
+    base = toxic / n_docs
     out = []
     for less in (0, 1, None):
         neg, pos = (np.maximum(there[c] - (less == c), 0) for c in (0, 1))
