@@ -205,3 +205,10 @@ def risk_level(score: Column) -> Column:
 def clip(text: Column, limit: int = 1600) -> Column:
     """struct(truncated, preview) of an observation."""
     return F.struct((F.length(text) > limit).alias("truncated"), F.left(text, F.lit(limit)).alias("preview"))
+
+
+def mentions_file(text: Column, file: Column) -> Column:
+    """Whether a plan names a file by its path, base name or stem."""
+    base = F.substring_index(file, "/", -1)
+    stem = F.regexp_replace(base, r"\.[^.]*$", "")
+    return text.contains(file) | text.contains(base) | ((stem != "") & text.contains(stem))

@@ -56,8 +56,8 @@ def explore(edges: DataFrame, anchors: DataFrame, rounds: int = 2) -> DataFrame:
     thousandths, rounded half up, so all engines agree.
     """
     links = both_ways(edges).select("id", "other").distinct()
-    top = anchors.agg(F.max("score").alias("top"))
-    seen = anchors.crossJoin(F.broadcast(top)).select("id", F.floor(F.col("score") / F.col("top") * 1000 + 0.5).cast("long").alias("score"), F.lit(0).alias("hops"))  # top is one row
+    top = anchors.agg(F.max("score")).scalar()
+    seen = anchors.select("id", F.floor(F.col("score") / top * 1000 + 0.5).cast("long").alias("score"), F.lit(0).alias("hops"))
     frontier = seen
     for hop in range(1, rounds + 1):
         spread = links.join(frontier.select("id", "score"), "id").groupBy(F.col("other").alias("id")).agg(F.max(F.expr(f"(score * {DECAY} + 50) div 100")).alias("score"))

@@ -32,8 +32,8 @@ def statistics(post: DataFrame, key: str, corpus_size: DataFrame) -> tuple[DataF
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     dl = post.groupBy(key).agg(F.sum("tf").alias("dl"))
     total = dl.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("s"), F.count(F.lit(1)).alias("have"))
-    one = total.crossJoin(corpus_size.agg(F.count(F.lit(1)).alias("n")))  # one row by one row
-    one = one.select(F.greatest(F.lit(1).cast("long"), "n").alias("n"), F.greatest(F.lit(1.0), (F.col("s") + F.col("n") - F.col("have")) / F.greatest(F.lit(1).cast("long"), "n")).alias("avg_dl"))
+    one = total.withColumn("n", F.greatest(F.lit(1).cast("long"), corpus_size.agg(F.count(F.lit(1))).scalar()))
+    one = one.select("n", F.greatest(F.lit(1.0), (F.col("s") + F.col("n") - F.col("have")) / F.col("n")).alias("avg_dl"))
     return df, dl, one
 
 
@@ -46,7 +46,8 @@ def bm25(post: DataFrame, queries: DataFrame, docs: DataFrame, key: str, query_k
     df, dl, one = statistics(post, key, docs)
     q_size = queries.groupBy(query_key).agg(F.count(F.lit(1)).alias("q_terms"))
     wanted = queries.join(q_size, query_key).join(df, "term")
-    hits = post.join(wanted, "term").join(dl, key).join(F.broadcast(one))  # one is a single row
+    corpus = one.select(F.struct("n", "avg_dl")).scalar()
+    hits = post.join(wanted, "term").join(dl, key).select("*", corpus.alias("__c")).select("*", "__c.n", "__c.avg_dl")
     weight = idf(F.col("df"), F.col("n")) * (F.col("tf") * (K1 + 1.0)) / (F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / F.col("avg_dl")))
     return hits.groupBy(query_key, key, "q_terms").agg(F.sum(F.col("qc") * weight).alias("bm25"), F.count(F.lit(1)).alias("matched"))
 

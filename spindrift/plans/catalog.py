@@ -162,7 +162,7 @@ def identifier_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def term_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.files(spark, sf_dir)
     df, _, one = retrieval.statistics(retrieval.postings(docs, "doc_id", "source"), "doc_id", docs)
-    return df.join(F.broadcast(one), how="cross").select("term", "df", F.round(retrieval.idf(F.col("df"), F.col("n")), 6).alias("idf"))  # one is a single row
+    return df.select("term", "df", F.round(retrieval.idf(F.col("df"), one.select("n").scalar()), 6).alias("idf"))
 
 
 @query(f"WITH {POST_SQL} SELECT item_id, doc_id, score, rank FROM ranked WHERE rank <= 10")
