@@ -134,4 +134,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: the batch and slot of every document."""
+    shared.tune(spark)
     return pack(lengths(docs, ["doc_id"])).select(*COLUMNS)

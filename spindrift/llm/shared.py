@@ -23,7 +23,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of an Arrow batch: texts can be long, and a batch is held on both sides of the pipe.
+BATCH_ROWS = 1000
+
+
+def tune(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -49,5 +58,6 @@ def hot_keys(counted: DataFrame, key: str, count: str, share: float = 0.001) ->
 
 def shield(docs: DataFrame, own: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, list]:
     """``docs`` with all columns but ``own`` under names no operator uses, and the columns that undo this."""
+    tune(docs.sparkSession)
     names = {c: c if c in own else f"__x{i}" for i, c in enumerate(docs.columns)}
     return docs.select([F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
