@@ -45,9 +45,9 @@ def _begins(text: Column, *words: str) -> Column:
 CONTROL = ("case ", "match ", "with ", "finally:", "except ", "try:", "while ", "for ", "else:", "elif ", "if ")
 
 
-def line_role(text: Column) -> Column:
-    """One of ten roles, the first that fits."""
-    s = stripped(text)
+def line_role(text: Column, s: Column | None = None) -> Column:
+    """One of ten roles, the first that fits; s: the stripped text, if it is a column already."""
+    s = stripped(text) if s is None else s
     return (
         F.when(s == "", "blank")
         .when(_begins(s, "#"), "comment")
@@ -77,10 +77,15 @@ MESSAGES = {
 }
 
 
-def finding_codes(text: Column, line_no: Column) -> Column:
-    """Codes of all rules a line breaks, in the order of MESSAGES."""
-    s = stripped(text)
-    code = F.regexp_replace(s, LITERAL, '""')
+def masked(s: Column) -> Column:
+    """A line with its quoted strings emptied."""
+    return F.regexp_replace(s, LITERAL, '""')
+
+
+def finding_codes(text: Column, line_no: Column, s: Column | None = None, code: Column | None = None) -> Column:
+    """Codes of all rules a line breaks, in the order of MESSAGES; s and code: stripped and masked text, if columns already."""
+    s = stripped(text) if s is None else s
+    code = masked(s) if code is None else code
     low = F.lower(code)
     at = F.instr(s, "=")
     left = F.lower(F.substring(s, F.lit(1), at - 1))

@@ -12,7 +12,10 @@ def explode_lines(files: DataFrame, key: str = "file", source: str = "source") -
     """(key, line_no from 1, text, role, quality_flags)."""
     rows = files.select(key, F.posexplode(T.split_lines(F.col(source))).alias("__n", "text"))
     rows = rows.select(key, (F.col("__n") + 1).cast("long").alias("line_no"), "text")
-    return rows.withColumn("role", T.line_role(F.col("text"))).withColumn("quality_flags", T.finding_codes(F.col("text"), F.col("line_no")))
+    # Columns of their own: every rule reads them, and each is computed once.
+    rows = rows.withColumn("__s", T.stripped(F.col("text"))).withColumn("__code", T.masked(F.col("__s")))
+    flags = T.finding_codes(F.col("text"), F.col("line_no"), F.col("__s"), F.col("__code"))
+    return rows.select(key, "line_no", "text", T.line_role(F.col("text"), F.col("__s")).alias("role"), flags.alias("quality_flags"))
 
 
 def findings(lines: DataFrame, key: str = "file") -> DataFrame:

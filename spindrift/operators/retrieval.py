@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
+from spindrift.operators.graph import cut
 
 K1, B = 1.4, 0.72
 FIELD_WEIGHTS = {"file": 1.25, "qualname": 1.75, "signature": 1.35, "docstring": 1.0, "source": 0.3}
@@ -68,7 +69,7 @@ def ranked(scored: DataFrame, by: str | None, score: str, tie: str, top: int, de
 
 def chunk_search(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, top: int = 12) -> DataFrame:
     """(query, key, score, rank): BM25 times one plus the share of query terms found."""
-    post = postings(docs, key, text)
+    post = cut(postings(docs, key, text))  # read for frequencies, lengths and hits: tokenised once
     hits = bm25(post, query_terms(queries, query_key, query_text), docs, key, query_key)
     scored = hits.select(query_key, key, (F.col("bm25") * (1.0 + F.col("matched") / F.col("q_terms"))).alias("score"))
     return ranked(scored, query_key, "score", key, top)
