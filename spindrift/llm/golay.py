@@ -282,7 +282,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(fps: DataFrame) -> DataFrame:
-    """Per distinct fingerprint of ``fps`` (doc_id, fp): fp, n_docs, n_near, component_id."""
+    """Per distinct fingerprint of ``fps`` (doc_id, fp): fp, n_docs, n_near, component_id, root.
+
+    root (the smallest fingerprint of the class) is the class's own key; component_id is none, as ids may repeat or be null.
+    """
     vertices = shared.materialize(fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("least")))
     found = shared.materialize(links(vertices))
     near = found.groupBy("fp").agg(F.sum("other_docs").alias("linked"))
@@ -290,7 +293,7 @@ def classes(fps: DataFrame) -> DataFrame:
     placed = vertices.join(near, "fp", "left").join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     placed = shared.materialize(placed)
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return placed.join(smallest, "root").select("fp", "n_docs", (F.coalesce("linked", F.lit(0)) + F.col("n_docs") - 1).alias("n_near"), "component_id")
+    return placed.join(smallest, "root").select("fp", "n_docs", (F.coalesce("linked", F.lit(0)) + F.col("n_docs") - 1).alias("n_near"), "component_id", "root")
 
 
 def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,7 +316,7 @@ def joined(fps: DataFrame, by_fp: DataFrame, parts: int = 32) -> DataFrame:
 def filter_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of every class the document with the smallest id stays, with its columns.
 
-    Of several rows with that id in one class one stays.
+    Of several rows with that id in one class one stays; rows of different classes never stand for each other, whatever their ids.
     """
     docs, restore = shared.shield(docs)
     fps = shared.materialize(fingerprint_column(docs, ["doc_id"]))
@@ -325,5 +328,5 @@ def filter_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     twins = fps.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
     if not twins.isEmpty():
         classed = joined(left.withColumnRenamed("fp", "__mark").withColumn("fp", F.col("__mark")), by_fp)
-        left = classed.dropDuplicates(["component_id"])
+        left = classed.dropDuplicates(["root"])
     return left.select(*restore)

@@ -99,3 +99,17 @@ def test_code_is_perfect_and_keys_find_all_close_pairs():
     hit = np.zeros(len(fp), bool)
     hit[row[(filed[row] == key[:, None]).any(1)]] = True
     assert hit.all()
+
+
+def test_filter_keeps_unrelated_rows_with_null_or_repeated_ids(spark, tmp_path):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(FIXTURE_WORDS) + rng.choice("abcdefgh") for _ in range(80)) for _ in range(12)]
+    ids = [None] * 4 + [7] * 4 + [20, 21, 22, 7]
+    rows = list(zip(ids, texts))
+    rows += [(None, texts[0]), (None, texts[0]), (7, texts[4]), (30, texts[8]), (3, texts[5]), (None, texts[6]), (7, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, root int")
+    got = golay.filter_neardup(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    kept = sorted((r.text or "", str(r.doc_id)) for r in got.collect())
+    want = {t: i for i, t in zip(ids, texts)} | {texts[5]: 3, "": 7}
+    assert kept == sorted((t, str(i)) for t, i in want.items())
