@@ -14,8 +14,8 @@ and mark the candidates they fit as further spans, kind ``context``.  Candidates
 their own kind (a card number with a wrong check digit, an address part over 255) stay unknown: they
 count against a pattern like any other unknown instance.
 
-The least number of seeds grows with the graph (edges/MAX_PATTERNS), so at most 3 * MAX_PATTERNS patterns
-can be accepted and their broadcast is bounded.
+The least number of seeds is the same at every size, so documents added elsewhere withdraw no pattern.
+Accepted patterns may be any number: candidates are joined with their table, never with a list of them.
 
 The texts are read once: spans and candidates with their contexts are written to the shared folder.
 Null counts as empty; empty texts have no spans and the hash of the empty string.  Repeated rows are
@@ -37,7 +37,6 @@ KINDS = ("email", "ip", "card", "phone", "context")
 MIN_DIGITS = 5
 ROUNDS = 3
 MIN_SEEDS, MIN_CONFIDENCE = 3, 0.6
-MAX_PATTERNS = 10_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -210,9 +209,8 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS
     """(pattern, confidence, seeds) of the accepted patterns, from rows with ``found``."""
     seen = found.select(F.explode("found").alias("f")).select(F.xxhash64("f.instance").alias("instance"), (F.col("f.kind") < 4).alias("seed"), F.explode("f.patterns").alias("pattern"))
     edges = shared.materialize(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    least = max(min_seeds, edges.count() // MAX_PATTERNS)
     # Patterns of too few seeds are never accepted, so they take no part in the rounds.
-    strong = edges.groupBy("pattern").agg(F.sum(F.col("seed").cast("int")).alias("seeds")).where(F.col("seeds") >= least)
+    strong = edges.groupBy("pattern").agg(F.sum(F.col("seed").cast("int")).alias("seeds")).where(F.col("seeds") >= min_seeds)
     graph = shared.materialize(edges.join(strong, "pattern"))
     belief = graph.select("pattern", "instance", "seeds", F.col("seed").cast("double").alias("conf"))
     for _ in range(rounds):
@@ -228,17 +226,18 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS
 
 def detect(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns, counts, base (rendered), spans (rendered, with those found by context), n_context."""
-    found = shared.materialize(extract(docs, keep))
-    accepted = bootstrap(found).select("pattern").collect()  # at most 3 * MAX_PATTERNS
-    known = docs.sparkSession.sparkContext.broadcast(frozenset(r.pattern for r in accepted))
+    found = shared.materialize(extract(docs, keep).withColumn("__row", F.monotonically_increasing_id()))
+    accepted = bootstrap(found).select("pattern")
+    asked = found.select("__row", F.explode("found").alias("f")).where("f.kind = 4").select("__row", F.col("f.lo").alias("lo"), F.explode("f.patterns").alias("pattern"))
+    hits = asked.join(accepted, "pattern", "left_semi").groupBy("__row").agg(F.collect_set("lo").alias("__hits"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(batches):
-        good = known.value
         for batch in batches:
             base, full, more = [], [], []
-            for row in batch.column("found").to_pylist():
-                spans = [(f["lo"], f["kind"], f["hi"]) for f in row if f["kind"] < 4 or not good.isdisjoint(f["patterns"])]
+            for row, hit in zip(batch.column("found").to_pylist(), batch.column("__hits").to_pylist()):
+                good = frozenset(hit or ())
+                spans = [(f["lo"], f["kind"], f["hi"]) for f in row if f["kind"] < 4 or f["lo"] in good]
                 base.append(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans if k < 4))
                 full.append(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans))
                 more.append(sum(k == 4 for _, k, _ in spans))
@@ -248,7 +247,7 @@ def detect(docs: DataFrame, keep: list[str]) -> DataFrame:
             )
 
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"n_{k} long" for k in KINDS[:4]] + ["base string", "spans string", "n_context long"])
-    return found.mapInArrow(run, schema)
+    return found.join(hits, "__row", "left").mapInArrow(run, schema)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,6 +110,26 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert pii.detect(spark.createDataFrame([], "doc_id long, text string"), ["doc_id"]).count() == 0
 
 
+def test_patterns_do_not_depend_on_other_documents(spark, monkeypatch):
+    """Was a share of the edges (10 000 patterns): the monkeypatched share stands for a large corpus."""
+    monkeypatch.setattr(pii, "MAX_PATTERNS", 10, raising=False)
+    rng = random.Random(5)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card(valid):
+        while pii.luhn(d := digits(16)) != valid:
+            pass
+        return d
+
+    own = [(i, f"pay with card number {card(True)} now") for i in range(8)] + [(100, f"pay with card number {card(False)} now")] * 2 + [(None, f"pay with card number {card(False)} now")]
+    other = [(1000 + i, f"w{i} v{i} {card(True)} u{i} of other things") for i in range(300)]
+    for rows in (own, own + other):
+        got = pii.detect(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()
+        assert len(got) == len(rows)
+        assert sorted(str(r.doc_id) for r in got if r.n_context) == ["100", "100", "None"]
+        assert {r.spans for r in got if r.n_context} == {"context:21:37"}
+
+
 def test_words_and_hashes():
     texts = ["", "One  two\tTWO", "é\x0bx", "one", " ", "two"]
     buf, offs = textkit.text_buffers(pa.array([None, *texts]))
