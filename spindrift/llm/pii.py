@@ -4,9 +4,13 @@ Base spans (code points, end exclusive), leftmost and non-overlapping per kind,
 without a retry: ``email``, ``ip`` (four parts of at most 255), ``card`` (12 to 19 digits that pass the
 Luhn check) and ``phone`` (9 to 15 digits after a plus).
 
-Bootstrapping: base spans are the seed entities.  Tokens of MIN_DIGITS or more digits outside base spans
-are candidates.  Every occurrence of either gives lexical patterns: its neighbours' words (left word, two
-left words, left and right word) together with the token's shape.  The pattern-instance graph, one edge
+Bootstrapping: base spans are the seed entities.  Tokens of MIN_DIGITS or more digits outside base spans,
+and runs of number groups with single spaces between that hold as many, are candidates.  Every occurrence
+of either gives lexical patterns: its neighbours' words (left word, two left words, left and right word),
+once together with the token's shape, once alone, whatever the shape.  A context alone says something only
+where identifiers are what it introduces, so every place in the corpus that it precedes is counted in a
+second pass over the texts, and it takes part if at least MIN_SHARE of these hold a seed or a candidate.
+The pattern-instance graph, one edge
 per distinct pair, is scored in Spark for ROUNDS rounds: a pattern's confidence is the mean confidence of
 its instances (seeds 1, unknown ones what they have so far), an instance's confidence is one minus the
 product of its patterns' doubts.  Patterns with enough confidence and enough distinct seeds are accepted
@@ -17,7 +21,8 @@ count against a pattern like any other unknown instance.
 The least number of seeds is the same at every size, so documents added elsewhere withdraw no pattern.
 Accepted patterns may be any number: candidates are joined with their table, never with a list of them.
 
-The texts are read once: spans and candidates with their contexts are written to the shared folder.
+Spans and candidates with their contexts are written to the shared folder.  Of overlapping spans found by
+context the longest stays.
 Null counts as empty; empty texts have no spans and the hash of the empty string.  Repeated rows are
 scanned each by itself; extra columns are ignored.
 """
@@ -28,6 +33,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +43,10 @@ KINDS = ("email", "ip", "card", "phone", "context")
 MIN_DIGITS = 5
 ROUNDS = 3
 MIN_SEEDS, MIN_CONFIDENCE = 3, 0.6
+#: Of the places that a context precedes, those with a seed or a candidate, for a pattern without a shape.
+MIN_SHARE = 0.5
+#: Bits of the filter that is broadcast for the second pass; it prunes only, the join that follows is exact.
+FILTER_BITS = 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -44,6 +54,7 @@ _CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
+_GROUPS = re.compile(r"[+(]*[0-9][0-9().+/-]*(?:\x20[+(]*[0-9][0-9().+/-]*)+")
 _EDGE = "\"'()[]{}<>,;:.!?*%$#&"
 
 
@@ -143,26 +154,91 @@ def _after(text: str, at: int) -> str:
 
 
 def patterns(text: str, lo: int, hi: int) -> list[str]:
-    """Lexical patterns of an occurrence."""
+    """Lexical patterns of an occurrence; those without a shape begin with ~ and hold the context's key."""
     one, two = _before(text, lo)
     kind, right = shape(text[lo:hi]), _after(text, hi)
-    return [f"L|{one}|{kind}", f"LL|{two} {one}|{kind}", f"LR|{one}|{right}|{kind}"]
+    out = [f"L|{one}|{kind}", f"LL|{two} {one}|{kind}", f"LR|{one}|{right}|{kind}"]
+    # An opening bracket or quote before the token is no word.
+    while lo > 0 and text[lo - 1] in _EDGE:
+        lo -= 1
+    one, two = _before(text, lo)
+    if one:
+        own, other, after = np.array([[_digest(w)] for w in (one, two, right)], np.uint64)
+        keys = context_keys(own, other, after)
+        out += [f"~{int(key[0])}" for key, there in zip(keys, (True, two, right)) if there]
+    return out
+
+
+def _digest(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
+
+
+def context_keys(one: np.ndarray, two: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the left word, the two left words, the left and the right word, from the words' digests."""
+    ll = textkit.mix64(textkit.mix64(two + np.uint64(1)) + one)
+    lr = textkit.mix64(textkit.mix64(right + np.uint64(2)) + one)
+    return one.view(np.int64), ll.view(np.int64), lr.view(np.int64)
+
+
+_EMPTY = np.uint64(xxhash.xxh64_intdigest(b""))
+
+
+def places(docs: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(pattern, places): words in all texts that stand where an identifier would in the context.
+
+    ``contexts``: pattern (without a shape).
+    """
+    keys = contexts.select(F.substring("pattern", 2, 20).cast("long").alias("key"))
+    some = keys.select(F.col("key").bitwiseAND((1 << FILTER_BITS) - 1).alias("bit")).distinct().toArrow()
+    wanted = np.zeros(1 << FILTER_BITS, bool)
+    wanted[some.column("bit").to_numpy()] = True
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches):
+        want = sent.value
+        for batch in batches:
+            buf, offs = textkit.text_buffers(batch.column("text"))
+            for _, _, b, o in textkit.blocks(buf, offs):
+                number: dict[bytes, int] = {}
+                words = [b[x:y].tobytes().split() for x, y in zip(o[:-1], o[1:])]
+                # Texts are set apart by two empty words on either side.
+                gap, at = number.setdefault(b"", 0), []
+                for text in words:
+                    at += [gap, gap]
+                    at += [number.setdefault(w, len(number)) for w in text]
+                at += [gap, gap]
+                ids = np.array(at, np.int64)
+                read = [w.decode("utf-8", "replace") for w in number]
+                left = np.array([_digest(w[-64:].strip(_EDGE).lower()) for w in read], np.uint64)[ids]
+                right = np.array([_digest(w[:64].strip(_EDGE).lower()) for w in read], np.uint64)[ids]
+                one, two, after = left[1:-2], left[:-3], right[3:]
+                real = (ids[2:-1] != gap) & (one != _EMPTY)
+                l, ll, lr = context_keys(one[real], two[real], after[real])
+                found = np.concatenate([l, ll[two[real] != _EMPTY], lr[after[real] != _EMPTY]])
+                key, n = np.unique(found[want[found & ((1 << FILTER_BITS) - 1)]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("places"))
+    return counted.select(F.concat(F.lit("~"), F.col("key").cast("string")).alias("pattern"), "places")
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Tokens with many digits, without their outer punctuation, that touch no base span."""
+    """Tokens with many digits, without their outer punctuation, and runs of number groups, that touch no base span."""
+    runs = [(m.start(), m.end()) for m in _GROUPS.finditer(text)]
+    spans = set()
+    for lo, hi in [m.span() for m in _TOKEN.finditer(text)] + runs:
+        token = text[lo:hi]
+        lo += len(token) - len(token.lstrip(_EDGE))
+        token = token.strip(_EDGE)
+        if sum("0" <= c <= "9" for c in token) >= MIN_DIGITS:
+            spans.add((lo, lo + len(token)))
     out, k = [], 0
     taken = sorted((s, e) for s, _, e in base)
-    for m in _TOKEN.finditer(text):
-        token = m[0]
-        lead = len(token) - len(token.lstrip(_EDGE))
-        token = token.strip(_EDGE)
-        lo, hi = m.start() + lead, m.start() + lead + len(token)
+    for lo, hi in sorted(spans):
         while k < len(taken) and taken[k][1] <= lo:
             k += 1
-        if (k < len(taken) and taken[k][0] < hi) or len(token) > 64 or sum("0" <= c <= "9" for c in token) < MIN_DIGITS:
-            continue
-        out.append((lo, hi))
+        if k == len(taken) or taken[k][0] >= hi:
+            out.append((lo, hi))
     return out
 
 
@@ -205,13 +281,19 @@ def extract(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
-def bootstrap(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(pattern, confidence, seeds) of the accepted patterns, from rows with ``found``."""
+def bootstrap(found: DataFrame, docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """(pattern, confidence, seeds) of the accepted patterns, from rows with ``found`` and their texts."""
     seen = found.select(F.explode("found").alias("f")).select(F.xxhash64("f.instance").alias("instance"), (F.col("f.kind") < 4).alias("seed"), F.explode("f.patterns").alias("pattern"))
-    edges = shared.materialize(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
+    edges = shared.materialize(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n")))
     # Patterns of too few seeds are never accepted, so they take no part in the rounds.
-    strong = edges.groupBy("pattern").agg(F.sum(F.col("seed").cast("int")).alias("seeds")).where(F.col("seeds") >= min_seeds)
-    graph = shared.materialize(edges.join(strong, "pattern"))
+    strong = edges.groupBy("pattern").agg(F.sum(F.col("seed").cast("int")).alias("seeds"), F.sum("n").alias("filled")).where(F.col("seeds") >= min_seeds)
+    strong = shared.materialize(strong)
+    contexts = strong.where("pattern LIKE '~%'")
+    if not contexts.isEmpty():
+        near = places(docs, contexts.select("pattern"))
+        telling = contexts.join(near, "pattern", "left").where(F.col("filled") >= MIN_SHARE * F.coalesce("places", F.lit(0)))
+        strong = strong.where("pattern NOT LIKE '~%'").unionByName(telling.select(strong.columns))
+    graph = shared.materialize(edges.join(strong.select("pattern", "seeds"), "pattern"))
     belief = graph.select("pattern", "instance", "seeds", F.col("seed").cast("double").alias("conf"))
     for _ in range(rounds):
         # ln(1 - confidence) is summed, so an instance's doubt is a product over its patterns.
@@ -224,20 +306,32 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS
     return belief.groupBy("pattern").agg(F.avg("conf").alias("confidence"), F.max("seeds").alias("seeds")).where(F.col("confidence") >= min_confidence)
 
 
+def outermost(spans: list[tuple[int, int]]) -> set[tuple[int, int]]:
+    """The longest of overlapping spans."""
+    out, end = [], -1
+    for lo, hi in sorted(spans):
+        if lo >= end:
+            out.append((lo, hi))
+        elif hi - lo > out[-1][1] - out[-1][0]:
+            out[-1] = (lo, hi)
+        end = out[-1][1]
+    return set(out)
+
+
 def detect(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns, counts, base (rendered), spans (rendered, with those found by context), n_context."""
     found = shared.materialize(extract(docs, keep).withColumn("__row", F.monotonically_increasing_id()))
-    accepted = bootstrap(found).select("pattern")
-    asked = found.select("__row", F.explode("found").alias("f")).where("f.kind = 4").select("__row", F.col("f.lo").alias("lo"), F.explode("f.patterns").alias("pattern"))
-    hits = asked.join(accepted, "pattern", "left_semi").groupBy("__row").agg(F.collect_set("lo").alias("__hits"))
+    accepted = bootstrap(found, docs).select("pattern")
+    asked = found.select("__row", F.explode("found").alias("f")).where("f.kind = 4").select("__row", F.struct("f.lo", "f.hi").alias("span"), F.explode("f.patterns").alias("pattern"))
+    hits = asked.join(accepted, "pattern", "left_semi").groupBy("__row").agg(F.collect_set("span").alias("__hits"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(batches):
         for batch in batches:
             base, full, more = [], [], []
             for row, hit in zip(batch.column("found").to_pylist(), batch.column("__hits").to_pylist()):
-                good = frozenset(hit or ())
-                spans = [(f["lo"], f["kind"], f["hi"]) for f in row if f["kind"] < 4 or f["lo"] in good]
+                good = outermost([(h["lo"], h["hi"]) for h in hit or ()])
+                spans = [(f["lo"], f["kind"], f["hi"]) for f in row if f["kind"] < 4 or (f["lo"], f["hi"]) in good]
                 base.append(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans if k < 4))
                 full.append(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans))
                 more.append(sum(k == 4 for _, k, _ in spans))

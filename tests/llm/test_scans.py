@@ -130,6 +130,21 @@ def test_patterns_do_not_depend_on_other_documents(spark, monkeypatch):
         assert {r.spans for r in got if r.n_context} == {"context:21:37"}
 
 
+def test_contexts_find_identifiers_of_other_shapes(spark):
+    rng = random.Random(6)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = [(i, f"{word()} phone +1 {digits(3)} {digits(3)} {digits(4)} {word()}") for i in range(9)]
+    odd = ["555-0199-33", "123-45-6789", "DE445001051754", "4111 1111 1111 1112", "x" * 70 + "12345"]
+    rows += [(100 + i, f"zz phone: ({x}) end") for i, x in enumerate(odd)]
+    # Ordinary words follow this context nearly always, so it tells nothing.
+    rows += [(200 + i, f"{word()} the 10.0.{i}.1 {word()}") for i in range(6)] + [(300 + i, f"on the {word()} of the {word()}") for i in range(20)]
+    rows += [(400, "in the 9876-54321 of"), (401, None)]
+    got = {r.doc_id: r for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    assert [got[100 + i].spans for i in range(len(odd))] == [f"context:11:{11 + len(x)}" for x in odd]
+    assert got[400].n_context == 0 and len(got) == len(rows)
+
+
 def test_words_and_hashes():
     texts = ["", "One  two\tTWO", "é\x0bx", "one", " ", "two"]
     buf, offs = textkit.text_buffers(pa.array([None, *texts]))
