@@ -5,9 +5,10 @@ A fingerprint has BITS = 128 bits.  Terms are the words of the A-Z-folded text,
 and a bit is set when its sum is positive.  Likeness of two fingerprints is the cosine that their share
 of differing bits stands for, cos(pi * differing / BITS), and 0 beyond a right angle.
 
-Neighbour search uses permuted block tables: the bits are cut into B blocks; for every choice of
-B - radius blocks there is a table whose key is those blocks, so two fingerprints within the radius
-agree on the key of at least one table.  A pair is reported by the first table that finds it only.
+Neighbour search uses block tables: the bits are cut into B blocks, a table for each, whose key is the
+block.  Block k is given e_k errors so that the e_k + 1 sum up to radius + 1; two fingerprints within the
+radius differ by at most e_k bits in some block k, so the one that is sought looks under its block with
+every choice of at most e_k bits flipped.  A pair is reported by the first table that finds it only.
 Equal fingerprints are one entry with a weight.
 
 Edited texts need the next document by descending id.  Ids are cut into buckets at quantiles; a bucket's
@@ -34,7 +35,8 @@ from pyspark.sql import functions as F
 from spindrift.llm import shared, textkit
 
 BITS = 128
-RADIUS, BLOCKS = 3, 5
+#: From distances of edited copies (README); at 6 blocks of 21 or 22 bits one error each.
+RADIUS, BLOCKS = 11, 6
 BUCKET_BYTES = 16 << 20
 
 
@@ -156,22 +158,33 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
 # --- neighbours -------------------------------------------------------------------------------
 
-def _block(k: int, blocks: int):
-    """Bits of block k of (lo, hi) as one number; a block may reach over both halves."""
-    begin, end = BITS * k // blocks, BITS * (k + 1) // blocks
-    out = []
-    for name, base in (("lo", 0), ("hi", 64)):
-        a, b = max(begin, base), min(end, base + 64)
-        if a < b:
-            out.append(F.shiftrightunsigned(F.col(name), a - base).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 63 else -1)))
-    return out
+def _masks(k: int, blocks: int) -> dict[str, int]:
+    """The bits of block k in lo and in hi; a block may reach over both halves."""
+    mask = (1 << BITS * (k + 1) // blocks) - (1 << BITS * k // blocks)
+    return {"lo": mask & (2**64 - 1), "hi": mask >> 64}
+
+
+def _long(x: int):
+    return F.lit(x - (1 << 64) if x >= 1 << 63 else x).cast("long")
+
+
+def _errors(radius: int, blocks: int) -> list[int]:
+    """Errors allowed in each block; -1: no table."""
+    each, rest = divmod(radius + 1, blocks)
+    return [each - 1 + (k < rest) for k in range(blocks)]
 
 
-def tables(rows: DataFrame, radius: int, blocks: int) -> DataFrame:
-    """rows once per table, with its number and key."""
-    picks = list(combinations(range(blocks), blocks - radius))
-    keys = F.array(*[F.struct(F.lit(t).alias("table"), F.xxhash64(F.lit(t), *[x for k in pick for x in _block(k, blocks)]).alias("key")) for t, pick in enumerate(picks)])
-    return rows.withColumn("__k", F.explode(keys)).select("*", "__k.table", "__k.key").drop("__k")
+def tables(rows: DataFrame, radius: int, blocks: int, look: bool) -> DataFrame:
+    """rows once per table, with its number and key; with ``look`` once per key that finds all neighbours."""
+    keys = []
+    for k, errors in enumerate(_errors(radius, blocks)):
+        mask = _masks(k, blocks)
+        bits = range(BITS * k // blocks, BITS * (k + 1) // blocks)
+        flips = [sum(1 << b for b in pick) for n in range(errors + 1 if look else min(1, errors + 1)) for pick in combinations(bits, n)]
+        keys += [(k, flip & (2**64 - 1), flip >> 64, mask["lo"], mask["hi"]) for flip in flips]
+    array = F.array(*[F.struct(F.lit(k).alias("table"), *[_long(x).alias(n) for n, x in zip(("flo", "fhi", "mlo", "mhi"), rest)]) for k, *rest in keys])
+    own = [F.col(n).bitwiseAND(F.col(f"__k.m{n}")).bitwiseXOR(F.col(f"__k.f{n}")) for n in ("lo", "hi")]
+    return rows.withColumn("__k", F.explode(array)).select(*rows.columns, F.col("__k.table").alias("table"), F.xxhash64("__k.table", *own).alias("key"))
 
 
 def neighbours(sought: DataFrame, entries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
@@ -179,29 +192,18 @@ def neighbours(sought: DataFrame, entries: DataFrame, radius: int = RADIUS, bloc
 
     sought: distinct (lo, hi); entries: distinct (lo, hi, weight).  An entry equal to the sought one is included.
     """
-    left = tables(sought.select("lo", "hi"), radius, blocks)
-    right = tables(entries.select("lo", "hi", "weight"), radius, blocks).select(F.col("lo").alias("other_lo"), F.col("hi").alias("other_hi"), "weight", "table", "key")
-    pairs = left.join(right, ["table", "key"])
-    differing = F.bit_count(F.col("lo").bitwiseXOR(F.col("other_lo"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("other_hi")))
-    near = pairs.withColumn("differing", differing).where(F.col("differing") <= radius)
-    # The first table whose blocks are all equal reports the pair.
-    x = near.withColumn("__lo", F.col("lo").bitwiseXOR(F.col("other_lo"))).withColumn("__hi", F.col("hi").bitwiseXOR(F.col("other_hi")))
-    zero = []
-    for k in range(blocks):
-        begin, end = BITS * k // blocks, BITS * (k + 1) // blocks
-        conds = []
-        for name, base in (("__lo", 0), ("__hi", 64)):
-            a, b = max(begin, base), min(end, base + 64)
-            if a < b:
-                conds.append(F.shiftrightunsigned(F.col(name), a - base).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 63 else -1)) == 0)
-        zero.append(conds[0] if len(conds) == 1 else conds[0] & conds[1])
+    left = tables(sought.select("lo", "hi"), radius, blocks, True)
+    right = tables(entries.select("lo", "hi", "weight"), radius, blocks, False).select(F.col("lo").alias("other_lo"), F.col("hi").alias("other_hi"), "weight", "table", "key")
+    # The sought side is many keys a row, which no measured size tells before it is exploded: never broadcast.
+    pairs = left.hint("merge").join(right, ["table", "key"])
+    x = {n: F.col(n).bitwiseXOR(F.col(f"other_{n}")) for n in ("lo", "hi")}
+    near = pairs.withColumn("differing", F.bit_count(x["lo"]) + F.bit_count(x["hi"])).where(F.col("differing") <= radius)
+    # The first table whose block has few enough errors reports the pair.
     first = F.lit(-1)
-    for t, pick in reversed(list(enumerate(combinations(range(blocks), blocks - radius)))):
-        cond = zero[pick[0]]
-        for k in pick[1:]:
-            cond = cond & zero[k]
-        first = F.when(cond, F.lit(t)).otherwise(first)
-    return x.where(first == F.col("table")).select("lo", "hi", "other_lo", "other_hi", "weight", "differing")
+    for k, errors in reversed(list(enumerate(_errors(radius, blocks)))):
+        own = sum((F.bit_count(x[n].bitwiseAND(_long(m))) for n, m in _masks(k, blocks).items()), F.lit(0))
+        first = F.when(own <= errors, F.lit(k)).otherwise(first)
+    return near.where(first == F.col("table")).select("lo", "hi", "other_lo", "other_hi", "weight", "differing")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

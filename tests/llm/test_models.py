@@ -243,6 +243,22 @@ def test_block_tables_find_all(spark):
         assert got == sorted((*a, *b) for a in rows for b in rows if bits(a, b) <= radius)
 
 
+def test_neighbours_hold_edited_copies(spark):
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 9))) for _ in range(250)) for _ in range(40)]
+    copies = []
+    for t in texts:
+        words = t.split()
+        words[rng.randrange(len(words))] = "changed"
+        copies.append(" ".join(words))
+    fps = simhash.fingerprints(*textkit.text_buffers(pa.array(texts + copies))).view(np.int64).tolist()
+    df = spark.createDataFrame([(lo, hi, 1) for lo, hi in fps], "lo long, hi long, weight long").distinct()
+    got = {(r.lo, r.hi, r.other_lo, r.other_hi) for r in simhash.neighbours(df, df).collect()}
+    assert sum((*a, *b) in got for a, b in zip(fps[:40], fps[40:])) >= 38
+    bits = lambda a, b: sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(a, b))
+    assert got == {(*a, *b) for a in fps for b in fps if bits(a, b) <= simhash.RADIUS}
+
+
 def test_held_out_bucket(spark):
     rows = spark.range(50).select("id", textkit.sql_crc_bucket("id", 3).alias("b")).collect()
     assert all(r.b == zlib.crc32(str(r.id).encode()) % 3 for r in rows)
