@@ -147,6 +147,17 @@ def test_mixing_meets_targets(spark):
         assert mixing.mix(empty, df.select("doc_id"))[0].count() == empty.count()
 
 
+@pytest.mark.parametrize("shares", [(0.97, 0.01, 0.01, 0.01), (0.985, 0.005, 0.005, 0.005), (0.9, 0.05, 0.04, 0.01)])
+@pytest.mark.parametrize("least", [0.0, 1.0])
+def test_skewed_domains_meet_targets(spark, shares, least):
+    rows = [(int(1e6 * s / 20), [float(i == d) for i in range(4)]) for d, s in enumerate(shares) for _ in range(20)]
+    df = spark.createDataFrame(rows, "tokens long, p array<double>")
+    want = np.array(list(mixing.TARGETS.values()))
+    total = None if least == 0 else float((1e6 * np.array(shares) / want).max())
+    _, report = mixing.fit_rates(df, want, total, least)
+    assert np.allclose(report["reached"], want * (total or 1e6), rtol=mixing.RESIDUAL)
+
+
 def test_copies_follow_rates(spark):
     got = spark.range(20000).select(mixing.whole_copies(F.lit(1.3), "id").alias("c")).agg(F.avg("c"), F.min("c"), F.max("c")).first()
     assert abs(got[0] - 1.3) < 0.02 and got[1] == 1 and got[2] == 2
