@@ -2,9 +2,9 @@
 
 Lengths are counted in tokens (words by default).  The global histogram of lengths is one grouped count;
 a dynamic program over it chooses at most ``n_buckets`` upper boundaries so that padding every document
-to its bucket's boundary wastes as few tokens as possible.  The histogram is exact up to ``EXACT`` tokens;
-longer lengths share cells 1/256 of their size wide, so it has a bounded number of cells at any scale
-(each cell's boundary is its largest length present, and no document is cut or dropped).
+to its bucket's boundary wastes as few tokens as possible.  The histogram is exact at every length, so the
+boundaries are the optimum.  It has one row per distinct length: L distinct lengths need at least L*L/2
+tokens, in practice there are a few thousand, and the program is L log L a bucket.
 
 Inside a bucket documents are ordered by a hash of their id and filled into batches of
 max(1, token_budget // bucket length) rows.  The position in a bucket is found without sorting a bucket
@@ -27,7 +27,6 @@ from spindrift.llm import shared, textkit
 
 N_BUCKETS = 16
 TOKEN_BUDGET = 8192
-EXACT = 1024
 #: Rows of one hash range, on average; ranges of all buckets are ranked apart.
 RANGE_ROWS = 100_000
 
@@ -45,19 +44,11 @@ def lengths(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["n_tokens long"]))
 
 
-def cell(column: str):
-    """Cell of the histogram: the length itself up to EXACT, beyond that its leading nine bits."""
-    n = F.col(column)
-    return F.when(n <= EXACT, n).otherwise(F.expr(
-        f"shiftleft(shiftright({column}, cast(floor(log2({column})) as int) - 8), cast(floor(log2({column})) as int) - 8)"
-    ))
-
-
 def boundaries(top: np.ndarray, count: np.ndarray, tokens: np.ndarray, n_buckets: int) -> list[int]:
     """Upper lengths of the buckets with least padding; of equally good choices the fewest buckets.
 
-    top: largest length of each cell, rising; count and tokens: documents and their tokens per cell.
-    Cost of cells i..j in one bucket: top[j] * documents - tokens.  That cost has the quadrangle
+    top: the lengths, rising; count and tokens: documents and their tokens per length.
+    Cost of lengths i..j in one bucket: top[j] * documents - tokens.  That cost has the quadrangle
     property, so optimal cuts rise with j and each layer is found by divide and conquer.
     """
     n = len(top)
@@ -97,9 +88,11 @@ def boundaries(top: np.ndarray, count: np.ndarray, tokens: np.ndarray, n_buckets
 def pack(rows: DataFrame, n_buckets: int = N_BUCKETS, token_budget: int = TOKEN_BUDGET, key: str = "doc_id") -> DataFrame:
     """``rows`` (with n_tokens) and bucket, bucket_len, batch_id ("bucket:number"), slot, padding."""
     rows = shared.materialize(rows)
-    cells = rows.groupBy(cell("n_tokens").alias("c")).agg(F.max("n_tokens").alias("top"), F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t")).orderBy("c").collect()
-    total = sum(r.n for r in cells)
-    tops = boundaries(np.array([r.top for r in cells], np.int64), np.array([r.n for r in cells], np.int64), np.array([r.t for r in cells], np.int64), n_buckets)
+    histogram = rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    top, count = (histogram.column(c).to_numpy() for c in ("n_tokens", "n"))
+    order = np.argsort(top)
+    top, count, total = top[order], count[order], int(count.sum())
+    tops = boundaries(top, count, top * count, n_buckets)
     bucket = F.lit(0)
     for b in tops[:-1]:
         bucket = bucket + (F.col("n_tokens") > b).cast("int")
@@ -134,5 +127,4 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: the batch and slot of every document."""
-    shared.tune(spark)
     return pack(lengths(docs, ["doc_id"])).select(*COLUMNS)

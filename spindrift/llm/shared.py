@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,13 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder of spark.checkpoint.dir; one of our own only where none is named (tests)."""
+    """Uses the folder of spark.checkpoint.dir; one of our own only in local mode, where none need be named (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spindrift-checkpoint-"))
 
 
@@ -23,16 +26,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Rows of an Arrow batch: texts can be long, and a batch is held on both sides of the pipe.
-BATCH_ROWS = 1000
-
-
-def tune(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+# Texts can be long: Spark ends an Arrow batch at spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless set), so no
+# setting of the caller's session is changed here.
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tune(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -58,6 +56,5 @@ def hot_keys(counted: DataFrame, key: str, count: str, share: float = 0.001) ->
 
 def shield(docs: DataFrame, own: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, list]:
     """``docs`` with all columns but ``own`` under names no operator uses, and the columns that undo this."""
-    tune(docs.sparkSession)
     names = {c: c if c in own else f"__x{i}" for i, c in enumerate(docs.columns)}
     return docs.select([F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
