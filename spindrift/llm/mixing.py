@@ -13,12 +13,18 @@ a map over narrow rows (posterior, tokens) and sums of one number per domain and
 those reach the driver.  Rounds go on until the dual's gradient is SLOPE of all tokens; a target missed by
 more than RESIDUAL of itself is logged.
 
-Rates become whole copies by systematic rounding with a hash of the id: floor(r + u), u in [0, 1).
+Rates become whole copies by systematic rounding: the rows of a task that share their likeliest domain and
+their length class (powers of two) are run through in order, a row gets the whole numbers that the running
+sum of rates passes, and the sum starts at a hash of the task's first id.  So every group of a task is off by
+less than one copy, where rounding row by row is off by the square root of the rows.  Copies are the rate
+rounded up or down, and the same whenever the same stored table is read in the same splits.
 
 Defined results: null and empty texts have no tokens, the classes' prior as posterior, and a rate like
 any other; domains that no document resembles keep a residual; targets are normalised, a zero target is
-allowed; without labelled rows the posterior is even.  Repeated rows are mixed each by itself.  Extra
-columns are ignored (kept by the pipeline stage).  An empty table gives an empty table.
+allowed (with a least rate of 1 such a domain keeps its documents, and the others are mixed as if it were
+not there); without labelled rows the posterior is even.  Repeated rows are mixed each by itself, ties and
+null ids like other rows.  Extra columns are ignored (kept by the pipeline stage, whatever their names).  An
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -82,13 +88,33 @@ def fit_domains(docs: DataFrame, labelled_ids: DataFrame, domains: list[str], do
     return spark.sparkContext.broadcast(((weights - weights.mean(0)).astype(np.float32), np.log(prior / prior.sum())))
 
 
+class Copies:
+    """Systematic rounding of a task's rates, apart for every domain and length class."""
+
+    def __init__(self, seed: int):
+        self.seed, self.sums = np.uint64(seed & (2**64 - 1)), {}
+
+    def __call__(self, domain: np.ndarray, tokens: np.ndarray, rate: np.ndarray) -> np.ndarray:
+        group = domain * 64 + np.log2(tokens + 1).astype(np.int64)
+        out = np.zeros(len(rate), np.int32)
+        for g in np.unique(group).tolist():
+            if g not in self.sums:
+                self.sums[g] = float(textkit.mix64(np.array([self.seed]) + np.uint64(g))[0] >> np.uint64(11)) / float(1 << 53)
+            mine = np.flatnonzero(group == g)
+            passed = np.floor(np.cumsum(np.concatenate(([self.sums[g]], rate[mine]))))
+            out[mine] = np.diff(passed)
+            self.sums[g] += float(rate[mine].sum()) - passed[-1]
+        return out
+
+
 def posteriors(docs: DataFrame, model, domains: int, keep: list[str], rate=None) -> DataFrame:
-    """``keep`` columns, tokens (words), p array<double>; with a function ``rate`` of p also its value."""
+    """``keep`` columns, tokens (words), p array<double>; with a function ``rate`` of p also its value and the copies."""
     text = "text" if "text" in keep else "__text"
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(batches):
         weights, prior = model.value
+        whole = None
         for batch in batches:
             buf, offs = textkit.text_buffers(batch.column(text))
             all_p, all_n = [np.zeros((0, domains))], [np.zeros(0, np.int64)]
@@ -104,10 +130,11 @@ def posteriors(docs: DataFrame, model, domains: int, keep: list[str], rate=None)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * domains, pa.int32()), pa.array(p.reshape(-1)))
             columns = [batch.column(c) for c in keep] + [pa.array(n.astype(np.int64)), lists]
             if rate is not None:
-                columns.append(pa.array(rate(p)))
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "tokens", "p", *["rate"] * (rate is not None)])
+                whole = whole or Copies(int(batch.column("doc_id")[0].as_py() or 0) if batch.num_rows else 0)
+                columns += [pa.array(r := rate(p)), pa.array(whole(p.argmax(1), n, r))]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "tokens", "p", *["rate", "copies"] * (rate is not None)])
 
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["tokens long", "p array<double>"] + ["rate double"] * (rate is not None))
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["tokens long", "p array<double>"] + ["rate double", "copies int"] * (rate is not None))
     source = docs.select(*keep) if text in keep else docs.select(*keep, F.col("text").alias(text))
     return source.mapInArrow(run, schema)
 
@@ -171,16 +198,10 @@ def fit_rates(rows: DataFrame, targets: np.ndarray, total: float | None = None,
 
 
 def rated(docs: DataFrame, model, domains: int, multipliers: np.ndarray, least: float, keep: list[str]) -> DataFrame:
-    """posteriors() and each document's rate, in one pass over the texts."""
+    """posteriors() and each document's rate and copies, in one pass over the texts; ``keep`` has doc_id."""
     return posteriors(docs, model, domains, keep, lambda p: replay(p, multipliers, least))
 
 
-def whole_copies(rate, key):
-    """floor(rate + u), with u in [0, 1) from a hash of the key: the expected number of copies is the rate."""
-    u = F.shiftrightunsigned(F.xxhash64(key, F.lit("mixing")), 11) / F.lit(float(1 << 53))
-    return F.floor(rate + u).cast("int")
-
-
 def mix(docs: DataFrame, labelled_ids: DataFrame, targets: dict[str, float] = TARGETS, domain_column: str = "lang", least: float = 0.0, total_of=None, ridge: float = RIDGE, keep: list[str] | None = None) -> tuple[DataFrame, dict]:
     """(keep columns, tokens, p, rate, copies) of every document, and the fit's sums.
 
@@ -199,24 +220,33 @@ def mix(docs: DataFrame, labelled_ids: DataFrame, targets: dict[str, float] = TA
     missed = np.abs(report["reached"] - report["wanted"]) > RESIDUAL * report["wanted"] + 1
     if missed.any():
         logging.getLogger(__name__).warning("mixing: targets missed, tokens %s", {d: (round(report["reached"][i]), round(report["wanted"][i])) for i, d in enumerate(domains) if missed[i]})
-    out = rated(docs, model, len(domains), multipliers, least, keep or ["doc_id"])
-    return out.withColumn("copies", whole_copies(F.col("rate"), "doc_id")), report
+    return rated(docs, model, len(domains), multipliers, least, keep or ["doc_id"]), report
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates and copies per document: doc_id, tokens, domain (most likely), p_<domain>, rate, copies."""
+    """Rates and copies per document: doc_id, tokens, domain (most likely), p_<domain>, rate, copies, and the
+    fit's report: wanted_tokens and reached_tokens of that domain."""
     docs, labels = shared.documents(spark, sf_dir), shared.labels(spark, sf_dir)
-    mixed, _ = mix(docs, labels)
+    mixed, report = mix(docs, labels)
     names = list(TARGETS)
-    best = F.element_at(F.array(*[F.lit(d) for d in names]), F.array_position("p", F.array_max("p")).cast("int"))
-    return mixed.select("doc_id", "tokens", best.alias("domain"), *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(names)], "rate", "copies")
+    at = F.array_position("p", F.array_max("p")).cast("int")
+    of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), at)
+    told = [of([float(x) for x in report[k]]).alias(f"{k}_tokens") for k in ("wanted", "reached")]
+    return mixed.select("doc_id", "tokens", of(names).alias("domain"), *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(names)], "rate", "copies", *told)
+
+
+def least_total(have: np.ndarray, want: np.ndarray) -> float:
+    """The smallest total at which no domain has more tokens than its target; domains without a target do not count."""
+    some = want > 0
+    return float((have[some] / want[some]).max()) if some.any() else 0.0
 
 
 def resample(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document stays (least rate 1); those of short domains are repeated.
 
-    The total is the smallest at which the domain with most tokens for its target keeps rate 1.
+    The total is the smallest at which the domain with most tokens for its target keeps rate 1.  Null and empty
+    texts stay once or more like others, repeated rows are repeated each by itself; an empty table stays empty.
     """
     docs, restore = shared.shield(docs, ("doc_id", "text", "lang"))
-    mixed, _ = mix(docs, shared.labels(spark, sf_dir), least=1.0, total_of=lambda have, want: float((have / np.maximum(want, 1e-9)).max()), keep=docs.columns)
+    mixed, _ = mix(docs, shared.labels(spark, sf_dir), least=1.0, total_of=least_total, keep=docs.columns)
     return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*restore)

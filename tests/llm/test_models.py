@@ -158,9 +158,29 @@ def test_skewed_domains_meet_targets(spark, shares, least):
     assert np.allclose(report["reached"], want * (total or 1e6), rtol=mixing.RESIDUAL)
 
 
-def test_copies_follow_rates(spark):
-    got = spark.range(20000).select(mixing.whole_copies(F.lit(1.3), "id").alias("c")).agg(F.avg("c"), F.min("c"), F.max("c")).first()
-    assert abs(got[0] - 1.3) < 0.02 and got[1] == 1 and got[2] == 2
+def test_copies_follow_rates():
+    rng = np.random.default_rng(3)
+    domain, tokens, rate = rng.integers(0, 4, 5000), rng.integers(0, 3000, 5000), rng.random(5000) * 3
+    for cuts in ([0, 5000], [0, 1, 700, 701, 5000]):  # batches of a task do not matter
+        whole = mixing.Copies(17)
+        got = np.concatenate([whole(domain[a:b], tokens[a:b], rate[a:b]) for a, b in zip(cuts, cuts[1:])])
+        assert ((got == np.floor(rate)) | (got == np.ceil(rate))).all()
+        for d in range(4):
+            mine = domain == d
+            assert abs(got[mine].sum() - rate[mine].sum()) < 13
+            assert abs((got * tokens)[mine].sum() / (rate * tokens)[mine].sum() - 1) < 0.01
+    seeds = [mixing.Copies(s)(np.zeros(1, int), np.ones(1, int), np.array([0.3]))[0] for s in range(4000)]
+    assert abs(np.mean(seeds) - 0.3) < 0.03
+
+
+def test_zero_targets(spark):
+    assert mixing.least_total(np.array([50.0, 30.0, 20.0]), np.array([0.5, 0.5, 0.0])) == 100 and mixing.least_total(np.zeros(2), np.zeros(2)) == 0
+    words = {"a": "ein der die", "b": "the of and", "c": "el los las"}
+    rows = [(i, " ".join([words[d]] * 20), d) for i, d in enumerate("aabbbbccccc" * 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    mixed, report = mixing.mix(df, df.select("doc_id"), {"a": 1.0, "b": 1.0, "c": 0.0}, least=1.0, total_of=mixing.least_total)
+    out = mixed.toPandas()
+    assert out.copies.min() >= 1 and out.copies.max() < 10 and abs(report["reached"][0] / report["reached"][1] - 1) < 0.05
 
 
 def brute_padding(lengths, k):
@@ -175,10 +195,10 @@ def brute_padding(lengths, k):
     return min(v for (j, n), v in best.items() if j == len(values) - 1)
 
 
-@pytest.mark.parametrize("seed", range(8))
+@pytest.mark.parametrize("seed", range(10))
 def test_boundaries_are_optimal(seed):
     rng = random.Random(seed)
-    lengths = [rng.choice([rng.randint(0, 9), rng.randint(0, 60)]) for _ in range(rng.randint(1, 60))]
+    lengths = [rng.choice([rng.randint(0, 9), rng.randint(0, 60), *[rng.randint(1024, 1100)] * (seed > 7)]) for _ in range(rng.randint(1, 60))]
     k = rng.randint(1, 5)
     top, count = np.unique(lengths, return_counts=True)
     tops = packing.boundaries(top, count, top * count, k)
@@ -189,9 +209,10 @@ def test_boundaries_are_optimal(seed):
 def test_batches(spark, monkeypatch):
     monkeypatch.setattr(packing, "RANGE_ROWS", 37)
     rng = random.Random(8)
-    rows = [(i, "w " * rng.choice([3, 10, rng.randint(0, 200)])) for i in range(500)] + [(900, None), (901, "w " * 3000), (7, "w w w"), (7, "w w w"), (None, "a")]
+    rows = [(i, "w " * rng.choice([3, 10, rng.randint(0, 200), rng.randint(1020, 1060)])) for i in range(500)] + [(900, None), (901, "w " * 3000), (7, "w w w"), (7, "w w w"), (None, "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("bucket", F.lit("clash"))
     out = packing.pack(packing.lengths(df, ["doc_id"]), 5, 512).toPandas()
+    assert out.padding.sum() == brute_padding([len((t or "").split()) for _, t in rows], 5)
     assert len(out) == len(rows) and sorted(out.n_tokens) == sorted(len((t or "").split()) for _, t in rows)
     assert (out.bucket_len >= out.n_tokens).all() and (out.padding == out.bucket_len - out.n_tokens).all()
     for _, batch in out.groupby("batch_id"):
