@@ -12,19 +12,24 @@ where identifiers are what it introduces, so every place in the corpus that it p
 second pass over the texts, and it takes part if at least MIN_SHARE of these hold a seed or a candidate.
 The pattern-instance graph, one edge
 per distinct pair, is scored in Spark for ROUNDS rounds: a pattern's confidence is the mean confidence of
-its instances (seeds 1, unknown ones what they have so far), an instance's confidence is one minus the
-product of its patterns' doubts.  Patterns with enough confidence and enough distinct seeds are accepted
-and mark the candidates they fit as further spans, kind ``context``.  Candidates that fail a check of
-their own kind (a card number with a wrong check digit, an address part over 255) stay unknown: they
-count against a pattern like any other unknown instance.
+its instances (seeds 1), an unknown instance's confidence towards a pattern is one minus the product of the
+doubts of its *other* patterns, so no pattern vouches for itself by way of an instance.  Patterns with
+enough confidence and enough distinct seeds are accepted and mark the candidates they fit as further spans,
+kind ``context``.  A candidate that as a whole has the form of a kind and fails that kind's check (12 to 19
+digits with a wrong check digit, an address part over 255, a plus and too few or too many digits) is no
+identifier: it is never marked, and counts against a pattern like any other unknown instance.
+
+A context word is known by the 64 characters next to the span, which holds for any text; spans, candidates
+and texts have no length limit.
 
 The least number of seeds is the same at every size, so documents added elsewhere withdraw no pattern.
 Accepted patterns may be any number: candidates are joined with their table, never with a list of them.
 
 Spans and candidates with their contexts are written to the shared folder.  Of overlapping spans found by
 context the longest stays.
-Null counts as empty; empty texts have no spans and the hash of the empty string.  Repeated rows are
-scanned each by itself; extra columns are ignored.
+Null counts as empty; empty texts have no spans and the hash of the empty string.  Repeated rows and null
+ids are scanned each by itself; extra columns, also ones named like a result, are ignored; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -123,7 +128,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def shape(token: str) -> str:
     """Letters and digits as classes, with the length of each run."""
-    return re.sub(r"[0-9]+", lambda m: f"9{len(m[0])}", re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", token)))[:40]
+    form = re.sub(r"[0-9]+", lambda m: f"9{len(m[0])}", re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", token)))
+    return form if len(form) <= 40 else f"{form[:20]}#{_digest(form):016x}"
 
 
 def _before(text: str, at: int) -> list[str]:
@@ -242,6 +248,14 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
+def refuted(token: str) -> bool:
+    """Whether a token has the form of a base kind as a whole; being no base span, it fails the check of that kind."""
+    digits = sum("0" <= c <= "9" for c in token)
+    if _CARD.fullmatch(token) and 12 <= digits <= 19:
+        return True
+    return bool(_PHONE.fullmatch(token)) or (token.count(".") == 3 and bool(_CHAIN.fullmatch(token)))
+
+
 _DIGIT = np.zeros(256, np.uint8)
 _DIGIT[48:58] = 1
 
@@ -254,7 +268,7 @@ def suspects(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def extract(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns, counts, base, and found: array of (lo, hi, kind, instance, patterns); kind 4 are candidates."""
+    """``keep`` columns, counts, base, and found: array of (lo, hi, kind, instance, patterns); kind 4 are candidates, kind 5 those that are refuted."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     item = pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("kind", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
 
@@ -269,7 +283,7 @@ def extract(docs: DataFrame, keep: list[str]) -> DataFrame:
                     base = base_spans(text)
                     for _, k, _ in base:
                         count[first + i, k] += 1
-                    every = base + [(lo, 4, hi) for lo, hi in candidates(text, base)]
+                    every = base + [(lo, 4 + refuted(text[lo:hi]), hi) for lo, hi in candidates(text, base)]
                     found[first + i] = [{"lo": lo, "hi": hi, "kind": k, "instance": text[lo:hi], "patterns": patterns(text, lo, hi)} for lo, k, hi in sorted(every)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in keep] + [pa.array(count[:, k].copy()) for k in range(4)] + [pa.array(found, pa.list_(item))],
@@ -294,15 +308,19 @@ def bootstrap(found: DataFrame, docs: DataFrame, rounds: int = ROUNDS, min_seeds
         telling = contexts.join(near, "pattern", "left").where(F.col("filled") >= MIN_SHARE * F.coalesce("places", F.lit(0)))
         strong = strong.where("pattern NOT LIKE '~%'").unionByName(telling.select(strong.columns))
     graph = shared.materialize(edges.join(strong.select("pattern", "seeds"), "pattern"))
+    # A pattern or an instance may hold a large part of the edges: those few are spread over several tasks.
+    hot = {k: shared.hot_keys(graph.groupBy(k).agg(F.count(F.lit(1)).alias("n")), k, "n") for k in ("pattern", "instance")}
     belief = graph.select("pattern", "instance", "seeds", F.col("seed").cast("double").alias("conf"))
     for _ in range(rounds):
         # ln(1 - confidence) is summed, so an instance's doubt is a product over its patterns.
-        scored = belief.groupBy("pattern", "seeds").agg(F.avg("conf").alias("confidence"))
-        doubt = graph.join(scored.select("pattern", "confidence"), "pattern").groupBy("instance").agg(
-            F.sum(F.log(F.greatest(F.lit(1e-6), F.lit(1.0) - F.col("confidence") * 0.5))).alias("doubt"), F.max("seed").alias("seed")
-        )
-        conf = doubt.select("instance", F.when(F.col("seed"), 1.0).otherwise(1.0 - F.exp("doubt")).alias("conf"))
-        belief = shared.materialize(graph.select("pattern", "instance", "seeds").join(conf, "instance"))
+        scored = belief.groupBy("pattern").agg(F.avg("conf").alias("confidence"))
+        own = shared.salted(graph, scored, "pattern", hot["pattern"])
+        own = shared.materialize(own.select("pattern", "instance", "seeds", "seed", F.log(F.greatest(F.lit(1e-6), F.lit(1.0) - F.col("confidence") * 0.5)).alias("own")))
+        doubt = own.groupBy("instance").agg(F.sum("own").alias("doubt"))
+        both = shared.salted(own, doubt, "instance", hot["instance"])
+        # Without what the pattern itself says; sums of doubles may differ in the last place, hence the bound.
+        others = F.least(F.lit(0.0), F.col("doubt") - F.col("own"))
+        belief = shared.materialize(both.select("pattern", "instance", "seeds", F.when(F.col("seed"), 1.0).otherwise(1.0 - F.exp(others)).alias("conf")))
     return belief.groupBy("pattern").agg(F.avg("conf").alias("confidence"), F.max("seeds").alias("seeds")).where(F.col("confidence") >= min_confidence)
 
 

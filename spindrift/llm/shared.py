@@ -54,6 +54,17 @@ def hot_keys(counted: DataFrame, key: str, count: str, share: float = 0.001) ->
     return [r[0] for r in counted.where(F.col(count) > least).select(key).collect()]
 
 
+def salted(rows: DataFrame, groups: DataFrame, key: str, hot: list, parts: int = 32, how: str = "inner") -> DataFrame:
+    """rows joined with the one row of ``groups`` of their key; rows of the few hot keys meet ``parts`` copies of it."""
+    if not hot:
+        return rows.join(groups, key, how)
+    is_hot = F.col(key).isin(hot)
+    zero = F.lit(0).cast("long")
+    left = rows.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.lit(parts).cast("long"))).otherwise(zero))
+    right = groups.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(zero, F.lit(parts - 1).cast("long"))).otherwise(F.array(zero))))
+    return left.join(right, [key, "__salt"], how).drop("__salt")
+
+
 def shield(docs: DataFrame, own: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, list]:
     """``docs`` with all columns but ``own`` under names no operator uses, and the columns that undo this."""
     names = {c: c if c in own else f"__x{i}" for i, c in enumerate(docs.columns)}
