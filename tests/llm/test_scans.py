@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 
@@ -230,3 +231,61 @@ def test_url_mining(spark):
     got = {r.page_id: r.verdict for r in urls.judge(pages, rules, ["page_id"]).collect()}
     assert got == {1: "block", 2: "allow", 3: "allow", 4: "allow"}
     assert urls.mine(spark.createDataFrame([], "tokens array<string>, label string")) == []
+
+
+def brute_rules(rows, least, confidence, lift):
+    """All item sets by enumeration; those with equal urls are one, kept in its largest form."""
+    rows = [(frozenset(t), v) for t, v in rows if t]
+    base = {v: sum(x == v for _, x in rows) / len(rows) for v in {v for _, v in rows}}
+    sets = {frozenset(c) for t, _ in rows for k in range(1, len(t) + 1) for c in itertools.combinations(sorted(t), k)}
+    found = {}
+    for s in sets:
+        have = [v for t, v in rows if s <= t]
+        for v in base:
+            n = have.count(v)
+            if n >= least and n / len(have) >= max(confidence, lift * base[v]):
+                found[s, v] = (n / len(have), n, frozenset(k for k, (t, _) in enumerate(rows) if s <= t))
+    best = lambda s, v: max((c for (p, w), (c, *_) in found.items() if w == v and p < s), default=-1.0)
+    return found, {(s, v) for (s, v), (c, *_) in found.items() if best(s, v) < c}
+
+
+def test_mining_against_enumeration(spark):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(160):
+        own = {t for t in "abcdef" if rng.random() < 0.35} | ({"g", "h"} if rng.random() < 0.2 else set())  # g and h always together
+        rows.append((sorted(own), "block" if "a" in own and "b" in own or "g" in own and rng.random() < 0.9 else rng.choice(["allow"] * 9 + ["block"])))
+    long = [(sorted(f"t{k}" for k in range(40)), "block")] * 6  # forty tokens of the same urls: one item
+    got = urls.mine(spark.createDataFrame(rows + long, "tokens array<string>, label string"), 0.0, 0.8, 5, 1.1)
+    assert (tuple(sorted(f"t{k}" for k in range(40))), "block", 1.0, 6) in got
+    _, want = brute_rules(rows + [(("t",), "block")] * 6, 5, 0.8, 1.1)
+    plain = lambda s: frozenset("g" if x == "h" else "t" if x[0] == "t" else x for x in s)
+    assert {(plain(b), v) for b, v, *_ in got} == {(plain(s), v) for s, v in want}
+    for body, label, confidence, n in got:
+        have = [v for t, v in rows + long if set(body) <= set(t)]
+        assert have.count(label) == n >= 5 and confidence == n / len(have) >= 0.8
+    few = [(["x"], "block")] * 4 + [(["y"], "allow")] * 4
+    assert urls.mine(spark.createDataFrame(few, "tokens array<string>, label string"), 0.0, 0.8, 5) == []
+    # Most urls are allowed anyway: that a token is allowed as often says nothing.
+    flat = [([f"k{i % 3}"], "allow" if i % 20 else "block") for i in range(120)]
+    assert urls.mine(spark.createDataFrame(flat, "tokens array<string>, label string"), 0.0, 0.9, 5, 1.1) == []
+
+
+def test_page_labels_by_whole_text(spark):
+    opening = "The same opening of two documents that goes on for more than sixty characters, word by word. "
+    docs = [(1, opening + "First\n\nend & <so>"), (2, opening + "Second"), (3, None), (4, ""), (5, opening + "Third"), (6, opening + "Third")]
+    labels = [(1, 1, 0), (2, 0, 0), (3, 0, 0), (4, 0, 1), (5, 1, 0), (6, 1, 1), (None, 0, 0)]
+    page = lambda body: f"<html><title>t</title><script>x</script><article><h1>{opening}</h1><p><b>{opening}</b>{body}</p><!-- no --></article> foot</html>"
+    pages = [(10, page("First<br>end &amp; &lt;so&gt;")), (11, page("Second")), (12, page("Other")), (13, None), (14, ""), (15, page("Third")), (16, opening + "Second")]
+    got = urls.page_labels(
+        spark.createDataFrame([(i, h, "z") for i, h in pages], "page_id long, html string, label string"), spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, bad int"),
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int"),
+    )
+    assert {r.page_id: r.label for r in got.collect()} == {10: "allow", 11: "block", 15: "block", 16: "block"}
+    assert urls.judge(urls.parse(spark.createDataFrame([], "page_id long, url string"), ["page_id"]), [], ["page_id"]).count() == 0
+
+
+def test_cross_validation(spark):
+    rows = [([f"host:{h}", f"n{i % 7}"], "block" if h == "bad" else "allow") for i in range(60) for h in ("bad", "good", "fine")]
+    got = urls.cross_validate(spark.createDataFrame(rows, "tokens array<string>, label string"), 3)
+    assert got["blocked"] == got["blocked_right"] == got["block"] == 60 and got["decided"] == got["right"] == 180
