@@ -1,20 +1,23 @@
 """Exact dedup behind static binary-fuse filters.
 
-Documents come in batches; every earlier batch is an immutable *snapshot*.  For each snapshot a static
-3-wise binary-fuse filter is built per digest shard (about 9 bits a key).  Digests of a new batch are
-grouped among themselves first, then screened by the filter of their shard: what it rejects is new for
-certain, and only what it passes joins the snapshot's exact buckets.  Every group of equal digests is
-then checked byte by byte against its representative.
+Documents come in batches; every earlier batch is an immutable *snapshot*: a folder with its exact buckets
+(digest, bytes, largest id, copies) and, per digest shard, one static 3-wise binary-fuse filter (about 9 bits
+a key), written once and read ever after (``Store``).  Digests of a new batch are grouped among themselves
+first, then screened by the filters of every snapshot: what all reject is new for certain and joins nothing;
+only what a filter passes joins that snapshot's buckets.  Every group of equal digests is then checked byte
+by byte.
 
 Texts are equal when they are identical after lower-casing A-Z.  Of equal texts the row with the
-largest doc_id stays (null ids come last); with equal ids in a group every row has the same keep_id and
-only one row, chosen by a fixed order, is kept.  Null counts as empty, so null and empty texts are one
-group.  Further columns are ignored.  An empty table gives an empty table.
+largest doc_id stays (null ids come last).  With that id on several rows of a group, all of them have the same
+keep_id and one is kept; these rows are alike in all that is returned, so it does not matter which.  Null counts as
+empty, so null and empty texts are one group.  Further columns are ignored.  An empty table gives an empty
+table.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -92,31 +95,64 @@ def fuse_test(keys: np.ndarray, built: tuple[int, int, int, bytes]) -> np.ndarra
     return _prints(keys, seed) == table[a] ^ table[b] ^ table[c]
 
 
-def screen(incoming: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """``incoming`` (distinct digests) with boolean ``maybe``: whether the snapshot may hold the digest.
+# --- snapshots --------------------------------------------------------------------------------
 
-    Shards follow the number of snapshot keys, so neither a filter nor the keys of a shard ever grow
-    beyond what one task holds.
-    """
-    shards = max(1, -(-snapshot.count() // SHARD_KEYS))
-    cut = F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int")
+BUCKETS = "digest binary, n_bytes long, keep_id long, group_size long"
+
+
+class Store:
+    """Immutable snapshots below a folder that all executors share."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.names = spark, folder, []
+
+    def add(self, name: str, buckets: DataFrame) -> None:
+        """Writes the exact buckets (BUCKETS, distinct digests) of a snapshot and its filters, once and for all."""
+        buckets.select("digest", "n_bytes", "keep_id", "group_size").write.parquet(f"{self.folder}/{name}/buckets")
+        stored = self.buckets(name)
+        shards = max(1, -(-stored.count() // SHARD_KEYS))
+
+        def build(group: pa.Table) -> pa.Table:
+            seed, segment, count, blob = fuse_build(_keys(group.column("digest")))
+            return pa.table({"shard": [group.column("shard")[0].as_py()], "shards": [shards], "seed": [seed], "segment": [segment], "count": [count], "blob": [blob]},
+                            schema=pa.schema([("shard", pa.int32()), ("shards", pa.int32()), ("seed", pa.int64()), ("segment", pa.int64()), ("count", pa.int64()), ("blob", pa.binary())]))
+
+        keyed = stored.select(_shard(shards).alias("shard"), "digest")
+        keyed.groupBy("shard").applyInArrow(build, "shard int, shards int, seed long, segment long, count long, blob binary").write.parquet(f"{self.folder}/{name}/filters")
+        self.names.append(name)
 
-    def build(group: pa.Table) -> pa.Table:
-        seed, segment, count, blob = fuse_build(_keys(group.column("digest")))
-        return pa.table({"shard": [group.column("shard")[0].as_py()], "seed": [seed], "segment": [segment], "count": [count], "blob": [blob]},
-                        schema=pa.schema([("shard", pa.int32()), ("seed", pa.int64()), ("segment", pa.int64()), ("count", pa.int64()), ("blob", pa.binary())]))
+    def buckets(self, name: str) -> DataFrame:
+        return self.spark.read.schema(BUCKETS).parquet(f"{self.folder}/{name}/buckets")
 
-    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
-        if right.num_rows:
+    def filters(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}/filters")
+
+    def screen(self, name: str, batch: DataFrame, size: int) -> DataFrame:
+        """Those of ``batch`` (BUCKETS, ``size`` rows) that the snapshot may hold: all that it holds, and one in 256 others.
+
+        A shard's filter meets the batch in pieces of about SHARD_KEYS digests, however large the batch is.
+        """
+        filters = self.filters(name)
+        some = filters.select("shards").first()
+        if some is None:
+            return batch.limit(0)
+        pieces = max(1, -(-size // (some.shards * SHARD_KEYS)))
+        piece = F.pmod(F.xxhash64("digest", F.lit("piece")), F.lit(pieces)).cast("int")
+
+        def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+            own = left.select(["digest", "n_bytes", "keep_id", "group_size"])
+            if not left.num_rows or not right.num_rows:
+                return own.slice(0, 0)
             built = tuple(right.column(c)[0].as_py() for c in ("seed", "segment", "count", "blob"))
-            maybe = fuse_test(_keys(left.column("digest")), built)
-        else:
-            maybe = np.zeros(left.num_rows, bool)
-        return pa.table({"digest": left.column("digest"), "maybe": pa.array(maybe)})
+            return own.filter(pa.array(fuse_test(_keys(left.column("digest")), built)))
 
-    filters = snapshot.select(cut.alias("shard"), "digest").groupBy("shard").applyInArrow(build, "shard int, seed long, segment long, count long, blob binary")
-    keyed = incoming.select(cut.alias("shard"), "digest")
-    return keyed.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(probe, "digest binary, maybe boolean")
+        keyed = batch.select(_shard(some.shards).alias("shard"), piece.alias("piece"), "digest", "n_bytes", "keep_id", "group_size")
+        copies = filters.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+        return keyed.groupBy("shard", "piece").cogroup(copies.groupBy("shard", "piece")).applyInArrow(probe, BUCKETS)
+
+
+def _shard(shards: int):
+    return F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int")
 
 
 def _keys(column) -> np.ndarray:
@@ -144,96 +180,107 @@ def digests(docs: DataFrame, keep: list[str], folded: bool = False) -> DataFrame
     return docs.select(*keep, F.col("text").cast("binary").alias("__bytes")).mapInArrow(run, schema)
 
 
-def group_digests(rows: DataFrame, arriving) -> DataFrame:
-    """(digest, n_bytes, keep_id, group_size) over all rows; ``arriving`` says which rows are the new batch.
+def group_digests(rows: DataFrame, arrival, batches: int, store: Store | None = None) -> DataFrame:
+    """BUCKETS over all rows (digest, n_bytes, doc_id); ``arrival``: number of the batch (0 first) that brings a row.
 
-    Snapshot and batch are each grouped by digest (pre-aggregated, so copies never travel), the batch's
-    digests are screened, and those that pass are merged with the snapshot's exact bucket.
+    Each batch is grouped by digest (pre-aggregated, so copies never travel), screened against the snapshots
+    before it, and what is new in it becomes the next snapshot.  Nothing that is rejected takes part in a join.
     """
-    own = rows.groupBy("digest", "n_bytes", arriving.alias("new")).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    own = shared.materialize(own)
-    snapshot, batch = own.where(~F.col("new")).drop("new"), own.where("new").drop("new")
-    maybe = screen(batch.select("digest"), snapshot.select("digest"))
-    screened = batch.join(maybe, "digest")
-    fresh = screened.where(~F.col("maybe")).drop("maybe")
-    positive = screened.where("maybe").select("digest", "n_bytes", "keep_id", "group_size")
-    merged = snapshot.unionByName(positive).groupBy("digest", "n_bytes").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    return fresh.select("digest", "n_bytes", "keep_id", "group_size").unionByName(merged)
-
-
-def _salted(rows: DataFrame, groups: DataFrame, hot: list, parts: int, how: str = "inner") -> DataFrame:
+    spark = rows.sparkSession
+    shared.ensure_checkpoint_dir(spark)
+    store = store or Store(spark, f"{spark.sparkContext.getCheckpointDir()}/snapshots-{uuid.uuid4().hex}")
+    own = shared.materialize(rows.groupBy("digest", "n_bytes", arrival.alias("__batch")).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    sizes = {r["__batch"]: r["count"] for r in own.groupBy("__batch").count().collect()}
+    again = None
+    for k in range(batches):
+        batch = own.where(F.col("__batch") == k).drop("__batch")
+        met = None
+        for name in store.names:
+            maybe = store.screen(name, batch, sizes.get(k, 0))
+            hits = maybe.join(store.buckets(name).select("digest"), "digest", "left_semi").withColumn("__name", F.lit(name))
+            met = hits if met is None else met.unionByName(hits)
+        if met is not None:
+            met = shared.materialize(met)
+            if not met.isEmpty():
+                again = met if again is None else again.unionByName(met)
+                batch = batch.join(met.select("digest"), "digest", "left_anti")
+        store.add(str(len(store.names)), batch)
+    out = None
+    for name in store.names:
+        buckets = store.buckets(name)
+        if again is not None:
+            more = again.where(F.col("__name") == name).groupBy("digest").agg(F.max("keep_id").alias("__keep"), F.sum("group_size").alias("__more"))
+            buckets = buckets.join(more, "digest", "left").select(
+                "digest", "n_bytes", F.greatest("keep_id", "__keep").alias("keep_id"), (F.col("group_size") + F.coalesce("__more", F.lit(0))).alias("group_size")
+            )
+        out = buckets if out is None else out.unionByName(buckets)
+    return out
+
+
+def _salted(rows: DataFrame, groups: DataFrame, hot: list, parts: int = 32, how: str = "inner") -> DataFrame:
     """rows joined with their group; rows of the few hot digests are spread over ``parts`` copies of its entry."""
     if not hot:
         return rows.join(groups, "digest", how)
     is_hot = F.col("digest").isin([F.lit(bytes(x)) for x in hot])
-    left = rows.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(parts).cast("long"))).otherwise(F.lit(0).cast("long")))
-    right = groups.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
+    zero = F.lit(0).cast("long")
+    left = rows.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(parts).cast("long"))).otherwise(zero))
+    right = groups.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(zero, F.lit(parts - 1).cast("long"))).otherwise(F.array(zero))))
     return left.join(right, ["digest", "__salt"], how).drop("__salt")
 
 
-def uneven(docs: DataFrame, groups: DataFrame, hot: list, parts: int) -> DataFrame:
+def uneven(docs: DataFrame, groups: DataFrame, hot: list) -> DataFrame:
     """Digests whose documents are not all the same bytes.
 
     Texts meet their group once, and a group whose smallest and largest text agree is even; both are
     partial aggregates, so copies do not travel again.
     """
-    several = groups.where("group_size > 1").select("digest", "keep_id")
+    several = groups.where("group_size > 1").select("digest")
     texts = digests(docs.select("doc_id", "text"), ["doc_id"], folded=True).drop("n_bytes")
-    members = _salted(texts, several, hot, parts)
+    members = _salted(texts, several, hot)
     ends = members.groupBy("digest").agg(F.min("folded").alias("least"), F.max("folded").alias("most"))
     return ends.where("least <> most").select("digest")
 
 
-def differing(docs: DataFrame, groups: DataFrame, hot: list, parts: int, odd: DataFrame) -> DataFrame:
-    """Rows of the ``odd`` digests whose bytes differ from those of their group's representative: (digest, doc_id, folded)."""
-    several = groups.join(odd, "digest", "left_semi").select("digest", "keep_id")
-    texts = digests(docs.select("doc_id", "text"), ["doc_id"], folded=True).drop("n_bytes")
-    members = _salted(texts, several, hot, parts)
-    # One representative a group: of equal ids, either serves, as only equality of the whole group matters.
-    heads = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.first("folded").alias("head"))
-    return _salted(members.drop("keep_id"), heads, hot, parts).where("folded <> head").select("digest", "doc_id", "folded")
-
+def dedup(docs: DataFrame, arrival, batches: int, byte_check: bool = True, store: Store | None = None) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-def dedup(docs: DataFrame, arriving, byte_check: bool = True) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_bytes."""
+    ``arrival``: the number, below ``batches``, of the batch that brings a document.
+    """
     rows = shared.materialize(digests(docs.select("doc_id", "text"), ["doc_id"]))
-    groups = shared.materialize(group_digests(rows, arriving))
+    groups = shared.materialize(group_digests(rows, arrival, batches, store))
     hot = shared.hot_keys(groups, "digest", "group_size")
-    parts = 32
-    joined = _salted(rows.drop("n_bytes"), groups, hot, parts)
+    joined = _salted(rows.drop("n_bytes"), groups.select("digest", "keep_id", "group_size"), hot)
     if byte_check:
-        odd = shared.materialize(uneven(docs, groups, hot, parts))
+        odd = shared.materialize(uneven(docs, groups, hot))
         if not odd.isEmpty():
-            joined = _split(joined, shared.materialize(differing(docs, groups, hot, parts, odd)))
+            joined = joined.join(odd, "digest", "left_anti").unionByName(_by_bytes(docs, odd).select(joined.columns))
     tie = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    # Several rows may carry the largest id: the first of them in a fixed order is the one kept.
-    twins = joined.where(tie).groupBy("digest", "keep_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Several rows may carry the largest id: one of them is kept.
+    group = [c for c in ("digest", "folded", "keep_id") if c in joined.columns]
+    twins = joined.where(tie).groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
     kept = tie
     if not twins.isEmpty():
-        w = Window.partitionBy("digest", "doc_id").orderBy(F.lit(1))
+        w = Window.partitionBy(*group).orderBy(F.lit(1))
         ranked = joined.where(tie).withColumn("__rank", F.row_number().over(w))
         joined = joined.where(~tie).withColumn("__rank", F.lit(0)).unionByName(ranked)
         kept = F.col("__rank") == 1
     return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def _split(joined: DataFrame, odd: DataFrame) -> DataFrame:
-    """Documents whose bytes differ under one digest form groups by their bytes."""
-    own = odd.groupBy("digest", "folded").agg(F.max("doc_id").alias("odd_keep"), F.count(F.lit(1)).alias("odd_size"))
-    lost = odd.groupBy("digest").agg(F.count(F.lit(1)).alias("lost"))
-    moved = odd.join(own, ["digest", "folded"]).select("digest", "doc_id", "odd_keep", "odd_size")
-    out = joined.join(lost, "digest", "left").join(moved, ["digest", "doc_id"], "left")
-    return out.select(
-        "digest", "doc_id",
-        F.coalesce("odd_keep", "keep_id").alias("keep_id"),
-        F.coalesce(F.col("odd_size"), F.col("group_size") - F.coalesce("lost", F.lit(0))).alias("group_size"),
-    )
+def _by_bytes(docs: DataFrame, odd: DataFrame) -> DataFrame:
+    """Documents of the ``odd`` digests, which form groups by their bytes: (doc_id, digest, keep_id, group_size)."""
+    texts = shared.materialize(digests(docs.select("doc_id", "text"), ["doc_id"], folded=True).join(odd, "digest", "left_semi"))
+    own = texts.groupBy("digest", "folded").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return texts.join(own, ["digest", "folded"]).select("doc_id", "digest", "keep_id", "group_size")
+
+
+#: op3 and the stage take the documents as so many batches, by checksum of the id: two snapshots and the incoming one.
+BATCHES = 3
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A quarter of the ids, by checksum, is the incoming batch; the rest is the snapshot before it."""
     docs = shared.documents(spark, sf_dir)
-    return dedup(docs, textkit.sql_crc_bucket("doc_id", 4) == 0)
+    return dedup(docs, textkit.sql_crc_bucket("doc_id", BATCHES), BATCHES)
 
 
 OP3_SQL = """
@@ -249,18 +296,41 @@ FROM d JOIN g USING (text_sha256)
 
 
 def filter_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of equal texts the row with the largest doc_id stays, with its columns."""
+    """Pipeline stage: of equal texts the row with the largest doc_id stays, with its columns.
+
+    Of several rows of one text with that id the one with the least hash of all its columns stays; a group
+    whose ids are all null keeps one row.  Null and empty texts are one group; groups of equal digests are
+    checked by their bytes.  Rows of different texts never stand for each other, whatever their ids.
+    """
     docs, restore = shared.shield(docs)
     rows = shared.materialize(digests(docs.select("doc_id", "text"), ["doc_id"]))
-    groups = group_digests(rows, textkit.sql_crc_bucket("doc_id", 4) == 0)
-    several = shared.materialize(groups.where("group_size > 1").select("digest", "keep_id"))
-    lost = rows.join(several, "digest").where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "digest").distinct()
+    groups = shared.materialize(group_digests(rows, textkit.sql_crc_bucket("doc_id", BATCHES), BATCHES))
+    hot = shared.hot_keys(groups, "digest", "group_size")
+    odd = shared.materialize(uneven(docs, groups, hot))
+    several = groups.where("group_size > 1").select("digest", "keep_id")
+    copies = shared.materialize(_salted(rows.select("doc_id", "digest"), several, hot))
+    lost = copies.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
     marked = digests(docs, docs.columns).drop("n_bytes")
-    gone = lost.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    left = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left_anti")
-    twins = shared.materialize(
-        rows.join(several, "digest").where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    )
-    if not twins.isEmpty():  # whole rows repeated: one of each stays
-        left = left.dropDuplicates(["doc_id", "digest"])
+    left = marked.join(lost, _same_row("__id", "__digest"), "left_anti")
+    twins = shared.materialize(copies.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")))
+    if not odd.isEmpty():
+        left = left.join(odd, "digest", "left_anti")
+    if not twins.isEmpty():  # one of each stays
+        left = left.join(twins, _same_row("__id", "__digest"), "left_anti").unionByName(_one_of(left.join(twins, _same_row("__id", "__digest"), "left_semi"), ["digest"]))
+    if not odd.isEmpty():
+        texts = digests(docs, docs.columns, folded=True).join(odd, "digest", "left_semi")
+        heads = texts.groupBy(F.col("digest").alias("__digest"), F.col("folded").alias("__folded")).agg(F.max("doc_id").alias("__id"))
+        best = texts.join(heads, _same_row("__id", "__digest") & (F.col("folded") == F.col("__folded")), "left_semi")
+        left = left.unionByName(_one_of(best, ["digest", "folded"]).select(left.columns))
     return left.select(*restore)
+
+
+def _same_row(doc_id: str, digest: str):
+    return F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.col("digest") == F.col(digest))
+
+
+def _one_of(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Of the rows of each group the one with the least hash of its columns (maps, which have none, aside)."""
+    hashed = [f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
+    others = [c for c in rows.columns if c not in by]
+    return rows.groupBy(*by).agg(F.min_by(F.struct(*others), F.xxhash64(*hashed)).alias("__r")).select(*by, "__r.*").select(rows.columns)
