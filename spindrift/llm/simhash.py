@@ -11,13 +11,14 @@ radius differ by at most e_k bits in some block k, so the one that is sought loo
 every choice of at most e_k bits flipped.  A pair is reported by the first table that finds it only.
 Equal fingerprints are one entry with a weight.
 
-Edited texts need the next document by descending id.  Ids are cut into buckets at quantiles; a bucket's
-first document is also given to the bucket before it, so each text is shuffled once and a task streams its
+Edited texts need the next document by descending id.  Documents are cut into ranges of (id, hash of the
+text), so many rows of one id or of none are spread as well (only rows equal in both share a range); a range's
+first document is also given to the range before it, so each text is shuffled once and a task streams its
 sorted rows holding two of them.
 
 Defined results: null and empty texts have fingerprint zero and edit as empty; equal texts are alike (1),
 so an empty text and its equally empty edit are too; ties in doc_id are ordered by a hash of the text, null
-ids come last; a single document is its own next one.  Extra columns are ignored; an empty table gives an
+ids come last (with the id -2**63, by hash); a single document is its own next one.  Extra columns are ignored; an empty table gives an
 empty table.
 """
 
@@ -76,34 +77,43 @@ def render(fp: np.ndarray) -> list[str]:
 
 # --- the next document ------------------------------------------------------------------------
 
+def _order():
+    """(u, h): documents by descending id, null ids last, ties by a hash of the text, are sorted by both ascending."""
+    u = F.coalesce(F.bitwise_not(F.col("doc_id")), F.lit(2**63 - 1))
+    return u.alias("u"), F.xxhash64("text").alias("h")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) as (bucket, guest, doc_id, text), so that within a bucket, sorted by guest, then
-    doc_id descending, every row that is no guest is followed by the next document."""
-    size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    buckets = max(1, int((size.bytes or 0) // BUCKET_BYTES))
-    cuts: list = []
-    if buckets > 1:
-        probs = [i / buckets for i in range(1, buckets)]
-        cuts = sorted({c for c in docs.select("doc_id").agg(F.percentile_approx("doc_id", probs, 100 * buckets)).first()[0] or []}, reverse=True)
-    # Bucket 0 has the largest ids; the number of a row's bucket is that of cuts at or above it.
-    ladder = np.array(sorted(cuts), np.int64)
-
-    @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        at = len(ladder) - np.searchsorted(ladder, ids.fillna(0).astype("int64").to_numpy(), side="left")
-        return pd.Series(np.where(ids.isna(), len(ladder), at).astype(np.int32))
-
-    at = place("doc_id") if len(ladder) else F.lit(0)
-    heads = sorted(docs.select("doc_id").withColumn("bucket", at).groupBy("bucket").agg(F.max("doc_id").alias("head")).collect(), key=lambda r: r.bucket)
-    host, head = [0] * (len(ladder) + 1), [None] * (len(ladder) + 1)
-    for i, r in enumerate(heads):
-        host[r.bucket], head[r.bucket] = heads[i - 1].bucket, r.head
-    own = F.col("bucket") + 1
-    leads = F.col("doc_id").eqNullSafe(F.element_at(F.array(*[F.lit(x).cast("long") for x in head]), own))
-    home = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("guest"))
-    away = F.struct(F.element_at(F.array(*[F.lit(x) for x in host]), own).alias("bucket"), F.lit(1).alias("guest"))
-    rows = docs.select("doc_id", "text").withColumn("bucket", at)
-    return rows.select(F.explode(F.when(leads, F.array(home, away)).otherwise(F.array(home))).alias("p"), "doc_id", "text").select("p.bucket", "p.guest", "doc_id", "text")
+    """docs (doc_id, text) as (bucket, guest, u, h, doc_id, text), so that within a bucket, sorted by guest, u and h,
+    every row that is no guest is followed by the next document.
+
+    Buckets are ranges of (u, h) of about BUCKET_BYTES; the driver sees the head of each: two numbers a bucket,
+    which are sent to the executors as arrays.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranged = docs.select(*_order()).repartitionByRange(max(1, int(size // BUCKET_BYTES)), "u", "h")
+    heads = ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("u", "h")).alias("m")).select("m.u", "m.h").toArrow()
+    us, hs = (heads.column(c).to_numpy() for c in ("u", "h"))
+    rank = np.lexsort((hs, us))
+    sent = docs.sparkSession.sparkContext.broadcast((us[rank], hs[rank]))
+
+    @F.pandas_udf("bucket int, host int")
+    def place(u: pd.Series, h: pd.Series) -> pd.DataFrame:
+        us, hs = sent.value
+        u, h = u.to_numpy(), h.to_numpy()
+        # The last head at or before the row; among heads of one id their hashes tell.
+        first, last = np.searchsorted(us, u, "left"), np.searchsorted(us, u, "right")
+        at = last - 1
+        for i in np.flatnonzero((last > first) & ((last - first > 1) | (h < hs[np.minimum(first, len(hs) - 1)]))).tolist():
+            at[i] = first[i] + np.searchsorted(hs[first[i] : last[i]], h[i], "right") - 1
+        leads = (us[at] == u) & (hs[at] == h)
+        return pd.DataFrame({"bucket": at.astype(np.int32), "host": np.where(leads, (at - 1) % len(us), -1).astype(np.int32)})
+
+    rows = docs.select(*_order(), "doc_id", "text").withColumn("p", place("u", "h"))
+    home = F.struct(F.col("p.bucket").alias("bucket"), F.lit(0).alias("guest"))
+    away = F.struct(F.col("p.host").alias("bucket"), F.lit(1).alias("guest"))
+    own = F.explode(F.when(F.col("p.host") >= 0, F.array(home, away)).otherwise(F.array(home)))
+    return rows.select(own.alias("at"), "u", "h", "doc_id", "text").select("at.bucket", "at.guest", "u", "h", "doc_id", "text")
 
 
 def edited(text: str, following: str) -> str:
@@ -118,8 +128,7 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """SCHEMA of every document of docs (doc_id, text)."""
     placed = with_next(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    order = [F.col("bucket"), F.col("guest"), F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
-    ready = placed.repartition("bucket").sortWithinPartitions(*order)
+    ready = placed.repartition("bucket").sortWithinPartitions("bucket", "guest", "u", "h").drop("u", "h")
 
     def flush(rows):
         ids, texts, following = zip(*rows)

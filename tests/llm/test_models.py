@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -237,6 +238,29 @@ def brute_edit(rows):
         yield doc, text, text[: len(text) - k] + after[:k], after
 
 
+def brute_fingerprint(text):
+    """Votes one term and one bit at a time; hashes as the module defines them."""
+    mask = 2**64 - 1
+
+    def mix(x):
+        for mult in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = ((x ^ (x >> 33)) * mult) & mask
+        return x ^ (x >> 33)
+
+    fold = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", fold)
+    hashes = [mix(sum((b + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, b in enumerate(w)) & mask) for w in words]
+    terms = [(h, min(3, 1 + len(w) // 4)) for h, w in zip(hashes, words)]
+    terms += [(mix((a * 0x9E3779B97F4A7C15 + b) & mask), 4) for a, b in zip(hashes, hashes[1:])]
+    bits = [[0] * 64, [0] * 64]
+    for h, weight in terms:
+        for half, x in enumerate((h, mix(h ^ 0xA5A5A5A55A5A5A5A))):
+            for k in range(64):
+                bits[half][k] += weight if x >> k & 1 else -weight
+    lo, hi = (sum(1 << k for k in range(64) if b[k] > 0) for b in bits)
+    return f"{hi:016x}{lo:016x}"
+
+
 def test_simhash_edits(spark, monkeypatch):
     import hashlib
 
@@ -250,13 +274,30 @@ def test_simhash_edits(spark, monkeypatch):
         r = got[doc]
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(changed.encode()).hexdigest())
         fp = simhash.fingerprints(*textkit.text_buffers(pa.array([text, changed, after])))
-        assert [r.fingerprint, r.edited_fingerprint] == simhash.render(fp[:2])
+        assert [r.fingerprint, r.edited_fingerprint] == simhash.render(fp[:2]) == [brute_fingerprint(text), brute_fingerprint(changed)]
         assert np.isclose(r.near_edited, simhash.likeness(fp[:1], fp[1:2])[0]) and np.isclose(r.near_next, simhash.likeness(fp[:1], fp[2:])[0])
     assert got[1000].fingerprint == got[1001].fingerprint and got[1].near_edited == 1
     for few in ([], [(5, "one two three four")], [(5, "a b c"), (None, "d e f"), (5, "a b c")]):
         assert simhash.fingerprint_edits(spark.createDataFrame(few, "doc_id long, text string")).count() == len(few)
 
 
+@pytest.mark.parametrize("size", [10, 300, 10**6])
+def test_many_rows_of_one_id(spark, monkeypatch, size):
+    """Null and repeated ids are spread over ranges; every row still meets the next one, ties by hash."""
+    monkeypatch.setattr(simhash, "BUCKET_BYTES", size)
+    rng = random.Random(size)
+    rows = [(rng.choice([None, None, 7, 7, -(2**62), rng.randrange(10**6)]), text_of(rng, rng.randint(1, 20))) for _ in range(150)] + [(None, None), (None, ""), (7, "twice"), (7, "twice")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = simhash.with_next(df)
+    assert placed.where("guest = 0").count() == len(rows)
+    if size == 10:
+        assert placed.where("guest = 0 AND doc_id IS NULL").select("bucket").distinct().count() > 5
+    order = [r.text or "" for r in df.orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text")).collect()]
+    want = sorted((brute_fingerprint(t), brute_fingerprint(t[: len(t) - len(t) // 3] + after[: len(t) // 3])) for t, after in zip(order, order[1:] + order[:1]))
+    got = simhash.fingerprint_edits(df).select("fingerprint", "edited_fingerprint").collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_block_tables_find_all(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(-(2**63), 2**63 - 1, (40, 2))
