@@ -316,12 +316,12 @@ def filter_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     if not odd.isEmpty():
         left = left.join(odd, "digest", "left_anti")
     if not twins.isEmpty():  # one of each stays
-        left = left.join(twins, _same_row("__id", "__digest"), "left_anti").unionByName(_one_of(left.join(twins, _same_row("__id", "__digest"), "left_semi"), ["digest"]))
+        left = left.join(twins, _same_row("__id", "__digest"), "left_anti").unionByName(one_of(left.join(twins, _same_row("__id", "__digest"), "left_semi"), ["digest"]))
     if not odd.isEmpty():
         texts = digests(docs, docs.columns, folded=True).join(odd, "digest", "left_semi")
         heads = texts.groupBy(F.col("digest").alias("__digest"), F.col("folded").alias("__folded")).agg(F.max("doc_id").alias("__id"))
         best = texts.join(heads, _same_row("__id", "__digest") & (F.col("folded") == F.col("__folded")), "left_semi")
-        left = left.unionByName(_one_of(best, ["digest", "folded"]).select(left.columns))
+        left = left.unionByName(one_of(best, ["digest", "folded"]).select(left.columns))
     return left.select(*restore)
 
 
@@ -329,7 +329,7 @@ def _same_row(doc_id: str, digest: str):
     return F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.col("digest") == F.col(digest))
 
 
-def _one_of(rows: DataFrame, by: list[str]) -> DataFrame:
+def one_of(rows: DataFrame, by: list[str]) -> DataFrame:
     """Of the rows of each group the one with the least hash of its columns (maps, which have none, aside)."""
     hashed = [f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
     others = [c for c in rows.columns if c not in by]

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import shared, textkit
+from spindrift.llm import exact, shared, textkit
 
 RADIUS = 4
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -258,7 +258,7 @@ def components(edges: DataFrame) -> DataFrame:
     Tasks first shrink their edges to a spanning forest; then large-star and small-star rounds,
     each written to the shared folder, run until nothing changes (a number of rounds that grows with
     the logarithm of the longest chain).  Hot vertices are met by partial minima, not by collecting
-    neighbours: each round is a grouped minimum and a join.
+    neighbours: each round is a grouped minimum and a join that spreads the edges of very large stars.
     """
     now = edges.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long")
     now = shared.materialize(now)
@@ -266,12 +266,14 @@ def components(edges: DataFrame) -> DataFrame:
         return now.select(F.col("a").alias("v"), F.col("b").alias("root"))
     while True:
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = shared.materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n")))
         # large star: every larger neighbour of a vertex points to the vertex's least neighbour
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        far = shared.salted(both, least.select("a", "m"), "a", shared.hot_keys(least, "a", "n"))
+        large = far.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: a vertex and its smaller neighbours point to the least of them
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small_least.select("a", F.col("m").alias("b")))
+        small_least = shared.materialize(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+        close = shared.salted(large, small_least.select("a", "m"), "a", shared.hot_keys(small_least, "a", "n"))
+        small = close.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small_least.select("a", F.col("m").alias("b")))
         after = shared.materialize(small.distinct())
         # Done when the edges are stars: every vertex once on the left, no centre on the left.
         twice = after.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
@@ -292,8 +294,8 @@ def classes(fps: DataFrame) -> DataFrame:
     roots = components(found.where("fp < other").select(F.col("fp").alias("a"), F.col("other").alias("b")))
     placed = vertices.join(near, "fp", "left").join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     placed = shared.materialize(placed)
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return placed.join(smallest, "root").select("fp", "n_docs", (F.coalesce("linked", F.lit(0)) + F.col("n_docs") - 1).alias("n_near"), "component_id", "root")
+    smallest = shared.materialize(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    return shared.salted(placed, smallest.drop("n"), "root", shared.hot_keys(smallest, "root", "n")).select("fp", "n_docs", (F.coalesce("linked", F.lit(0)) + F.col("n_docs") - 1).alias("n_near"), "component_id", "root")
 
 
 def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,31 +304,147 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(fps, classes(fps)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "n_near", "component_id")
 
 
-def joined(fps: DataFrame, by_fp: DataFrame, parts: int = 32) -> DataFrame:
+def joined(fps: DataFrame, by_fp: DataFrame) -> DataFrame:
     """Documents with their fingerprint's columns; fingerprints of very many documents are spread out."""
-    hot = shared.hot_keys(by_fp, "fp", "n_docs")
-    if not hot:
-        return fps.join(by_fp, "fp")
-    is_hot = F.col("fp").isin(hot)
-    left = fps.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64("doc_id"), F.lit(parts))).otherwise(F.lit(0)))
-    right = by_fp.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
-    return left.join(right, [left["fp"] == right["fp"], left["__salt"] == right["__salt"]]).drop(right["fp"]).drop("__salt")
+    return shared.salted(fps, by_fp, "fp", shared.hot_keys(by_fp, "fp", "n_docs"))
+
+
+# --- the stage: wide fingerprints ----------------------------------------------------------------
+
+#: A wide fingerprint is WIDE words of 64 bits; SEATS segments of 23 of its bits are coded.
+WIDE, SEATS = 8, 20
+#: Differing bits up to which two wide fingerprints are copies of each other (README: measured distances).
+WIDE_RADIUS = 96
+W = [f"w{k}" for k in range(WIDE)]
+#: Weight of a word by how often a text has it: four times the square root.
+_WEIGHT = np.minimum(15, np.round(4 * np.sqrt(np.arange(32)))).astype(np.int64)
+
+
+def wide_fingerprints(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """(n_docs, WIDE) uint64 of a block: SimHash of the distinct words."""
+    words = textkit.Words(buf, offs)
+    n_docs = len(offs) - 1
+    out = np.zeros((n_docs, WIDE), np.uint64)
+    if not len(words):
+        return out
+    doc, hashes = words.docs(), words.hashes()
+    order = np.lexsort((hashes, doc))
+    hashes = hashes[order]
+    fresh = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])))
+    at = np.flatnonzero(fresh)
+    hashes, doc = hashes[at], doc[at]
+    weight = _WEIGHT[np.minimum(31, np.diff(np.concatenate((at, [len(order)]))))]
+    first = np.searchsorted(doc, np.arange(n_docs + 1))
+    total = np.bincount(doc, weights=weight, minlength=n_docs)
+    for k in range(WIDE):
+        votes = textkit.bit_votes(textkit.mix64(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))), first, weight)
+        out[:, k] = textkit.pack_bits(votes * 2 > total[:, None])
+    return out
+
+
+def wide_keys(wide: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """(n, pairs) keys of wide fingerprints: the codewords of every two segments."""
+    bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8), axis=1, bitorder="little")[:, : SEATS * 23]
+    segs = bits.reshape(len(wide), SEATS, 23).astype(np.int64) @ (1 << np.arange(23))
+    code = np.stack([(x ^ lead[syndromes(x)]) >> 11 for x in segs.T], 1)
+    a, b = np.triu_indices(SEATS, 1)
+    return (np.arange(len(a)) << 24) | code[:, a] << 12 | code[:, b]
+
+
+def wide_column(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` columns, h (a hash of the text) and the wide fingerprint w0, w1, ..."""
+    source = docs.select(*keep, F.xxhash64("text").alias("h"), F.col("text").alias("__text"))
+    fields = [f for f in source.schema.fields if f.name != "__text"]
+    names = [f.name for f in fields]
+
+    def run(batches):
+        for batch in batches:
+            buf, offs = textkit.text_buffers(batch.column("__text"))
+            got = [np.zeros((0, WIDE), np.uint64)] + [wide_fingerprints(b, o) for _, _, b, o in textkit.blocks(buf, offs)]
+            wide = np.concatenate(got).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(wide[:, k].copy()) for k in range(WIDE)], [*names, *W])
+
+    return source.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{w} long" for w in W]))
+
+
+def _verified(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of vertices whose wide fingerprints are within WIDE_RADIUS."""
+    side = lambda p: vertices.select(F.col("v").alias(p), *[F.col(w).alias(f"{p}{w}") for w in W])
+    counted = shared.materialize(pairs.distinct())
+    hot = shared.hot_keys(counted.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "b", "n")
+    both = shared.salted(counted, side("b"), "b", hot).join(side("a"), "a")
+    apart = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in W), F.lit(0))
+    return both.where(apart <= WIDE_RADIUS).select("a", "b")
+
+
+def wide_classes(vertices: DataFrame) -> DataFrame:
+    """(v, root) of all vertices (v, w0, w1, ...): connected classes of wide fingerprints within WIDE_RADIUS.
+
+    Two copies share a key when two of their segments decode to the same codewords.  In the bucket of a key all
+    meet its least vertex first, so a bucket of many copies gives one pair a member; then one vertex of each
+    class found meets those of the other classes of the bucket, so unrelated vertices do not hide each other.
+    """
+    def emit(batches):
+        lead, _ = golay_tables()
+        for batch in batches:
+            v = batch.column("v").to_numpy(zero_copy_only=False)
+            wide = np.stack([batch.column(w).to_numpy(zero_copy_only=False) for w in W], 1)
+            for lo in range(0, len(v), 2048):
+                keys = wide_keys(wide[lo : lo + 2048], lead)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(v[lo : lo + 2048], keys.shape[1]))], ["key", "v"])
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.select("v", *W).mapInArrow(emit, "key long, v long")
+
+    # Which keys are hot is told by a part of the vertices; it decides how rows are spread, not what is found.
+    part = keyed(vertices.where(F.pmod(F.xxhash64("v"), F.lit(64)) == 0)).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    hot = shared.hot_keys(part, "key", "n")
+    keys = keyed(vertices.repartition("v")) if hot else keyed(vertices.repartition("v")).repartition("key")
+    leads = keys.groupBy("key").agg(F.min("v").alias("lead"), F.max("v").alias("last")).where("lead < last").select("key", "lead")
+    buckets = shared.materialize(shared.salted(keys, leads, "key", hot))
+    edges = shared.materialize(_verified(buckets.where("v <> lead").select(F.col("v").alias("a"), F.col("lead").alias("b")), vertices))
+    found = shared.materialize(components(edges).where("v <> root"))
+    placed = buckets.join(found, "v", "left").select("key", F.coalesce("root", "v").alias("root"), "v")
+    one = shared.materialize(placed.groupBy("key", "root").agg(F.min("v").alias("v")))
+    # With two classes in a bucket the pair has been met already.
+    several = one.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("key")
+    left = shared.materialize(one.join(several, "key", "left_semi"))
+    if not left.isEmpty():
+        pairs = left.select("key", F.col("v").alias("b")).join(left.select("key", F.col("v").alias("a")), "key").where("b < a").select("a", "b")
+        more = shared.materialize(_verified(pairs, vertices))
+        if not more.isEmpty():
+            found = shared.materialize(components(edges.unionByName(more)).where("v <> root"))
+    return vertices.select("v").join(found, "v", "left").select("v", F.coalesce("root", "v").alias("root"))
 
 
 def filter_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of every class the document with the smallest id stays, with its columns.
+    """Pipeline stage: of every class of near copies the document with the smallest id stays, with its columns.
 
-    Of several rows with that id in one class one stays; rows of different classes never stand for each other, whatever their ids.
+    Near copies are found by wide fingerprints (512 bits, from single words, so that words changed at random places
+    move few bits), coded and joined like the 64-bit ones.  Null and empty texts are one class.  Null ids come
+    last; of several rows with the smallest id in a class the one with the least hash of its text, then of its
+    columns, stays.  Rows of different classes never stand for each other, whatever their ids.
     """
     docs, restore = shared.shield(docs)
-    fps = shared.materialize(fingerprint_column(docs, ["doc_id"]))
-    by_fp = classes(fps)
-    crowded = joined(fps, by_fp).where((F.col("n_near") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp").distinct()
-    gone = crowded.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"))
-    marked = fingerprint_column(docs, docs.columns)
-    left = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("__fp")), "left_anti")
-    twins = fps.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
+    fps = shared.materialize(wide_column(docs, ["doc_id"]))
+    vertices = shared.materialize(fps.groupBy(*W).agg(F.count(F.lit(1)).alias("n_docs")).withColumn("v", F.monotonically_increasing_id()))
+    placed = shared.materialize(vertices.join(wide_classes(vertices), "v"))
+    sizes = shared.materialize(placed.groupBy("root").agg(F.sum("n_docs").alias("size"), F.count(F.lit(1)).alias("n")).where("size > 1"))
+    crowded = shared.salted(placed, sizes.select("root"), "root", shared.hot_keys(sizes, "root", "n"))
+    crowded = shared.materialize(crowded.select(F.xxhash64(*W).alias("x"), "root", "n_docs", *[F.col(w).alias(f"_{w}") for w in W]))
+    same = F.lit(True)
+    for w in W:
+        same = same & (F.col(w) == F.col(f"_{w}"))
+    rows = shared.salted(fps.withColumn("x", F.xxhash64(*W)), crowded.drop("n_docs"), "x", shared.hot_keys(crowded, "x", "n_docs")).where(same)
+    rows = shared.materialize(rows.groupBy("root", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("best"))
+    judged = shared.salted(rows, best, "root", shared.hot_keys(sizes, "root", "size"))
+    judged = shared.materialize(judged.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "n", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h"))).alias("stays")))
+    marked = docs.withColumn("__hash", F.xxhash64("text"))
+    row = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h"))
+    left = marked.join(judged.where("NOT stays").select("__id", "__h"), row, "left_anti")
+    twins = judged.where("stays AND n > 1").select("__id", "__h")
     if not twins.isEmpty():
-        classed = joined(left.withColumnRenamed("fp", "__mark").withColumn("fp", F.col("__mark")), by_fp)
-        left = classed.dropDuplicates(["root"])
+        one = exact.one_of(left.join(twins, row, "left_semi"), ["doc_id", "__hash"])
+        left = left.join(twins, row, "left_anti").unionByName(one)
     return left.select(*restore)

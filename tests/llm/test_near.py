@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 import xxhash
@@ -55,8 +56,7 @@ def corpus(seed=3):
 
 
 def run(spark, rows):
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS fp", "'x' AS component_id")
-    df = df.select("doc_id", "text")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS fp", "'x' AS component_id", "2 AS root")
     fps = golay.fingerprint_column(df, ["doc_id"])
     out = golay.joined(fps, golay.classes(fps))
     return sorted((str(r.doc_id), f"{r.fp % 2**64:016x}", r.n_near, r.component_id) for r in out.collect())
@@ -67,9 +67,11 @@ def test_against_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
-@pytest.mark.parametrize("block", [2])
-def test_heavy_keys_in_blocks(spark, monkeypatch, block):
-    monkeypatch.setattr(golay, "BLOCK", block)
+@pytest.mark.parametrize("hot", [False, True])
+def test_heavy_keys_in_blocks(spark, monkeypatch, hot):
+    monkeypatch.setattr(golay, "BLOCK", 2)
+    if hot:
+        monkeypatch.setattr(golay.shared, "hot_keys", lambda c, k, n, share=0: [r[0] for r in c.where(f"{n} > 1").select(k).collect()])
     rows = corpus(5)
     assert run(spark, rows) == brute(rows)
 
@@ -101,6 +103,84 @@ def test_code_is_perfect_and_keys_find_all_close_pairs():
     assert hit.all()
 
 
+def brute_wide(text):
+    """The wide fingerprint, one word and one bit at a time."""
+    mask, prime = 2**64 - 1, 0x9E3779B97F4A7C15
+
+    def mix(x):
+        for mult in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = ((x ^ (x >> 33)) * mult) & mask
+        return x ^ (x >> 33)
+
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (text or "")).encode()
+    counts = Counter(re.findall(rb"[^\x20\x09-\x0D]+", text))
+    out = 0
+    hashed = {w: mix(sum((b + 1) * pow(prime, k, 1 << 64) for k, b in enumerate(w)) & mask) for w in counts}
+    weight = {w: min(15, round(4 * n**0.5)) for w, n in counts.items()}
+    for k in range(golay.WIDE):
+        h = {w: mix((hashed[w] + k * prime) & mask) for w in counts}
+        for b in range(64):
+            out |= (sum(weight[w] for w in counts if h[w] >> b & 1) * 2 > sum(weight.values())) << (64 * k + b)
+    return out
+
+
+def brute_classes(texts, radius=None):
+    """Smallest position of the class of every text, by all pairs."""
+    fps = [brute_wide(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= (golay.WIDE_RADIUS if radius is None else radius) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for k in rng.sample(range(len(words)), n):
+        words[k] = "".join(rng.choice("abcdefghij") for _ in range(6))
+    return " ".join(words)
+
+
+def prose(rng, n):
+    return [rng.choice(FIXTURE_WORDS) if rng.random() < 0.3 else "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 7))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_stage_against_all_pairs(spark, monkeypatch, hot):
+    if hot:
+        monkeypatch.setattr(golay.shared, "hot_keys", lambda c, k, n, share=0: [r[0] for r in c.where(f"{n} > 1 AND {k} IS NOT NULL").select(k).limit(500).collect()])
+    rng = random.Random(21)
+    texts = [None, "", " ", "one", "ONE", "two words", "x" * 200_000, "word " * 30000, "WORD " * 29000]
+    for _ in range(30):
+        words = prose(rng, rng.randint(20, 250))
+        texts += [" ".join(words)] + [edited(rng, words, max(1, len(words) * 6 // 100)) for _ in range(rng.choice([0, 1, 4]))]
+    shared_part = prose(rng, 60)  # a passage of many documents does not make them copies
+    texts += [" ".join([*prose(rng, 70), *shared_part, *prose(rng, 70)]) for _ in range(12)]
+    root = brute_classes(texts)
+    ids = [1000 - k for k in range(len(texts))]
+    df = spark.createDataFrame([(i, t, "z") for i, t in zip(ids, texts)], "doc_id long, text string, v string")
+    got = {r.doc_id for r in golay.filter_neardup(spark, df, "").collect()}
+    assert got == {min(i for i, r in zip(ids, root) if r == k) for k in set(root)}
+    assert golay.filter_neardup(spark, df.limit(0), "").collect() == []
+
+
+def test_stage_recall(spark):
+    """Copies with 4 to 10 % of their words changed; a dense family; unrelated texts stay."""
+    rng = random.Random(22)
+    rows, copies = [], 0
+    for k in range(150):
+        words = prose(rng, rng.randint(40, 300))
+        rows.append((k, " ".join(words)))
+        rows.append((1000 + k, edited(rng, words, max(1, int(len(words) * rng.uniform(0.04, 0.1))))))
+    family = prose(rng, 200)
+    rows += [(2000 + k, edited(rng, family, 6)) for k in range(300)]
+    kept = {r.doc_id for r in golay.filter_neardup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert set(range(150)) <= kept and sum(1000 + k in kept for k in range(150)) <= 15
+    assert sum(i >= 2000 for i in kept) <= 2
+
+
 def test_filter_keeps_unrelated_rows_with_null_or_repeated_ids(spark, tmp_path):
     rng = random.Random(8)
     texts = [" ".join(rng.choice(FIXTURE_WORDS) + rng.choice("abcdefgh") for _ in range(80)) for _ in range(12)]

@@ -7,7 +7,7 @@ import corpus_pipeline
 from spindrift.llm import quality
 from tests.llm.test_exact import fold
 from tests.llm.test_models import text_of
-from tests.llm.test_near import brute
+from tests.llm.test_near import brute_classes
 
 
 @pytest.fixture(scope="module")
@@ -46,10 +46,13 @@ def test_stages_against_brute_force(spark, folder):
         best[fold(rows[i].text)] = max(i, best.get(fold(rows[i].text), -1))
     exact = set(best.values())
     assert {r.doc_id for r in kept["exact dedup"]} == exact < good
-    roots = {int(i) for i, _, _, root in brute([(i, rows[i].text) for i in exact]) if int(i) == root}
-    assert {r.doc_id for r in kept["near dedup"]} == roots and len(roots) < len(exact)
+    order = sorted(exact)
+    roots = {order[k] for k in set(brute_classes([rows[i].text for i in order]))}
+    near = {r.doc_id for r in kept["near dedup"]}
+    # Every class keeps its smallest id; the stage's stated recall is 0.9, so a few copies may stay beside it.
+    assert roots <= near and len(near - roots) <= 0.1 * (len(exact) - len(roots)) and len(roots) < len(exact)
     mixed = Counter(r.doc_id for r in kept["mixing"])
-    assert set(mixed) == roots and all(r == rows[r.doc_id] for r in kept["mixing"])
+    assert set(mixed) == near and all(r == rows[r.doc_id] for r in kept["mixing"])
     assert Counter(r.doc_id for r in kept["packing"]) == mixed
     assert all(r.n_tokens == len((rows[r.doc_id].text or "").split()) <= r.bucket_len for r in kept["packing"])
 
