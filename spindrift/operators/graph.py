@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, Window
@@ -11,10 +12,13 @@ from spindrift.functions import text as T
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage of an iterative plan in the session's checkpoint folder (its own only where none is named)."""
+    """Ends the lineage of an iterative plan in the session's checkpoint folder (its own only in local mode, where none need be named)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spindrift-"))
+        named = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spindrift-"))
     return df.checkpoint(eager=True)
 
 
@@ -34,6 +38,7 @@ def neighbors(edges: DataFrame, ids: DataFrame, direction: str = "both") -> Data
 def expand(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
     """(id, depth, kind): nodes reached within ``hops``, seeds left out; kind is the least one at the first hop that finds a node."""
     links = both_ways(edges).select("id", "other", "kind")
+    links = cut(links) if hops > 1 else links  # every hop reads them
     seen = seeds.select("id").distinct().withColumn("depth", F.lit(0)).withColumn("kind", F.lit(None).cast("string"))
     frontier = seen.select("id")
     for depth in range(1, hops + 1):
@@ -50,18 +55,22 @@ DECAY = 55
 
 
 def explore(edges: DataFrame, anchors: DataFrame, rounds: int = 2) -> DataFrame:
-    """(id, score, hops): anchors (id, score) spread along edges, 0.55 a hop, in thousandths of the best anchor.
+    """(id, score, hops, via, origin): anchors (id, score) spread along edges, 0.55 a hop, in thousandths of the best anchor.
 
-    A node keeps the score of the hop that first reaches it, the largest of that hop.  Scores are whole
-    thousandths, rounded half up, so all engines agree.
+    A node keeps the score of the hop that first reaches it, the largest of that hop, with the kind and the
+    near end of the edge that brought it (of equal ones the least near end, then kind); anchors have neither.
+    Scores are whole thousandths, rounded half up, so all engines agree.
     """
-    links = both_ways(edges).select("id", "other").distinct()
+    links = cut(both_ways(edges).select("id", "other", "kind").distinct()) if rounds > 1 else both_ways(edges).select("id", "other", "kind").distinct()
     top = anchors.agg(F.max("score")).scalar()
-    seen = anchors.select("id", F.floor(F.col("score") / top * 1000 + 0.5).cast("long").alias("score"), F.lit(0).alias("hops"))
+    kind = edges.schema["src"].dataType
+    seen = anchors.select("id", F.floor(F.col("score") / top * 1000 + 0.5).cast("long").alias("score"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via"), F.lit(None).cast(kind).alias("origin"))
     frontier = seen
     for hop in range(1, rounds + 1):
-        spread = links.join(frontier.select("id", "score"), "id").groupBy(F.col("other").alias("id")).agg(F.max(F.expr(f"(score * {DECAY} + 50) div 100")).alias("score"))
-        fresh = cut(spread.join(seen.select("id"), "id", "left_anti").select("id", "score", F.lit(hop).alias("hops")))
+        handed = F.expr(f"(score * {DECAY} + 50) div 100")
+        best = F.min(F.struct((-handed).alias("less"), F.col("id").alias("origin"), F.col("kind").alias("via"))).alias("best")
+        spread = links.join(frontier.select("id", "score"), "id").groupBy(F.col("other").alias("id")).agg(best)
+        fresh = cut(spread.join(seen.select("id"), "id", "left_anti").select("id", (-F.col("best.less")).alias("score"), F.lit(hop).alias("hops"), "best.via", "best.origin"))
         if fresh.isEmpty():
             break
         seen, frontier = seen.unionByName(fresh), fresh

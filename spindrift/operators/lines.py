@@ -20,7 +20,8 @@ def explode_lines(files: DataFrame, key: str = "file", source: str = "source") -
 
 def findings(lines: DataFrame, key: str = "file") -> DataFrame:
     """(key, line_no, severity, code, message) of every rule broken."""
-    rows = lines.select(key, "line_no", F.explode("quality_flags").alias("code"))
+    # Of an outer explode no filter is inferred that would evaluate the rules once more.
+    rows = lines.select(key, "line_no", F.explode_outer("quality_flags").alias("code")).where("code IS NOT NULL")
     return rows.select(key, "line_no", T.severity_of(F.col("code")).alias("severity"), "code", T.message_of(F.col("code")).alias("message"))
 
 
@@ -65,15 +66,23 @@ def owners(points: DataFrame, spans: DataFrame, on: list[str], at: str, start: s
     left = points.withColumn("__b", F.floor(F.col(at) / bucket))
     right = spans.select(*on, F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(owner).alias("__o"))
     right = right.withColumn("__b", F.explode(F.sequence(F.floor(F.col("__s") / bucket), F.floor(F.col("__e") / bucket))))
-    ids = left.withColumn("__id", F.xxhash64(*points.columns))
-    hits = ids.select("__id", *on, "__b", F.col(at).alias("__at")).distinct().join(right, [*on, "__b"]).where("__at BETWEEN __s AND __e")
-    best = hits.groupBy("__id").agg(F.min_by("__o", F.struct(F.col("__e") - F.col("__s"), F.col("__s"), F.col("__o"))).alias(owner))
-    return ids.join(best, "__id", "left").drop("__id", "__b")
+    # The owner depends on the keys and the position only.
+    places = left.select(*on, "__b", F.col(at).alias("__at")).distinct()
+    hits = places.join(right, [*on, "__b"]).where("__at BETWEEN __s AND __e")
+    best = hits.groupBy(*on, "__b", "__at").agg(F.min_by("__o", F.struct(F.col("__e") - F.col("__s"), F.col("__s"), F.col("__o"))).alias(owner))
+    return left.withColumn("__at", F.col(at)).join(best, [*on, "__b", "__at"], "left").drop("__b", "__at").select(*points.columns, owner)
 
 
-def overlapping(left: DataFrame, right: DataFrame, on: str, l_start: str, l_end: str, r_start: str, r_end: str) -> DataFrame:
-    """Interval-overlap join within ``on``."""
-    return left.join(right, on).where(~((F.col(l_end) < F.col(r_start)) | (F.col(l_start) > F.col(r_end))))
+def overlapping(left: DataFrame, right: DataFrame, on: str, l_start: str, l_end: str, r_start: str, r_end: str, bucket: int = BUCKET) -> DataFrame:
+    """Interval-overlap join within ``on``; ends are whole numbers.
+
+    The axis is cut into buckets, so a key of very many rows is spread and only intervals that come near each other
+    meet; a pair is reported in the bucket where the later one of the two starts.
+    """
+    filed = lambda df, start, end: df.withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))))
+    both = filed(left.where(F.col(l_start) <= F.col(l_end)), l_start, l_end).join(filed(right.where(F.col(r_start) <= F.col(r_end)), r_start, r_end), [on, "__b"])
+    meet = (F.col(l_end) >= F.col(r_start)) & (F.col(l_start) <= F.col(r_end))
+    return both.where(meet & (F.col("__b") == F.floor(F.greatest(l_start, r_start) / bucket))).drop("__b")
 
 
 def line_window(lines: DataFrame, start: int, end: int, radius: int = 0) -> DataFrame:

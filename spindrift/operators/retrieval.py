@@ -1,7 +1,17 @@
-"""Ranked retrieval: postings, BM25 with coverage, field and substring boosts, file roll-up, line ranking."""
+"""Ranked retrieval: postings, BM25 with coverage, field and substring boosts, file roll-up, line ranking.
+
+Texts become terms in Arrow batches: identifiers are counted per text and split once per distinct word, so a text's
+postings leave the batch already summed, with its length, and need no shuffle.  ``terms`` may be any function of
+a text; the default, ``code_terms``, gives the same terms as ``functions.text.terms``.
+"""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable, Iterable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,48 +23,104 @@ FIELD_WEIGHTS = {"file": 1.25, "qualname": 1.75, "signature": 1.35, "docstring":
 DOCUMENT_WEIGHTS = {"file": 2, "qualname": 3, "name": 2, "signature": 2, "docstring": 2, "source": 1}
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf): pre-aggregated before anything else is joined."""
-    return docs.select(key, F.explode(T.terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+_WORD, _PIECE, _STOP = re.compile(T.IDENTIFIER, re.ASCII), re.compile(T.PIECES), frozenset(T.STOP_WORDS)
+
+
+class CodeTerms:
+    """Terms of a text with their counts: pieces and the whole of every identifier, lower-case, without stop words."""
+
+    def __init__(self):
+        self.known: dict[str, list[str]] = {}
+
+    def __call__(self, text: str) -> Iterable[tuple[str, int]]:
+        for word, n in Counter(_WORD.findall(text)).items():
+            own = self.known.get(word)
+            if own is None:
+                if len(self.known) > 500_000:
+                    self.known.clear()
+                own = self.known[word] = [t for t in (p.lower() for p in (*_PIECE.findall(word), word)) if t not in _STOP]
+            for term in own:
+                yield term, n
+
+
+#: Makes the function that gives (term, count) pairs of a text; one is made per task.
+code_terms: Callable[[], Callable[[str], Iterable[tuple[str, int]]]] = CodeTerms
+#: Texts whose postings make one Arrow batch.
+TEXTS = 1000
+
 
+def posted(docs: DataFrame, key: str, weights: dict[str, int], terms=code_terms) -> DataFrame:
+    """(key, term, tf, dl, n_terms, head) of every row: fields count as often as their weight says.
 
-def weighted_postings(docs: DataFrame, key: str, weights: dict[str, int]) -> DataFrame:
+    dl: sum of tf of the row; n_terms: its terms; head: 1 at its first term, else 0.  One row per key.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    fields = list(weights)
+
+    def run(batches):
+        of = terms()
+        for batch in batches:
+            texts = [batch.column(i + 1).to_pylist() for i in range(len(fields))]
+            for lo in range(0, batch.num_rows, TEXTS):
+                at, words, tf, dl, many, head = [], [], [], [], [], []
+                for i in range(lo, min(batch.num_rows, lo + TEXTS)):
+                    counts: dict[str, int] = {}
+                    for column, weight in zip(texts, weights.values()):
+                        for term, n in of(column[i] or ""):
+                            counts[term] = counts.get(term, 0) + n * weight
+                    n = len(counts)
+                    if n:
+                        at += [i] * n
+                        words += counts
+                        tf += counts.values()
+                        dl += [sum(counts.values())] * n
+                        many += [n] * n
+                        head += [1] + [0] * (n - 1)
+                numbers = [pa.array(x, pa.int64()) for x in (tf, dl, many, head)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(words, pa.string()), *numbers], [key, "term", "tf", "dl", "n_terms", "head"])
+
+    return docs.select(key, *[F.col(c).cast("string").alias(f"__f{i}") for i, c in enumerate(fields)]).mapInArrow(run, f"`{key}` {kind}, term string, tf long, dl long, n_terms long, head long")
+
+
+def postings(docs: DataFrame, key: str, text: str, terms=code_terms) -> DataFrame:
+    """(key, term, tf) of every row; one row per key."""
+    return posted(docs, key, {text: 1}, terms).select(key, "term", "tf")
+
+
+def weighted_postings(docs: DataFrame, key: str, weights: dict[str, int], terms=code_terms) -> DataFrame:
     """Postings of several fields, each counted as often as its weight says."""
-    parts = F.flatten(F.array(*[F.transform(T.terms(F.col(c)), lambda t, w=w: F.struct(t.alias("term"), F.lit(w).alias("w"))) for c, w in weights.items()]))
-    return docs.select(key, F.explode(parts).alias("p")).groupBy(key, F.col("p.term").alias("term")).agg(F.sum("p.w").alias("tf"))
+    return posted(docs, key, weights, terms).select(key, "term", "tf")
 
 
 def idf(df, n):
     return F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
 
 
-def statistics(post: DataFrame, key: str, corpus_size: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(term, df), (key, dl) and one row (n, avg_dl); n counts documents without terms as length 1."""
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    dl = post.groupBy(key).agg(F.sum("tf").alias("dl"))
-    total = dl.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("s"), F.count(F.lit(1)).alias("have"))
-    one = total.withColumn("n", F.greatest(F.lit(1).cast("long"), corpus_size.agg(F.count(F.lit(1))).scalar()))
-    one = one.select("n", F.greatest(F.lit(1.0), (F.col("s") + F.col("n") - F.col("have")) / F.col("n")).alias("avg_dl"))
-    return df, dl, one
+def corpus_numbers(post: DataFrame, docs: DataFrame) -> DataFrame:
+    """One row (n, avg_dl); documents without terms count as length 1.  post: as posted."""
+    total = post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("s"), F.coalesce(F.sum("head"), F.lit(0)).alias("have"))
+    one = total.withColumn("n", F.greatest(F.lit(1).cast("long"), docs.agg(F.count(F.lit(1))).scalar()))
+    return one.select("n", F.greatest(F.lit(1.0), (F.col("s") + F.col("n") - F.col("have")) / F.col("n")).alias("avg_dl"))
 
 
 def bm25(post: DataFrame, queries: DataFrame, docs: DataFrame, key: str, query_key: str) -> DataFrame:
     """(query, key, bm25, matched, q_terms) of every query that shares a term with a document.
 
-    queries: (query_key, term, qc).  Query terms meet the postings by a join on term; only terms some query
-    asks for are kept before lengths are joined.
+    post: as posted, stored or cut; queries: (query_key, term, qc, q_terms).  Only postings of terms that some query
+    asks for are counted and joined; a posting's and a query term's own factors are computed before the join.
     """
-    df, dl, one = statistics(post, key, docs)
-    q_size = queries.groupBy(query_key).agg(F.count(F.lit(1)).alias("q_terms"))
-    wanted = queries.join(q_size, query_key).join(df, "term")
-    corpus = one.select(F.struct("n", "avg_dl")).scalar()
-    hits = post.join(wanted, "term").join(dl, key).select("*", corpus.alias("__c")).select("*", "__c.n", "__c.avg_dl")
-    weight = idf(F.col("df"), F.col("n")) * (F.col("tf") * (K1 + 1.0)) / (F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / F.col("avg_dl")))
-    return hits.groupBy(query_key, key, "q_terms").agg(F.sum(F.col("qc") * weight).alias("bm25"), F.count(F.lit(1)).alias("matched"))
+    corpus = corpus_numbers(post, docs).select(F.struct("n", "avg_dl")).scalar()
+    df = post.join(queries.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    asked = queries.join(df, "term").select(query_key, "term", "q_terms", "qc", "df", corpus.alias("__c")).select(query_key, "term", "q_terms", (F.col("qc") * idf(F.col("df"), F.col("__c.n"))).alias("__qw"))
+    rows = post.select(key, "term", "tf", "dl", corpus.alias("__c"))
+    rows = rows.select(key, "term", ((F.col("tf") * (K1 + 1.0)) / (F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / F.col("__c.avg_dl")))).alias("__dw"))
+    hits = rows.join(asked, "term")
+    return hits.groupBy(query_key, key, "q_terms").agg(F.sum(F.col("__qw") * F.col("__dw")).alias("bm25"), F.count(F.lit(1)).alias("matched"))
 
 
-def query_terms(queries: DataFrame, query_key: str, text: str) -> DataFrame:
-    return postings(queries, query_key, text).select(query_key, "term", F.col("tf").alias("qc"))
+def query_terms(queries: DataFrame, query_key: str, text: str, terms=code_terms) -> DataFrame:
+    """(query_key, term, qc, q_terms)."""
+    return posted(queries, query_key, {text: 1}, terms).select(query_key, "term", F.col("tf").alias("qc"), F.col("n_terms").alias("q_terms"))
 
 
 def ranked(scored: DataFrame, by: str | None, score: str, tie: str, top: int, decimals: int = 6) -> DataFrame:
@@ -67,10 +133,19 @@ def ranked(scored: DataFrame, by: str | None, score: str, tie: str, top: int, de
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top)
 
 
-def chunk_search(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, top: int = 12) -> DataFrame:
-    """(query, key, score, rank): BM25 times one plus the share of query terms found."""
-    post = cut(postings(docs, key, text))  # read for frequencies, lengths and hits: tokenised once
-    hits = bm25(post, query_terms(queries, query_key, query_text), docs, key, query_key)
+def chunk_document():
+    """The text that a chunk is searched by: file and symbol names count twice."""
+    join = lambda c: F.array_join(c, " ")
+    return F.concat_ws(" ", "file", "file", join("symbols"), join("symbols"), join("quality_summary"), "text")
+
+
+def chunk_search(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, top: int = 12, post: DataFrame | None = None, terms=code_terms) -> DataFrame:
+    """(query, key, score, rank): BM25 times one plus the share of query terms found.
+
+    ``post``: stored postings of docs, as posted; without them the texts are read for terms once.
+    """
+    post = cut(posted(docs, key, {text: 1}, terms)) if post is None else post
+    hits = bm25(post, query_terms(queries, query_key, query_text, terms), docs, key, query_key)
     scored = hits.select(query_key, key, (F.col("bm25") * (1.0 + F.col("matched") / F.col("q_terms"))).alias("score"))
     return ranked(scored, query_key, "score", key, top)
 
@@ -90,12 +165,15 @@ def substring_boost(raw, haystacks: list):
     return F.lit(0.2) * F.size(F.filter(pieces, lambda p: F.coalesce(F.exists(F.array(*[F.lower(h) for h in haystacks]), lambda h: h.contains(p)), F.lit(False))))
 
 
-def symbol_search(symbols: DataFrame, query: str, top: int = 12, fields: dict[str, float] = FIELD_WEIGHTS, weights: dict[str, int] = DOCUMENT_WEIGHTS, key: str = "id") -> DataFrame:
-    """symbols with score and rank for one query: (BM25 + field boosts + substring boosts) * (1 + coverage)."""
+def symbol_search(symbols: DataFrame, query: str, top: int = 12, fields: dict[str, float] = FIELD_WEIGHTS, weights: dict[str, int] = DOCUMENT_WEIGHTS, key: str = "id", post: DataFrame | None = None, code=code_terms) -> DataFrame:
+    """symbols with score and rank for one query: (BM25 + field boosts + substring boosts) * (1 + coverage).
+
+    ``post``: stored postings of the symbols with these weights, as posted.
+    """
     spark = symbols.sparkSession
     asked = spark.createDataFrame([(0, query)], "__q int, __text string")
-    q = query_terms(asked, "__q", "__text")
-    post = weighted_postings(symbols, key, weights)
+    q = query_terms(asked, "__q", "__text", code)
+    post = cut(posted(symbols, key, weights, code)) if post is None else post
     hits = bm25(post, q, symbols, key, "__q").drop("__q")
     words = [r.term for r in q.select("term").collect()]  # the terms of one query
     if not words:
@@ -125,9 +203,17 @@ def line_scores(lines: DataFrame, query: str) -> DataFrame:
     words = [r[0] for r in spark.range(1).select(F.explode(F.array_distinct(T.terms(F.lit(query))))).collect()]
     if not words:
         return lines.limit(0).withColumn("score", F.lit(0.0))
-    own = F.array_distinct(T.terms(F.col("text")))
-    shared = F.size(F.array_intersect(own, F.array(*[F.lit(w) for w in words])))
-    return lines.withColumn("__s", shared).where("__s > 0").withColumn("score", F.col("__s") / (1.0 + F.size(own) * 0.05)).drop("__s")
+    asked, names = frozenset(words), lines.columns
+
+    def run(batches):
+        of = CodeTerms()
+        for batch in batches:
+            own = [{t for t, _ in of(x or "")} for x in batch.column("text").to_pylist()]
+            numbers = [pa.array([len(x & asked) for x in own], pa.int32()), pa.array([len(x) for x in own], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *numbers], [*names, "__s", "__n"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema.fields) + ", __s int, __n int"
+    return lines.mapInArrow(run, schema).where("__s > 0").withColumn("score", F.col("__s") / (1.0 + F.col("__n") * 0.05)).drop("__s", "__n")
 
 
 def rank_lines(lines: DataFrame, query: str, top: int = 5, window: int = 3) -> list[dict]:

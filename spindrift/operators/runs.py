@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.functions import text as T
+from spindrift.operators import retrieval
 
 EVENT_SCHEMA = "run_id string, seq int, t double, kind string, data map<string, string>"
 
@@ -52,12 +52,9 @@ def co_changes(members: DataFrame, run: str, item: str, min_count: int = 2) -> D
 
 def similar(queries: DataFrame, query_key: str, query_text: str, docs: DataFrame, key: str, text: str, top: int = 3) -> DataFrame:
     """(query, key, similarity, rank): Jaccard overlap of the distinct terms, above 0, the best ``top``."""
-    side = lambda df, k, t: df.select(k, F.explode(F.array_distinct(T.terms(F.col(t)))).alias("term"))
-    a, b = side(queries, query_key, query_text), side(docs, key, text)
-    a_size = a.groupBy(query_key).agg(F.count(F.lit(1)).alias("__na"))
-    b_size = b.groupBy(key).agg(F.count(F.lit(1)).alias("__nb"))
-    both = a.join(b, "term").groupBy(query_key, key).agg(F.count(F.lit(1)).alias("__both"))
-    rows = both.join(a_size, query_key).join(b_size, key)
+    a = retrieval.posted(queries, query_key, {query_text: 1}).select(query_key, "term", F.col("n_terms").alias("__na"))
+    b = retrieval.posted(docs, key, {text: 1}).select(key, "term", F.col("n_terms").alias("__nb"))
+    rows = b.join(a, "term").groupBy(query_key, key, "__na", "__nb").agg(F.count(F.lit(1)).alias("__both"))
     rows = rows.select(query_key, key, F.round(F.col("__both") / (F.col("__na") + F.col("__nb") - F.col("__both")), 6).alias("similarity"))
     w = Window.partitionBy(query_key).orderBy(F.desc("similarity"), key)
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top)

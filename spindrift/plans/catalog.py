@@ -161,8 +161,8 @@ def identifier_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {POST_SQL} SELECT term, df, round(ln(1e0 + (n - df + 5e-1) / (df + 5e-1)), 6) AS idf FROM df, one")
 def term_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.files(spark, sf_dir)
-    df, _, one = retrieval.statistics(retrieval.postings(docs, "doc_id", "source"), "doc_id", docs)
-    return df.select("term", "df", F.round(retrieval.idf(F.col("df"), one.select("n").scalar()), 6).alias("idf"))
+    df = retrieval.postings(docs, "doc_id", "source").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return df.select("term", "df", F.round(retrieval.idf(F.col("df"), docs.agg(F.count(F.lit(1))).scalar()), 6).alias("idf"))
 
 
 @query(f"WITH {POST_SQL} SELECT item_id, doc_id, score, rank FROM ranked WHERE rank <= 10")
@@ -316,7 +316,7 @@ def _explored(spark, sf_dir):
 @query(f"WITH {_EXPLORE} SELECT id, score, hops FROM ex")
 def explore_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rounds from the eight richest customers; scores in thousandths."""
-    return _explored(spark, sf_dir)
+    return _explored(spark, sf_dir).select("id", "score", "hops")
 
 
 @query(f"WITH {_EXPLORE} SELECT file, sum(score)::BIGINT AS score, min(hops) AS hops FROM ex JOIN nd USING (id) GROUP BY ALL ORDER BY score DESC, file LIMIT 12")

@@ -134,24 +134,27 @@ def inspect(index: Index, file: str | None = None, symbol: str | None = None, st
 # --- search -----------------------------------------------------------------------------------
 
 
+def symbol_hits(index: Index, query: str, top: int = 12) -> DataFrame:
+    """symbols with score and rank, from the stored postings."""
+    return retrieval.symbol_search(index.symbols, query, top, post=index.symbol_terms, code=index.code_terms)
+
+
 def chunk_hits(index: Index, query: str, top: int = 12) -> DataFrame:
-    """chunks with score and rank; file and symbol names count twice."""
-    join = lambda c: F.array_join(c, " ")
-    doc = F.concat_ws(" ", "file", "file", join("symbols"), join("symbols"), join("quality_summary"), "text")
+    """chunks with score and rank, from the stored postings; file and symbol names count twice."""
     asked = index.chunks.sparkSession.createDataFrame([(0, query)], "__q int, __text string")
-    docs = index.chunks.select("id", doc.alias("__doc"))
-    hits = retrieval.chunk_search(docs, asked, "id", "__doc", "__q", "__text", top).drop("__q")
+    docs = index.chunks.select("id", retrieval.chunk_document().alias("__doc"))
+    hits = retrieval.chunk_search(docs, asked, "id", "__doc", "__q", "__text", top, index.chunk_terms, index.code_terms).drop("__q")
     return index.chunks.join(hits, "id").orderBy("rank")
 
 
 def file_hits(index: Index, query: str, top: int = 8) -> DataFrame:
     depth = max(24, 6 * top)
-    return retrieval.file_rollup(retrieval.symbol_search(index.symbols, query, depth), chunk_hits(index, query, depth), "file", top=top).orderBy("rank")
+    return retrieval.file_rollup(symbol_hits(index, query, depth), chunk_hits(index, query, depth), "file", top=top).orderBy("rank")
 
 
 def search_code(index: Index, query: str, top: int = 8) -> dict:
     """Symbols, chunks (their first 12 lines) and files that fit a query."""
-    symbols = retrieval.symbol_search(index.symbols, query, top).orderBy("rank")
+    symbols = symbol_hits(index, query, top).orderBy("rank")
     chunks = chunk_hits(index, query, top)
     return {
         "query": query,
@@ -165,13 +168,14 @@ def search_code(index: Index, query: str, top: int = 8) -> dict:
 
 
 def explore(index: Index, task: str, rounds: int = 2, anchors: int = 8, limit: int = 40) -> list[dict]:
-    """Symbols found by search and from there along edges, the best first."""
-    seeds = retrieval.symbol_search(index.symbols, task, anchors).select("id", "score")
+    """Symbols found by search and from there along edges, the best first, with the edge that led to each."""
+    seeds = symbol_hits(index, task, anchors).select("id", "score")
     if seeds.isEmpty():
         return []
-    found = graph.explore(index.edges, seeds, rounds).join(index.symbols.select("id", "qualname", "file"), "id")
-    rows = _rows(found.orderBy(F.desc("score"), "hops", "id").limit(limit))
-    return [{"qualname": r.qualname, "file": r.file, "score": r.score / 1000, "hops": r.hops, "reason": "retrieval anchor" if r.hops == 0 else f"reached at hop {r.hops}"} for r in rows]
+    found = graph.explore(index.edges, seeds, rounds).orderBy(F.desc("score"), "hops", "id").limit(limit)
+    names = index.symbols.select("id", "qualname", "file")
+    rows = _rows(found.join(names, "id").join(names.select(F.col("id").alias("origin"), F.col("qualname").alias("from")), "origin", "left").orderBy(F.desc("score"), "hops", "id"))
+    return [{"qualname": r.qualname, "file": r.file, "score": r.score / 1000, "hops": r.hops, "via": r.via, "origin": r["from"], "reason": "retrieval anchor" if r.hops == 0 else f"{r.via} edge of {r['from']}"} for r in rows]
 
 
 def impact(index: Index, file: str | None = None, symbol: str | None = None, hops: int = 2) -> dict:
@@ -194,14 +198,14 @@ def impact(index: Index, file: str | None = None, symbol: str | None = None, hop
     callees = near.where("ekind = 'calls' AND direction = 'out'")
     around = callers.select(*SYMBOL).unionByName(callees.select(*SYMBOL)).unionByName(reached.select(*SYMBOL)).dropDuplicates(["id"])
     tests = around.where(T.is_test_anywhere(F.col("file"), F.col("name")))
-    signals = [r.severity for r in _rows(found)]
-    counts = {"callers": callers.select("id").distinct().count(), "tests": tests.count(), "high": signals.count("high"), "medium": signals.count("medium")}
-    score = min(100, 10 * counts["callers"] + 6 * counts["tests"] + 25 * counts["high"] + 12 * counts["medium"])
+    signals = found.agg(F.count_if(F.col("severity") == "high").alias("high"), F.count_if(F.col("severity") == "medium").alias("medium"))
+    one = lambda df, name: df.agg(F.count_distinct("id")).scalar().alias(name)
+    risk = graph.risks(signals.select(one(callers, "callers"), one(tests, "tests"), "high", "medium")).first()
     compact = lambda df: [{k: r[k] for k in ("qualname", "file", "kind", "signature", "start_line", "end_line")} for r in _rows(df.dropDuplicates(["id"]).orderBy("id").limit(30))]
     files = around.select("file").unionByName(seeds.select("file")).distinct().orderBy("file").limit(50)
     return {
         "ok": True, "target": target,
-        "risk": {"level": "high" if score >= 70 else "medium" if score >= 35 else "low", "score": score, "direct_callers": counts["callers"], "relevant_tests": counts["tests"], "quality_high": counts["high"], "quality_medium": counts["medium"]},
+        "risk": {"level": risk.risk_level, "score": risk.risk_score, "direct_callers": risk.callers, "relevant_tests": risk.tests, "quality_high": risk.high, "quality_medium": risk.medium},
         "direct_callers": compact(callers), "direct_callees": compact(callees), "inheritance_neighbors": compact(near.where("ekind = 'inherits'")),
         "relevant_tests": compact(tests), "touched_files": [r.file for r in _rows(files)], "expanded_neighbors": compact(reached),
         "chunks": [r.asDict() for r in _rows(chunks.drop("text").orderBy("start_line").limit(12))], "quality_findings": [r.asDict() for r in _rows(found)],
@@ -210,7 +214,7 @@ def impact(index: Index, file: str | None = None, symbol: str | None = None, hop
 
 def stats(index: Index) -> dict:
     """Counts, hubs, entry points and hotspots."""
-    out = {name: index.tables[name].count() for name in ("symbols", "files", "edges", "imports", "chunks", "lines", "quality_findings")}
+    out: dict = {name: index.tables[name].count() for name in ("symbols", "files", "edges", "imports", "chunks", "lines", "quality_findings")}
     records = lambda df: [r.asDict() for r in _rows(df)]
     s, e = index.symbols, index.edges
     entry = graph.entry_points(s, e, graph.looks_like_entry(F.col("name"), F.col("file")), ["file", "start_line"])
@@ -225,7 +229,7 @@ def stats(index: Index) -> dict:
 
 def attention(index: Index, task: str) -> dict:
     """Handles of what to look at for a task: files, symbols and chunks."""
-    symbols = _rows(retrieval.symbol_search(index.symbols, task, 24).orderBy("rank"))
+    symbols = _rows(symbol_hits(index, task, 24).orderBy("rank"))
     chunks = _rows(chunk_hits(index, task, 16))
     numbers = stats(index)
     files = list(dict.fromkeys(x["file"] for k in ("quality_hotspots", "dependency_hotspots", "largest_files") for x in numbers[k]))[:32]
@@ -284,7 +288,7 @@ def get_context(index: Index, task: str, token_budget: int = 8000, max_files: in
     """What to read for a task: files to edit, their surroundings, tests, findings, chunks and edges, within the budget."""
     spark = index.symbols.sparkSession
     out: dict = {"task": task, "token_budget": token_budget, "notes": [], "files_to_edit": [], "ranked_symbols": [], "periphery": [], "relevant_tests": [], "quality_signals": [], "relevant_chunks": [], "dependency_edges": []}
-    seeds = _rows(retrieval.symbol_search(index.symbols, task, 24).orderBy("rank"))
+    seeds = _rows(symbol_hits(index, task, 24).orderBy("rank"))
     if not seeds:
         return out | {"fits_in": 0, "budget": {}, "notes": ["nothing in the index fits the task"]}
     words = sorted({r[0] for r in spark.range(1).select(F.explode(T.terms(F.lit(task)))).collect()})

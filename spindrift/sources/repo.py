@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
-from spindrift.operators import extract, lines, resolve
+from spindrift.operators import extract, lines, resolve, retrieval
 from spindrift.operators.graph import cut
 from spindrift.operators.languages import EXTENSIONS
 from spindrift.operators.runs import EVENT_SCHEMA
 
-VERSION = "1"
+VERSION = "2"
 IGNORED = ("__pycache__", "build", "dist", "env", "node_modules", "site-packages", "target", "venv")
-TABLES = ("symbols", "edges", "imports", "files", "lines", "chunks", "quality_findings")
+TABLES = ("symbols", "edges", "imports", "files", "lines", "chunks", "quality_findings", "symbol_terms", "chunk_terms")
 
 
 def scan(spark: SparkSession, root: str, ignore: tuple[str, ...] = IGNORED) -> DataFrame:
@@ -33,10 +33,10 @@ def scan(spark: SparkSession, root: str, ignore: tuple[str, ...] = IGNORED) -> D
 
 
 class Index:
-    """The tables of an indexed corpus, by name."""
+    """The tables of an indexed corpus, by name, and how its texts become terms."""
 
-    def __init__(self, tables: dict[str, DataFrame]):
-        self.tables = tables
+    def __init__(self, tables: dict[str, DataFrame], code_terms=retrieval.code_terms):
+        self.tables, self.code_terms = tables, code_terms
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -45,8 +45,8 @@ class Index:
             raise AttributeError(name) from None
 
 
-def build(files: DataFrame, chunk_lines: int = 80, overlap: int = 12) -> Index:
-    """All tables of (file, source)."""
+def build(files: DataFrame, chunk_lines: int = 80, overlap: int = 12, code_terms=retrieval.code_terms) -> Index:
+    """All tables of (file, source), with the postings of symbols and chunks; ``code_terms`` may be another way to read terms."""
     extracted = cut(extract.extract(files.distinct()))
     symbols = cut(extract.symbols(extracted))
     imports = extract.imports(extracted)
@@ -61,7 +61,12 @@ def build(files: DataFrame, chunk_lines: int = 80, overlap: int = 12) -> Index:
     per_chunk = names.groupBy("file", F.col("c_start").alias("start_line")).agg(F.array_sort(F.collect_list("qualname")).alias("symbols"))  # a chunk has as many symbols as lines, at most
     chunks = windows.join(per_chunk, ["file", "start_line"], "left").withColumn("symbols", F.coalesce("symbols", F.array().cast("array<string>")))
     chunks = extract.numbered(chunks, ["file", "start_line"])
-    return Index({"symbols": symbols.drop("ord"), "edges": edges, "imports": imports.drop("ord"), "files": file_rows, "lines": owned, "chunks": chunks, "quality_findings": found})
+    # Searches read stored postings, never the texts.
+    terms = {
+        "symbol_terms": retrieval.posted(symbols, "id", retrieval.DOCUMENT_WEIGHTS, code_terms),
+        "chunk_terms": retrieval.posted(chunks.select("id", retrieval.chunk_document().alias("__doc")), "id", {"__doc": 1}, code_terms),
+    }
+    return Index({"symbols": symbols.drop("ord"), "edges": edges, "imports": imports.drop("ord"), "files": file_rows, "lines": owned, "chunks": chunks, "quality_findings": found, **terms}, code_terms)
 
 
 def save(index: Index, folder: str) -> None:
@@ -82,8 +87,8 @@ def meta(spark: SparkSession, folder: str, key: str) -> str | None:
     return row.value if row else None
 
 
-def load(spark: SparkSession, folder: str) -> Index:
-    return Index({name: spark.read.parquet(f"{folder}/{name}") for name in TABLES})
+def load(spark: SparkSession, folder: str, code_terms=retrieval.code_terms) -> Index:
+    return Index({name: spark.read.parquet(f"{folder}/{name}") for name in TABLES}, code_terms)
 
 
 def index_folder(root: str) -> str:
