@@ -8,7 +8,9 @@ hinge-loss model is fitted to the scaled indicators by dual coordinate descent.
 
 Defined results: a null text counts as empty; an empty text has the single indicator "no words" and
 gets a score like any other; with fewer than one row of either label every score is the share of
-label 1 (0.5 without labels).  Repeated ids are scored row by row; further columns are ignored.
+label 1 (0.5 without labels).  Of several documents with one labelled id the one with the least indicators is
+learnt from.  Repeated and null ids are scored row by row; further columns, also ones named like a result, are
+ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -179,6 +181,8 @@ def train(docs: DataFrame, labelled: DataFrame, label: str, per_class: int = PER
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(features, "doc_id long, y int, ids array<int>")
     table = rows.toArrow()
     order = np.lexsort((np.array([len(x) for x in table.column("ids")], dtype=np.int64), table.column("doc_id").to_numpy())) if table.num_rows else np.zeros(0, np.int64)
+    ids = table.column("doc_id").to_numpy()[order]
+    order = order[np.concatenate(([True], ids[1:] != ids[:-1]))] if len(order) else order
     lists = [x.values.to_numpy() for x in table.column("ids")]
     sets = [lists[i] for i in order]
     y = table.column("y").to_numpy()[order]
@@ -213,7 +217,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents predicted to be of label 1 stay, with their columns."""
+    """Pipeline stage: documents predicted to be of label 1 stay, with their columns.
+
+    Every row is judged by its own text: null and empty texts by the score of an empty text, repeated rows and rows with
+    null ids like any other; an empty table stays empty.
+    """
     model = train(docs, shared.labels(spark, sf_dir), "quality")
     docs, restore = shared.shield(docs)
     return score(docs, model, docs.columns).where("predicted = 1").select(*restore)

@@ -9,12 +9,14 @@ A window of WIDTH characters slides over each; the counts of its characters and
 updated by the character that enters and the one that leaves, overall and per character class, so each
 step costs the same.  A window is a hit when its entropy exceeds the threshold of its character set (hex
 digits, or mixed) and at least two classes (digits, lower, upper) carry entropy of their own.  Hits that
-touch form one span.  Allow-listed strings (UUIDs, counting sequences, placeholders, paths) are
-suppressed, as is what overlaps a base span.
+touch form one span.  Allow-listed strings are suppressed: UUIDs, counting sequences, strings with placeholder
+words in them, paths, and strings of letters only or of digits only.  Of a span, what overlaps a base span is
+left out and the rest of it stays, if it is WIDTH characters or longer.
 
 A block of documents is first looked through with array expressions; only documents in which a pattern
 can occur at all are decoded and searched, each whole.  Null counts as empty; empty texts have no spans
-and the hash of the empty string.  Repeated rows are scanned each by itself; extra columns are ignored.
+and the hash of the empty string.  Repeated rows are scanned each by itself, whatever their ids; extra columns,
+also ones named like a result, are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -129,8 +131,13 @@ def added_spans(text: str, base: list[tuple[int, int, int]], extra: tuple = ())
             continue
         for lo, hi in entropy_spans(m[0]):
             lo, hi = lo + m.start(), hi + m.start()
-            k = bisect.bisect_left(starts, hi) - 1
-            if k < 0 or taken[k][1] <= lo:
+            # What base spans leave of it.
+            for k in range(max(0, bisect.bisect_right(starts, lo) - 1), bisect.bisect_left(starts, hi)):
+                if taken[k][1] > lo:
+                    if taken[k][0] - lo >= WIDTH:
+                        out.append((lo, 3, taken[k][0]))
+                    lo = taken[k][1]
+            if hi - lo >= WIDTH:
                 out.append((lo, 3, hi))
     return out
 

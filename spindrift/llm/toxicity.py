@@ -8,12 +8,18 @@ its most toxic window and the most toxic one that does not overlap it.
 
 Labels are per document, so training chooses windows: of a toxic document the one that looks most toxic to
 the model so far, of a clean one random ones and the two worst.  Per round all windows of the training texts
-are scored anew.  Scores are calibrated on a quarter of the
-labelled documents that the fit leaves out (on all of them where there are few).
+are scored anew.  Scores are calibrated on a quarter of the labelled documents that the fit leaves out, if each
+label has SPARE_FROM documents or more (a parameter of ``fit`` and ``train``); with fewer, where a quarter would be
+too few to calibrate on, on all of them.
+
+Beside their vectors, words bring three fixed inputs: naive-Bayes log odds of the word and of its grams (``prior``;
+README has the accuracy without them).
 
 Defined results: a null text counts as empty; an empty text has one empty window, whose logit is the bias;
-with labels of one kind only (or none) every score is the share of label 1 (0 without labels).  Repeated
-rows are scored each by itself; extra columns are ignored; an empty table gives an empty table.
+with labels of one kind only (or none) every score is the share of label 1 (0 without labels).  Of several
+documents with one labelled id the one with the least hash of its text is learnt from.  Repeated rows and null
+ids are scored each by itself; extra columns, also ones named like a result, are ignored; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -34,6 +40,7 @@ LEAST_DOCS = 5
 PRIOR_DOCS = 8.0
 PER_CLASS = 1200
 ROUNDS = 8
+SPARE_FROM = 80
 
 
 # --- words and windows ------------------------------------------------------------------------
@@ -239,12 +246,13 @@ def _learn(model: dict, vocabulary: Vocabulary, odds: np.ndarray, index: np.ndar
     return grad
 
 
-def fit(buf: np.ndarray, offs: np.ndarray, label: np.ndarray, share: float | None = None, rounds: int = ROUNDS, seed: int = 5) -> dict[str, np.ndarray]:
+def fit(buf: np.ndarray, offs: np.ndarray, label: np.ndarray, share: float | None = None, rounds: int = ROUNDS, seed: int = 5, spare_from: int = SPARE_FROM, prior: bool = True) -> dict[str, np.ndarray]:
     """A calibrated model from whole labelled texts (bytes and offsets).
 
     ``share``: of toxic documents among all labelled ones, if the texts were not drawn in proportion.
+    ``prior``: whether words bring their log odds.
     """
-    model = new_model()
+    model = new_model(seed + 6)
     label = np.asarray(label, float)
     n_docs = len(label)
     if n_docs == 0 or label.min() == label.max():
@@ -256,7 +264,7 @@ def fit(buf: np.ndarray, offs: np.ndarray, label: np.ndarray, share: float | Non
     doc, start, size = windows(words.first)
     index = window_index(vocabulary.codes, start, size, len(vocabulary))
     # With enough of both labels a quarter of the documents is kept for the calibration.
-    spare = (np.arange(n_docs) % 4 == 3) & (min((label > 0).sum(), (label == 0).sum()) >= 80)
+    spare = (np.arange(n_docs) % 4 == 3) & (min((label > 0).sum(), (label == 0).sum()) >= spare_from)
     shown = np.flatnonzero(~spare)
 
     def by_document(spelled: bool):
@@ -267,6 +275,8 @@ def fit(buf: np.ndarray, offs: np.ndarray, label: np.ndarray, share: float | Non
 
     word_odds, known = _log_odds(by_document(False), label, len(shown), WORD_BUCKETS)
     gram_odds, spelt = _log_odds(by_document(True), label, len(shown), GRAM_BUCKETS)
+    if not prior:
+        word_odds, gram_odds = word_odds * 0, gram_odds * 0
     model["word_odds"], model["gram_odds"] = word_odds[2], gram_odds[2]
     mask = {"word": known[:, None].astype(np.float32), "gram": spelt[:, None].astype(np.float32)}
     for k, m in mask.items():
@@ -389,16 +399,17 @@ def score_block(model: dict, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 # --- Spark ------------------------------------------------------------------------------------
 
-def train(docs: DataFrame, labelled: DataFrame, label: str = "toxic", per_class: int = PER_CLASS):
+def train(docs: DataFrame, labelled: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, spare_from: int = SPARE_FROM):
     """Fits on at most ``per_class`` labelled documents of each kind, whole texts."""
     known = labelled.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
     chosen = shared.bounded_sample(known, "y", "doc_id", per_class)
     share = known.agg(F.avg((F.col("y") > 0).cast("double"))).first()[0]
-    # At most 2 * per_class rows, so the broadcast and what reaches the driver are bounded.
-    table = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toArrow()
+    # At most 2 * per_class rows, one of each id, so the broadcast and what reaches the driver are bounded in rows; texts come whole.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    table = texts.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).toArrow()
     order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
     buf, offs = textkit.text_buffers(table.take(pa.array(order)).column("text"))
-    return docs.sparkSession.sparkContext.broadcast(fit(buf, offs, table.column("y").to_numpy()[order], share))
+    return docs.sparkSession.sparkContext.broadcast(fit(buf, offs, table.column("y").to_numpy()[order], share, spare_from=spare_from))
 
 
 def score(docs: DataFrame, model, keep: list[str], threshold: float = 0.3) -> DataFrame:

@@ -75,8 +75,12 @@ def test_entropy_is_incremental_and_suppressed():
         assert covered == {p for lo, hi in secrets.entropy_spans(text) for p in range(lo, hi)}
     key = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
     assert secrets.added_spans(f"x {key} y", []) == [(2, 3, 42)]
-    assert secrets.added_spans(f"x {key} y", [(2, 0, 10)]) == []
+    assert secrets.added_spans(f"x {key} y", [(2, 0, 10)]) == [(10, 3, 42)] and secrets.added_spans(f"x {key} y", [(2, 0, 30)]) == []
     assert secrets.added_spans(f"x {key} y", [], (re.compile("9233.*"),)) == []
+    # Of a longer span the rest beside base spans stays, if it is long enough.
+    assert secrets.added_spans(f"x {key}{key} y", [(2, 2, 18)]) == [(18, 3, 82)]
+    assert secrets.added_spans(f"x {key}{key} y", [(40, 2, 60)]) == [(2, 3, 40), (60, 3, 82)]
+    assert secrets.added_spans(f"x {key}{key} y", [(2, 2, 10), (20, 2, 50), (60, 2, 90)]) == []
     for plain in ("123e4567-e89b-12d3-a456-426614174000", "my_example_key_0a9B8c7D6e5F", "keitstlichschenverpfen", "usr/local/lib/python3/site", "0123456789abcdef0123456789abcdef"):
         assert secrets.added_spans(plain, []) == []
 
