@@ -19,7 +19,7 @@ PIECES = r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
 
 def stripped(text: Column) -> Column:
     """Without white space at both ends (also tabs and line ends, unlike trim)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def token_estimate(text: Column) -> Column:
@@ -79,7 +79,7 @@ MESSAGES = {
 
 def masked(s: Column) -> Column:
     """A line with its quoted strings emptied."""
-    return F.regexp_replace(s, LITERAL, '""')
+    return F.when(s.contains("'") | s.contains('"'), F.regexp_replace(s, LITERAL, '""')).otherwise(s)
 
 
 def finding_codes(text: Column, line_no: Column, s: Column | None = None, code: Column | None = None) -> Column:

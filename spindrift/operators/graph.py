@@ -4,22 +4,36 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage of an iterative plan in the session's checkpoint folder (its own only in local mode, where none need be named)."""
-    sc = df.sparkSession.sparkContext
+    """Ends the lineage of an iterative plan in the session's checkpoint folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As cut, but as a Parquet table in that folder: for wide rows of which later readers need some columns only."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of our own only in local mode, where none need be named."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spindrift-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

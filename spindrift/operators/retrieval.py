@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
-from spindrift.operators.graph import cut
+from spindrift.operators.graph import stored
 
 K1, B = 1.4, 0.72
 FIELD_WEIGHTS = {"file": 1.25, "qualname": 1.75, "signature": 1.35, "docstring": 1.0, "source": 0.3}
@@ -30,21 +31,31 @@ class CodeTerms:
     """Terms of a text with their counts: pieces and the whole of every identifier, lower-case, without stop words."""
 
     def __init__(self):
-        self.known: dict[str, list[str]] = {}
-
-    def __call__(self, text: str) -> Iterable[tuple[str, int]]:
+        self.known: dict[str, tuple[tuple[str, int], ...]] = {}
+
+    def learn(self, word: str) -> tuple[tuple[str, int], ...]:
+        if len(self.known) > 500_000:
+            self.known.clear()
+        if word[1:].islower() and word.isalpha():  # a plain word is its only piece
+            low = word.lower()
+            own = () if low in _STOP else ((low, 2),)
+        else:
+            own = tuple(Counter(t for t in (p.lower() for p in (*_PIECE.findall(word), word)) if t not in _STOP).items())
+        self.known[word] = own
+        return own
+
+    def __call__(self, text: str) -> dict[str, int]:
+        out: dict[str, int] = {}
+        get, known = out.get, self.known.get
         for word, n in Counter(_WORD.findall(text)).items():
-            own = self.known.get(word)
-            if own is None:
-                if len(self.known) > 500_000:
-                    self.known.clear()
-                own = self.known[word] = [t for t in (p.lower() for p in (*_PIECE.findall(word), word)) if t not in _STOP]
-            for term in own:
-                yield term, n
+            own = known(word)
+            for term, k in self.learn(word) if own is None else own:
+                out[term] = get(term, 0) + n * k
+        return out
 
 
-#: Makes the function that gives (term, count) pairs of a text; one is made per task.
-code_terms: Callable[[], Callable[[str], Iterable[tuple[str, int]]]] = CodeTerms
+#: Makes the function that gives the terms of a text with their counts; one is made per task.
+code_terms: Callable[[], Callable[[str], dict[str, int]]] = CodeTerms
 #: Texts whose postings make one Arrow batch.
 TEXTS = 1000
 
@@ -55,29 +66,31 @@ def posted(docs: DataFrame, key: str, weights: dict[str, int], terms=code_terms)
     dl: sum of tf of the row; n_terms: its terms; head: 1 at its first term, else 0.  One row per key.
     """
     kind = docs.schema[key].dataType.simpleString()
-    fields = list(weights)
+    fields, plain = list(weights), list(weights.values()) == [1]
 
     def run(batches):
         of = terms()
         for batch in batches:
             texts = [batch.column(i + 1).to_pylist() for i in range(len(fields))]
             for lo in range(0, batch.num_rows, TEXTS):
-                at, words, tf, dl, many, head = [], [], [], [], [], []
-                for i in range(lo, min(batch.num_rows, lo + TEXTS)):
-                    counts: dict[str, int] = {}
-                    for column, weight in zip(texts, weights.values()):
-                        for term, n in of(column[i] or ""):
+                hi = min(batch.num_rows, lo + TEXTS)
+                words, tf, many = [], [], np.zeros(hi - lo, np.int64)
+                for i in range(lo, hi):
+                    counts: dict[str, int] = of(texts[0][i] or "") if plain else {}
+                    for column, weight in zip(texts, () if plain else weights.values()):
+                        for term, n in of(column[i] or "").items():
                             counts[term] = counts.get(term, 0) + n * weight
-                    n = len(counts)
-                    if n:
-                        at += [i] * n
-                        words += counts
-                        tf += counts.values()
-                        dl += [sum(counts.values())] * n
-                        many += [n] * n
-                        head += [1] + [0] * (n - 1)
-                numbers = [pa.array(x, pa.int64()) for x in (tf, dl, many, head)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(words, pa.string()), *numbers], [key, "term", "tf", "dl", "n_terms", "head"])
+                    words += counts
+                    tf += counts.values()
+                    many[i - lo] = len(counts)
+                tf = np.array(tf, np.int64)
+                first = np.concatenate(([0], np.cumsum(many)))
+                head = np.zeros(len(tf), np.int64)
+                head[first[:-1][many > 0]] = 1
+                dl = np.diff(np.concatenate(([0], np.cumsum(tf)))[first])
+                numbers = [pa.array(x) for x in (tf, np.repeat(dl, many), np.repeat(many, many), head)]
+                keys = batch.column(0).take(pa.array(np.repeat(np.arange(lo, hi), many)))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(words, pa.string()), *numbers], [key, "term", "tf", "dl", "n_terms", "head"])
 
     return docs.select(key, *[F.col(c).cast("string").alias(f"__f{i}") for i, c in enumerate(fields)]).mapInArrow(run, f"`{key}` {kind}, term string, tf long, dl long, n_terms long, head long")
 
@@ -109,11 +122,10 @@ def bm25(post: DataFrame, queries: DataFrame, docs: DataFrame, key: str, query_k
     post: as posted, stored or cut; queries: (query_key, term, qc, q_terms).  Only postings of terms that some query
     asks for are counted and joined; a posting's and a query term's own factors are computed before the join.
     """
-    corpus = corpus_numbers(post, docs).select(F.struct("n", "avg_dl")).scalar()
+    one = corpus_numbers(post, docs).first()  # two numbers
     df = post.join(queries.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    asked = queries.join(df, "term").select(query_key, "term", "q_terms", "qc", "df", corpus.alias("__c")).select(query_key, "term", "q_terms", (F.col("qc") * idf(F.col("df"), F.col("__c.n"))).alias("__qw"))
-    rows = post.select(key, "term", "tf", "dl", corpus.alias("__c"))
-    rows = rows.select(key, "term", ((F.col("tf") * (K1 + 1.0)) / (F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / F.col("__c.avg_dl")))).alias("__dw"))
+    asked = queries.join(df, "term").select(query_key, "term", "q_terms", (F.col("qc") * idf(F.col("df"), F.lit(one.n))).alias("__qw"))
+    rows = post.select(key, "term", ((F.col("tf") * (K1 + 1.0)) / (F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / F.lit(one.avg_dl)))).alias("__dw"))
     hits = rows.join(asked, "term")
     return hits.groupBy(query_key, key, "q_terms").agg(F.sum(F.col("__qw") * F.col("__dw")).alias("bm25"), F.count(F.lit(1)).alias("matched"))
 
@@ -144,7 +156,7 @@ def chunk_search(docs: DataFrame, queries: DataFrame, key: str, text: str, query
 
     ``post``: stored postings of docs, as posted; without them the texts are read for terms once.
     """
-    post = cut(posted(docs, key, {text: 1}, terms)) if post is None else post
+    post = stored(posted(docs, key, {text: 1}, terms)) if post is None else post
     hits = bm25(post, query_terms(queries, query_key, query_text, terms), docs, key, query_key)
     scored = hits.select(query_key, key, (F.col("bm25") * (1.0 + F.col("matched") / F.col("q_terms"))).alias("score"))
     return ranked(scored, query_key, "score", key, top)
@@ -173,7 +185,7 @@ def symbol_search(symbols: DataFrame, query: str, top: int = 12, fields: dict[st
     spark = symbols.sparkSession
     asked = spark.createDataFrame([(0, query)], "__q int, __text string")
     q = query_terms(asked, "__q", "__text", code)
-    post = cut(posted(symbols, key, weights, code)) if post is None else post
+    post = stored(posted(symbols, key, weights, code)) if post is None else post
     hits = bm25(post, q, symbols, key, "__q").drop("__q")
     words = [r.term for r in q.select("term").collect()]  # the terms of one query
     if not words:
@@ -208,7 +220,7 @@ def line_scores(lines: DataFrame, query: str) -> DataFrame:
     def run(batches):
         of = CodeTerms()
         for batch in batches:
-            own = [{t for t, _ in of(x or "")} for x in batch.column("text").to_pylist()]
+            own = [of(x or "").keys() for x in batch.column("text").to_pylist()]
             numbers = [pa.array([len(x & asked) for x in own], pa.int32()), pa.array([len(x) for x in own], pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *numbers], [*names, "__s", "__n"])
 
