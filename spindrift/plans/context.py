@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
-from spindrift.operators import graph, lines, retrieval
+from spindrift.operators import budget, graph, lines, retrieval
 from spindrift.sources.repo import Index
 
+COUNTED = ("symbols", "files", "edges", "imports", "chunks", "lines", "quality_findings")
 SYMBOL = ("id", "qualname", "name", "kind", "file", "start_line", "end_line", "signature", "docstring")
 
 
@@ -214,7 +215,7 @@ def impact(index: Index, file: str | None = None, symbol: str | None = None, hop
 
 def stats(index: Index) -> dict:
     """Counts, hubs, entry points and hotspots."""
-    out: dict = {name: index.tables[name].count() for name in ("symbols", "files", "edges", "imports", "chunks", "lines", "quality_findings")}
+    out: dict = {name: index.tables[name].count() for name in COUNTED}
     records = lambda df: [r.asDict() for r in _rows(df)]
     s, e = index.symbols, index.edges
     entry = graph.entry_points(s, e, graph.looks_like_entry(F.col("name"), F.col("file")), ["file", "start_line"])
@@ -244,6 +245,8 @@ def attention(index: Index, task: str) -> dict:
 # --- context under a budget -------------------------------------------------------------------
 
 EDIT, PERIPHERY, TESTS = 0.60, 0.30, 0.10
+#: Share of the best file's score that a file to edit has at least.
+NEAR = 0.5
 
 
 def excerpt(index: Index, file: str, source: str, first: list[int], limit: int) -> tuple[str, int, list[str]]:
@@ -273,15 +276,13 @@ def excerpt(index: Index, file: str, source: str, first: list[int], limit: int)
     return text, estimate(text), names
 
 
-def _skip(items: list, cost, budget_: int) -> tuple[list, int]:
-    """Items that fit in order, passing over those that do not."""
-    out, used = [], 0
-    for x in items:
-        c = cost(x)
-        if used + c <= budget_:
-            out.append(x)
-            used += c
-    return out, used
+def _taken(spark, items: list, cost, limit: int, how=budget.greedy_skip) -> tuple[list, int]:
+    """The items that a fold of operators/budget takes under a limit, in order, and what they cost."""
+    if not items:
+        return [], 0
+    rows = spark.createDataFrame([(0, n, int(cost(x))) for n, x in enumerate(items)], "g int, rank long, cost long")
+    got = _rows(how(rows, ["g"], "cost", limit).select("rank", "used"))
+    return [items[n] for n in sorted(r.rank for r in got)], max((r.used for r in got), default=0)
 
 
 def get_context(index: Index, task: str, token_budget: int = 8000, max_files: int = 3) -> dict:
@@ -299,14 +300,10 @@ def get_context(index: Index, task: str, token_budget: int = 8000, max_files: in
 
     # Files to edit: good ones by roll-up, tests only when asked for.
     wants_tests = bool({"test", "tests", "pytest", "spec"} & set(words))
-    ranked = _rows(file_hits(index, task, 12))
-    best = max((r.score for r in ranked), default=0.0)
-    order: list[str] = []
-    for r in ranked:
-        if not wants_tests and is_test(r.file, ""):
-            continue
-        if not order or r.score >= 0.5 * best:
-            order.append(r.file)
+    hits = file_hits(index, task, 12)
+    ranked = [r.file for r in _rows(hits) if wants_tests or not is_test(r.file, "")]
+    near = {r.file for r in _rows(budget.near_best(hits.withColumn("g", F.lit(0)), ["g"], "score", [F.col("rank")], NEAR))}
+    order = [f for f in ranked if f in near] or ranked[:1]
     order = order or list(dict.fromkeys(r.file for r in seeds if wants_tests or not is_test(r.file, r.name)))
     hits_of = {f: [r.id for r in seeds if r.file == f] for f in order}
     limits = {"edit_files": int(token_budget * EDIT), "periphery": int(token_budget * PERIPHERY), "tests": int(token_budget * TESTS), "quality_signals": max(80, int(token_budget * 0.05)), "relevant_chunks": max(120, int(token_budget * 0.10))}
@@ -331,12 +328,10 @@ def get_context(index: Index, task: str, token_budget: int = 8000, max_files: in
     names_of = {r.id: r.qualname for r in _rows(index.symbols.where(F.col("file").isin(chosen)).select("id", "qualname"))}
     cost_of = lambda s: estimate(f"{s['file']} {s['line_no']} {s['severity']} {s['code']} {s['message']} {s['symbol'] or ''}")
     for file in chosen:
-        for r in _rows(findings(index, file=file, limit=12)):
-            signal = {"file": r.file, "line_no": r.line_no, "severity": r.severity, "code": r.code, "message": r.message, "symbol": names_of.get(r.symbol_id)}
-            if used["quality_signals"] + cost_of(signal) > limits["quality_signals"]:
-                break
-            out["quality_signals"].append(signal)
-            used["quality_signals"] += cost_of(signal)
+        near_by = [{"file": r.file, "line_no": r.line_no, "severity": r.severity, "code": r.code, "message": r.message, "symbol": names_of.get(r.symbol_id)} for r in _rows(findings(index, file=file, limit=12))]
+        fit, cost = _taken(spark, near_by, cost_of, limits["quality_signals"] - used["quality_signals"], budget.greedy_break)
+        out["quality_signals"] += fit
+        used["quality_signals"] += cost
 
     for r in _rows(chunk_hits(index, task, 12)):
         if r.file in chosen:
@@ -360,9 +355,9 @@ def get_context(index: Index, task: str, token_budget: int = 8000, max_files: in
     item = lambda r, rel: {"qualname": r.qualname, "file": r.file, "signature": r.signature, "one_line_summary": one_line(r), "relation": rel}
     weight = lambda x: estimate(x["signature"] + x["one_line_summary"]) + 4
     ordered = [item(r, rel) for r, rel, _ in sorted(around.values(), key=lambda x: -x[2])]
-    out["periphery"], used["periphery"] = _skip(ordered, weight, limits["periphery"])
+    out["periphery"], used["periphery"] = _taken(spark, ordered, weight, limits["periphery"])
     tests = list({r.id: item(r, "test") for r in [*seeds, *expanded] if is_test(r.file, r.name)}.values())
-    out["relevant_tests"], used["tests"] = _skip(tests, weight, limits["tests"])
+    out["relevant_tests"], used["tests"] = _taken(spark, tests, weight, limits["tests"])
 
     names = index.symbols.select("id", "file", "qualname", "start_line")
     touching = graph.touching(names, index.edges, lambda f: f.isin(chosen))
@@ -374,19 +369,27 @@ def get_context(index: Index, task: str, token_budget: int = 8000, max_files: in
 
     # Over the budget after all: what matters least goes first, from its end.
     total = sum(used.values())
-    finding_refund = lambda s: cost_of(s | {"symbol": None})
-    for section, key, price in (
-        ("periphery", "periphery", weight), ("relevant_tests", "tests", weight), ("quality_signals", "quality_signals", finding_refund),
+    # (section, its entry of the budget, what an item that goes gives back)
+    sections = (
+        ("periphery", "periphery", weight), ("relevant_tests", "tests", weight), ("quality_signals", "quality_signals", lambda s: cost_of(s | {"symbol": None})),
         ("relevant_chunks", "relevant_chunks", lambda c: c["tokens"]), ("dependency_edges", "dependency_edges", edge_cost),
-    ):
-        while total > token_budget and out[section]:
-            back = price(out[section].pop())
-            total -= back
-            used[key] = max(0, used[key] - back)
-            out["notes"].append(f"trimmed {section}")
+    )
+    if total > token_budget:
+        items = [(0, name, n, int(price(x))) for name, _, price in sections for n, x in enumerate(out[name])]
+        rest = (0, "rest", 0, total - sum(i[3] for i in items))
+        rows = budget.trim(spark.createDataFrame([rest, *items], "g int, section string, at long, tokens long"), ["g"], "tokens", [s[0] for s in sections], "at", token_budget)
+        gone = _rows(rows.where("NOT kept"))
+        for name, key, _ in sections:
+            lost = [r for r in gone if r.section == name]
+            back = sum(r.tokens for r in lost)
+            out[name] = out[name][: len(out[name]) - len(lost)]
+            total, used[key] = total - back, max(0, used[key] - back)
+            out["notes"] += [f"trimmed {name}"] * len(lost)
     if total > token_budget:
         out["notes"].append("the files to edit alone exceed the budget")
     out["fits_in"] = total
+    out["stats"] = {name: index.tables[name].count() for name in COUNTED}
+    out["symbol_count"] = out["stats"]["symbols"]
     out["budget"] = {k: {"used": n, "limit": limits.get(k, "included")} for k, n in used.items()} | {"remaining": max(0, token_budget - total)}
     return out
 
