@@ -37,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
     command("rank-lines", "root", "file", "query", top=5)
     command("plan", "root", "task")
     command("tool", "root", "call")
+    command("tools", "root")
     command("verify", "path")
     command("trace", "folder")
     command("memory", "folder")
@@ -58,6 +59,8 @@ def answer(spark: SparkSession, args: argparse.Namespace) -> object:
     if args.command == "tool":
         call = parse.tool_call(args.call)
         return loops.index_tools(index).run(call["tool"], call["args"]) if call else {"error": "no tool call"}
+    if args.command == "tools":
+        return loops.index_tools(index).specs()
     if args.command == "context":
         found = context.get_context(index, args.task, args.budget)
         return found if args.format == "json" else render.dossier(found)

@@ -228,17 +228,36 @@ def stats(index: Index) -> dict:
     }
 
 
-def attention(index: Index, task: str) -> dict:
-    """Handles of what to look at for a task: files, symbols and chunks."""
-    symbols = _rows(symbol_hits(index, task, 24).orderBy("rank"))
-    chunks = _rows(chunk_hits(index, task, 16))
-    numbers = stats(index)
-    files = list(dict.fromkeys(x["file"] for k in ("quality_hotspots", "dependency_hotspots", "largest_files") for x in numbers[k]))[:32]
+#: What a reader of the manifest may want next, the tool of plans/loops that gives it, and its arguments.
+NEXT = (
+    ("code for a question", "search_code", {"query": "{task}", "top": 10}),
+    ("a symbol in full", "inspect_code", {"symbol": "the name behind a symbol handle"}),
+    ("a range of lines", "inspect_code", {"file": "the path behind a file handle", "start_line": 1, "end_line": 80}),
+    ("what a change touches", "analyze_impact", {"symbol": "a name", "file": "or a path"}),
+    ("what to read for an edit", "get_context", {"task": "{task}", "token_budget": "{budget}"}),
+)
+WITHOUT_TASK = "entry points, architecture, dependencies, risk and tests"
+
+
+def attention(index: Index, task: str | None = None, token_budget: int = 8000) -> dict:
+    """A map of the whole index in handles, not a dump of it: coverage, architecture, what fits a task, and how to go on."""
+    query, numbers = task or WITHOUT_TASK, stats(index)
+    symbols = _rows(symbol_hits(index, query, 24).orderBy("rank"))
+    chunks = _rows(chunk_hits(index, query, 16))
+    files = {r["file"]: {"handle": f"file:{r['file']}", **r} for r in numbers["dependency_hotspots"]}
+    for r in numbers["largest_files"]:
+        files.setdefault(r["file"], {"handle": f"file:{r['file']}", **r})
+    fill = lambda v: {"{task}": task or "a task", "{budget}": token_budget}.get(v, v)
     return {
-        "task": task, "stats": {k: v for k, v in numbers.items() if isinstance(v, int)},
-        "symbols": [{"handle": f"symbol:{r.qualname}", "file": r.file, "score": r.score} for r in symbols],
-        "chunks": [{"handle": f"chunk:{r.file}:{r.start_line}-{r.end_line}", "score": r.score} for r in chunks],
-        "files": [{"handle": f"file:{f}"} for f in files],
+        "ok": True, "mode": "handles", "task": task, "token_budget": token_budget, "coverage": {k: numbers[k] for k in COUNTED if k != "imports"},
+        "architecture": {k: numbers[k] for k in ("entrypoints", "hubs", "dependency_hotspots", "quality_hotspots")},
+        "attention": {
+            "symbols": [{"handle": f"symbol:{r.qualname}", **{k: r[k] for k in SYMBOL[1:]}, "one_line_summary": one_line(r), "score": r.score} for r in symbols],
+            "chunks": [{"handle": f"chunk:{r.id}", "file": r.file, "lines": [r.start_line, r.end_line], "tokens": r.tokens, "score": r.score, "symbols": r.symbols, "quality_summary": ",".join(r.quality_summary)} for r in chunks],
+            "files": list(files.values())[:32],
+        },
+        "navigation": [{"need": need, "tool": tool, "input": {k: fill(v) for k, v in args.items()}} for need, tool, args in NEXT],
+        "handles": {"symbol": "symbol:QUALNAME", "file": "file:PATH", "chunk": "chunk:ID, a file and its lines", "lines": "lines:PATH:FIRST-LAST"},
     }
 
 

@@ -70,6 +70,67 @@ def code_check(blocks: list[dict]) -> Check:
     return Check(not errors, 0.0 if errors else 1.0, "coding", errors=errors)
 
 
+@dataclass
+class Verdict:
+    """A checked proposal.  Only the check accepts it; a critique, by somebody other than its author, breaks ties."""
+    check: Check
+    artifact: object
+    critique: dict | None
+    score: float
+
+    @property
+    def accepted(self) -> bool:
+        return self.check.ok
+
+
+def critique(reply: str | None) -> dict:
+    """{"satisfies", "issues"} of a critic's reply; at most eight issues."""
+    said = parse.first_object(reply)
+    if said is None:
+        return {"satisfies": False, "issues": ["the critic's reply cannot be read"]}
+    issues = said.get("issues") or []
+    return {"satisfies": bool(said.get("satisfies", False)), "issues": [str(i) for i in (issues if isinstance(issues, list) else [issues])][:8]}
+
+
+def verdict(artifact, check: Callable[[object], Check], critic: Callable[[object], str] | None = None) -> Verdict:
+    """Checked first; then, if there is anything proposed, criticised.  Without a proposal the score is -1."""
+    got = check(artifact)
+    said = critique(critic(artifact)) if critic is not None and artifact else None
+    tie = 0.0 if said is None else 0.15 if said["satisfies"] else -0.05 * len(said["issues"])
+    return Verdict(got, artifact, said, round(got.signal + tie, 3) if artifact else -1.0)
+
+
+def best_verdict(verdicts: list[Verdict]) -> Verdict | None:
+    """Of most signal, then accepted, then score, then fewest errors, then the first."""
+    return max(enumerate(verdicts), key=lambda p: (p[1].check.signal, p[1].accepted, p[1].score, -len(p[1].check.errors), -p[0]), default=(0, None))[1]
+
+
+def adaptive(produce: Callable[[str, float], object], check: Callable[[object], Check], samples: int = 6, stuck_after: int = 2, on_event: Callable | None = None) -> tuple[Verdict | None, list[Verdict], str]:
+    """(best, all, "solved", "stuck" or "budget"): one sample more only while the last failed, each time warmer and with its errors.
+
+    ``produce(feedback, temperature)``.  ``stuck_after`` samples without any signal in a row end it.  Of equal samples
+    the first is best.
+    """
+    tell = on_event or (lambda *_: None)
+    tried: list[Verdict] = []
+    best, feedback, idle, tenths = None, "", 0, 1
+    for number in range(1, samples + 1):
+        now = verdict(produce(feedback, tenths / 10), check)
+        tried.append(now)
+        tell("check", {"attempt": number, "ok": now.check.ok, "signal": now.check.signal})
+        if best is None or now.check.signal > best.check.signal:
+            best = now
+        idle = idle + 1 if now.check.signal == 0 else 0
+        if now.accepted or idle >= stuck_after:
+            tell("outcome", {"resolved": now.accepted, "won_by": "adaptive", "attempts": number})
+            return (now, tried, "solved") if now.accepted else (best, tried, "stuck")
+        tenths = min(10, tenths + 2)
+        feedback = "\n".join(f"- {e}" for e in now.check.errors) or "Try another way."
+        tell("repair", {"attempt": number, "feedback": feedback})
+    tell("outcome", {"resolved": False, "won_by": "adaptive", "attempts": samples})
+    return best, tried, "budget"
+
+
 @dataclass
 class Attempt:
     number: int
@@ -86,16 +147,18 @@ def solve(produce: Callable[[str], object], check: Callable[[object], Check], at
     best, feedback, idle = None, "", 0
     for number in range(1, attempts + 1):
         artifact = produce(feedback)
-        verdict = check(artifact)
-        tried.append(Attempt(number, artifact, verdict))
+        got = check(artifact)
+        tried.append(Attempt(number, artifact, got))
         if on_event:
-            on_event("check", {"attempt": number, "ok": verdict.ok, "signal": verdict.signal})
-        if best is None or (verdict.signal, verdict.ok) > (best.check.signal, best.check.ok):
+            on_event("check", {"attempt": number, "ok": got.ok, "signal": got.signal})
+        if best is None or (got.signal, got.ok) > (best.check.signal, best.check.ok):
             best = tried[-1]
-        idle = idle + 1 if verdict.signal <= 0 else 0
-        if verdict.ok or idle >= patience:
+        idle = idle + 1 if got.signal <= 0 else 0
+        if got.ok or idle >= patience:
             break
-        feedback = "\n".join(verdict.errors)[:500]
+        feedback = "\n".join(got.errors)[:500]
+        if on_event:
+            on_event("repair", {"attempt": number, "feedback": feedback})
     return best, tried
 
 

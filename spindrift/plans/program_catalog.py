@@ -282,6 +282,17 @@ def uncalled_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.entry_points(index.symbols, index.edges, is_entry, ["file", "start_line"], top=2**30).select("qualname", "file", "signature", "outgoing")
 
 
+@query(P + _FOUND + _CHUNKS + _SEARCH + _CSEARCH + _LINKS + """, big AS (SELECT file, count(*) AS n FROM ps GROUP BY ALL ORDER BY n DESC, file LIMIT 12),
+dep AS (SELECT ps.file, count(DISTINCT other) FILTER (direction = 'in') AS i, count(DISTINCT other) FILTER (direction = 'out') AS o FROM ps LEFT JOIN bw USING (id) GROUP BY ALL ORDER BY i + o DESC, i DESC, ps.file LIMIT 12)
+SELECT 'symbol:' || qualname AS handle, score FROM shit WHERE rank <= 24 UNION ALL SELECT 'chunk:' || id, score FROM chit WHERE rank <= 16
+UNION ALL SELECT 'file:' || file, i + o FROM dep UNION ALL SELECT 'file:' || file, n FROM big WHERE file NOT IN (SELECT file FROM dep)""")
+def attention_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Handles of what to look at for a task: symbols, chunks, files."""
+    got = context.attention(program.index(spark, sf_dir), TASK)["attention"]
+    rows = [(r["handle"], float(r["score"])) for k in ("symbols", "chunks") for r in got[k]] + [(r["handle"], float(r["incoming"] + r["outgoing"] if "incoming" in r else r["symbols"])) for r in got["files"]]
+    return spark.createDataFrame(rows, "handle string, score double")
+
+
 # --- the stored index -------------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
 from spindrift.operators import budget, graph, lines, retrieval, runs
-from spindrift.plans import context, program, program_catalog
+from spindrift.plans import context, loops, program, program_catalog
 from spindrift.sources import repo
 
 
@@ -111,3 +111,23 @@ def test_greedy_and_trim(spark):
     assert sorted((r.rank, r.used) for r in budget.greedy_skip(df, ["g"], "cost", 19).collect()) == want
     assert [r.rank for r in budget.greedy_break(df, ["g"], "cost", 19).orderBy("rank").collect()] == [1, 2, 3]
     assert runs.similar(spark.createDataFrame([(0, "red box")], "q int, t string"), "q", "t", spark.createDataFrame([(1, "red box"), (2, "red")], "id int, x string"), "id", "x").count() == 2
+
+
+def test_verdicts_and_adaptive_attempts():
+    check = loops.function_check("unit", lambda x: (x == "good", {"good": 2.0, "half": 1.0}.get(x, 0.0), {}))
+    hint = lambda ok, *issues: lambda _: f'said {{"satisfies": {str(ok).lower()}, "issues": {list(issues)!r}}}'.replace("'", '"')
+    assert [loops.verdict(x, check, c).score for x, c in (("good", None), ("good", hint(True)), ("half", hint(False, "a", "b")), ("", hint(True)), ("bad", lambda _: "??"))] == [2.0, 2.15, 0.9, -1.0, -0.05]
+    assert not loops.verdict("half", check, hint(True)).accepted
+    best = loops.best_verdict([loops.verdict("half", check), loops.verdict("half", check, hint(True)), loops.verdict("half", check, hint(True))])
+    assert best.score == 1.15 and loops.best_verdict([]) is None
+    for replies, ended, won in ((["half", "good", "bad"], "solved", "good"), (["half", "bad", "bad", "good"], "stuck", "half"), (["half", "bad"] * 3, "budget", "half")):
+        asked, log = [], []
+        it = iter(replies)
+        got, tried, how = loops.adaptive(lambda f, t: (asked.append(t), next(it))[1], check, on_event=lambda k, d: log.append(k))
+        assert (how, got.artifact) == (ended, won) and asked == [0.1, 0.3, 0.5, 0.7, 0.9, 1.0][: len(tried)] and log[-1] == "outcome"
+
+
+def test_attention_map(spark, folder):
+    got = context.attention(program.index(spark, folder), None)
+    assert got["ok"] and got["coverage"]["files"] == program.index(spark, folder).files.count() and 12 <= len(got["attention"]["files"]) <= 32
+    assert {n["tool"] for n in got["navigation"]} <= set(loops.index_tools(program.index(spark, folder)).by_name)
