@@ -65,6 +65,36 @@ def test_gradients_of_the_network():
             assert abs((loss(move) - loss(back)) / 2e-3 - grad[key].reshape(-1)[at]) < 2e-2 * max(1, abs(grad[key].reshape(-1)[at])), key
 
 
+def test_forward_pass_against_a_plain_loop():
+    """One word, one gate and one window at a time."""
+    rng = random.Random(3)
+    buf, offs = textkit.text_buffers(pa.array([text_of(rng, n) for n in (1, 7, 100)] + [""]))
+    words = textkit.Words(buf, offs, apart=textkit.NOT_ALNUM)
+    vocabulary = toxicity.Vocabulary(words)
+    doc, start, size = toxicity.windows(words.first)
+    index = toxicity.window_index(vocabulary.codes, start, size, len(vocabulary))
+    model = toxicity.new_model()
+    model["word"] = model["word"] * 20
+    model["bias"][0] = 0.3
+    x = np.random.default_rng(1).normal(size=(len(vocabulary), 2 * toxicity.EMBED + 3)).astype(np.float32)
+    got = toxicity.logits(model, toxicity._gates(model, x), index)
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    H = toxicity.HIDDEN
+    for k in range(len(doc)):
+        own = [x[c] for c in index[:, k] if c < len(vocabulary)]
+        pairs = np.zeros((len(own), 2))
+        for d, order in (("f", range(len(own))), ("b", reversed(range(len(own))))):
+            h, w, u, c, v = np.zeros(H), *(model[n + d].astype(float) for n in "wucv")
+            for t in order:
+                z = sigmoid(own[t] @ w[:, :H] + c[:H] + h @ u[:, :H])
+                r = sigmoid(own[t] @ w[:, H : 2 * H] + c[H : 2 * H] + h @ u[:, H : 2 * H])
+                cand = np.tanh(own[t] @ w[:, 2 * H :] + c[2 * H :] + r * (h @ u[:, 2 * H :]))
+                h = z * h + (1 - z) * cand
+                pairs[t] += h @ v
+        weight = np.exp(pairs[:, 0] - pairs[:, 0].max()) if own else np.zeros(0)
+        assert abs(got[k] - ((weight * pairs[:, 1]).sum() / weight.sum() if own else 0) - 0.3) < 1e-4
+
+
 def test_windows_cover_every_word():
     first = np.array([0, 0, 1, 48, 97, 400])
     doc, start, size = toxicity.windows(first)
@@ -113,6 +143,36 @@ def test_quality_indicators_are_distinct_per_document():
         assert len(own) == len(set(own.tolist())) >= 1
 
 
+def test_fit_against_a_plain_solver():
+    """The same objective, minimised by subgradient steps over dense vectors."""
+    rng = np.random.default_rng(5)
+    sets, label = [], []
+    for i in range(60):
+        good = i % 3 > 0
+        sets.append(np.unique(rng.choice(40, 8, p=np.where(np.arange(40) < 20, 1.6 if good else 0.4, 0.4 if good else 1.6) / 40)))
+        label.append(int(good))
+    label = np.array(label)
+    w, bias, ratio = quality.fit(sets, label, epochs=400)
+    y, n = np.where(label > 0, 1.0, -1.0), len(sets)
+    x = np.zeros((n, 41))
+    for i, s in enumerate(sets):
+        x[i, s] = ratio[s]
+        x[i, :40] /= np.sqrt((x[i] ** 2).sum())
+        x[i, 40] = 1  # the bias is a weight like the others
+    cost = np.where(y > 0, n / (2 * (y > 0).sum()), n / (2 * (y < 0).sum()))
+    objective = lambda v: 0.5 * v @ v + (cost * np.maximum(0, 1 - y * (x @ v))).sum()
+    v, best = np.zeros(41), np.inf
+    for k in range(1, 60001):
+        v = v - (v - x.T @ (cost * y * (y * (x @ v) < 1))) / k
+        best = min(best, objective(v))
+    counts = [np.array([sum(k in s for s, t in zip(sets, label) if t == c) for k in range(40)]) + 1.0 for c in (0, 1)]
+    want = np.log(counts[1] / (label.sum() + 2)) - np.log(counts[0] / ((1 - label).sum() + 2))
+    assert np.allclose(ratio[:40][ratio[:40] != 0], want[ratio[:40] != 0], atol=1e-5)
+    own = np.append(np.divide(w[:40], ratio[:40], out=np.zeros(40), where=ratio[:40] != 0), bias)
+    scales = np.linspace(0.05, 2, 4000) * np.linalg.norm(v) / np.linalg.norm(own)  # the sigmoid's slope is multiplied in
+    assert min(objective(own * s) for s in scales) < best * 1.01
+
+
 def test_dual_coordinate_descent_separates():
     sets = [np.array([0, 2]), np.array([0, 3]), np.array([0, 4]), np.array([1, 2]), np.array([1, 3]), np.array([1, 4])]
     model = quality.fit(sets, np.array([1, 1, 1, 0, 0, 0]))
