@@ -163,8 +163,11 @@ def _keys(column) -> np.ndarray:
 
 # --- documents --------------------------------------------------------------------------------
 
-def digests(docs: DataFrame, keep: list[str], folded: bool = False) -> DataFrame:
-    """``keep`` columns, the SHA-256 of the folded text, its length in bytes; with ``folded`` also those bytes."""
+def digests(docs: DataFrame, keep: list[str], folded: bool = False, only: shared.Sieve | None = None) -> DataFrame:
+    """``keep`` columns, the SHA-256 of the folded text, its length in bytes; with ``folded`` also those bytes.
+
+    ``only``: a sieve of digests; what it stops is left out.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["digest binary", "n_bytes long"] + ["folded binary"] * folded)
 
@@ -172,14 +175,24 @@ def digests(docs: DataFrame, keep: list[str], folded: bool = False) -> DataFrame
         for batch in batches:
             # bytes.lower() changes A-Z only
             texts = [(x or b"").lower() for x in batch.column("__bytes").to_pylist()]
-            columns = [batch.column(c) for c in keep]
-            columns += [pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary()), pa.array([len(x) for x in texts], pa.int64())]
+            digest = pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary())
+            columns = [batch.column(c) for c in keep] + [digest, pa.array([len(x) for x in texts], pa.int64())]
             columns += [pa.array(texts, pa.binary())] * folded
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "digest", "n_bytes", *["folded"] * folded])
+            out = pa.RecordBatch.from_arrays(columns, [*keep, "digest", "n_bytes", *["folded"] * folded])
+            yield out if only is None else out.filter(pa.array(only.passes(_keys(digest))))
 
     return docs.select(*keep, F.col("text").cast("binary").alias("__bytes")).mapInArrow(run, schema)
 
 
+def _sieve(groups: DataFrame) -> shared.Sieve:
+    """Of the groups' digests, by their first eight bytes."""
+    def keys(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_keys(batch.column("digest")).view(np.int64))], ["key"])
+
+    return shared.Sieve(groups.select("digest").mapInArrow(keys, "key long"))
+
+
 def group_digests(rows: DataFrame, arrival, batches: int, store: Store | None = None) -> DataFrame:
     """BUCKETS over all rows (digest, n_bytes, doc_id); ``arrival``: number of the batch (0 first) that brings a row.
 
@@ -231,11 +244,11 @@ def _salted(rows: DataFrame, groups: DataFrame, hot: list, parts: int = 32, how:
 def uneven(docs: DataFrame, groups: DataFrame, hot: list) -> DataFrame:
     """Digests whose documents are not all the same bytes.
 
-    Texts meet their group once, and a group whose smallest and largest text agree is even; both are
-    partial aggregates, so copies do not travel again.
+    Texts of single documents do not travel, as far as the sieve tells; the others meet their group once, and a group whose
+    smallest and largest text agree is even; both are partial aggregates, so copies do not travel again.
     """
     several = groups.where("group_size > 1").select("digest")
-    texts = digests(docs.select("doc_id", "text"), ["doc_id"], folded=True).drop("n_bytes")
+    texts = digests(docs.select("doc_id", "text"), ["doc_id"], True, _sieve(several)).drop("n_bytes")
     members = _salted(texts, several, hot)
     ends = members.groupBy("digest").agg(F.min("folded").alias("least"), F.max("folded").alias("most"))
     return ends.where("least <> most").select("digest")
@@ -298,35 +311,43 @@ FROM d JOIN g USING (text_sha256)
 def filter_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of equal texts the row with the largest doc_id stays, with its columns.
 
-    Of several rows of one text with that id the one with the least hash of all its columns stays; a group
-    whose ids are all null keeps one row.  Null and empty texts are one group; groups of equal digests are
+    Of several rows of one text with that id (or with none, where all ids are null) the one with the least hash of its
+    text as written, then of its columns, stays.  Null and empty texts are one group; groups of equal digests are
     checked by their bytes.  Rows of different texts never stand for each other, whatever their ids.
     """
     docs, restore = shared.shield(docs)
-    rows = shared.materialize(digests(docs.select("doc_id", "text"), ["doc_id"]))
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    rows = shared.materialize(digests(hashed, ["doc_id", "h"]))
     groups = shared.materialize(group_digests(rows, textkit.sql_crc_bucket("doc_id", BATCHES), BATCHES))
     hot = shared.hot_keys(groups, "digest", "group_size")
     odd = shared.materialize(uneven(docs, groups, hot))
-    several = groups.where("group_size > 1").select("digest", "keep_id")
-    copies = shared.materialize(_salted(rows.select("doc_id", "digest"), several, hot))
-    lost = copies.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
-    marked = digests(docs, docs.columns).drop("n_bytes")
-    left = marked.join(lost, _same_row("__id", "__digest"), "left_anti")
-    twins = shared.materialize(copies.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")))
-    if not odd.isEmpty():
-        left = left.join(odd, "digest", "left_anti")
-    if not twins.isEmpty():  # one of each stays
-        left = left.join(twins, _same_row("__id", "__digest"), "left_anti").unionByName(one_of(left.join(twins, _same_row("__id", "__digest"), "left_semi"), ["digest"]))
+    several = groups.where("group_size > 1").select("digest")
+    copies = _salted(rows.select("doc_id", "h", "digest"), several, hot)
     if not odd.isEmpty():
-        texts = digests(docs, docs.columns, folded=True).join(odd, "digest", "left_semi")
-        heads = texts.groupBy(F.col("digest").alias("__digest"), F.col("folded").alias("__folded")).agg(F.max("doc_id").alias("__id"))
-        best = texts.join(heads, _same_row("__id", "__digest") & (F.col("folded") == F.col("__folded")), "left_semi")
-        left = left.unionByName(one_of(best, ["digest", "folded"]).select(left.columns))
-    return left.select(*restore)
+        texts = digests(hashed, ["doc_id", "h"], True, _sieve(odd)).join(odd, "digest", "left_semi")
+        copies = copies.join(odd, "digest", "left_anti").unionByName(texts.select("doc_id", "h", F.concat("digest", "folded").alias("digest")))
+    copies = shared.materialize(copies.groupBy("digest", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")))
+    # The largest id first, null ids last, then the least hash.
+    best = copies.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("less"), "h")).alias("best"))
+    judged = shared.salted(copies, best, "digest", hot)
+    stays = F.bitwise_not("doc_id").eqNullSafe(F.col("best.less")) & (F.col("h") == F.col("best.h"))
+    return settle(docs, judged.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "n", stays.alias("stays"))).select(*restore)
 
 
-def _same_row(doc_id: str, digest: str):
-    return F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.col("digest") == F.col(digest))
+def settle(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """docs without the judged rows (__id, __h: hash of the text, n: rows, stays) that do not stay, one of those that do.
+
+    Rows that nothing was said about do not travel, as far as a sieve of the hashes tells.
+    """
+    act = shared.materialize(judged.where("NOT stays OR n > 1"))
+    sieve = shared.Sieve(act.select("__h"))
+    marked = docs.withColumn("__hash", F.xxhash64("text")).withColumn("__maybe", sieve.column("__hash"))
+    row = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h"))
+    bound = marked.where("__maybe").join(act.where("NOT stays"), row, "left_anti")
+    twins = act.where("stays").select("__id", "__h")
+    if not twins.isEmpty():
+        bound = bound.join(twins, row, "left_anti").unionByName(one_of(bound.join(twins, row, "left_semi"), ["doc_id", "__hash"]))
+    return marked.where("NOT __maybe").unionByName(bound).drop("__hash", "__maybe")
 
 
 def one_of(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -73,7 +73,7 @@ def test_equal_digests_of_different_bytes(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     weak = F.rpad((F.length(F.coalesce("text", F.lit(""))) % 2).cast("string"), 32, "0").cast("binary")
 
-    def digests(docs, keep, folded=False):
+    def digests(docs, keep, folded=False, only=None):
         out = docs.withColumns({"digest": weak, "n_bytes": F.length("text").cast("long"), "folded": F.lower("text").cast("binary")})
         return out.select(*keep, "digest", "n_bytes", *["folded"] * folded)
 
