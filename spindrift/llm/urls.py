@@ -7,8 +7,9 @@ For the rest, FP-growth mines combinations of URL tokens (host labels, top domai
 fragment; numbers are one token) together with the label of labelled urls.  Tokens that stand in exactly the
 same labelled urls are one item, so a url repeated with many tokens does not multiply item sets; item sets
 have no length bound.  Combinations on at least MIN_SUPPORT of the labelled urls and at least MIN_URLS of
-them, that imply a label with at least MIN_CONFIDENCE and MIN_LIFT times its share of all labelled urls, are
-rules; those that a part of themselves implies as well are dropped.  Rules are filed in an inverted index
+them are rules if they imply a label with at least MIN_CONFIDENCE, and if the lower Wilson bound (Z deviations, as
+thousands of combinations are tried) of that confidence is MIN_LIFT times the label's share of all labelled urls;
+those that a part of themselves implies as well are dropped.  Rules are filed in an inverted index
 under their rarest token, so a url looks only at rules one of whose tokens it has.  The best fitting rule
 (confidence, then support, then tokens) decides; urls without one are allowed.
 
@@ -41,7 +42,7 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-MIN_SUPPORT, MIN_URLS, MIN_CONFIDENCE, MIN_LIFT = 0.005, 5, 0.9, 1.1
+MIN_SUPPORT, MIN_URLS, MIN_CONFIDENCE, MIN_LIFT, Z = 0.005, 5, 0.9, 1.1, 4.0
 SAMPLE = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLD = str.maketrans(_UPPER, _LOWER)
@@ -97,7 +98,7 @@ def parse(pages: DataFrame, keep: list[str], rules=RULES) -> DataFrame:
     return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "host", "path", "tokens", "rule", "listed")
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_urls: int = MIN_URLS, min_lift: float = MIN_LIFT, sample: int = SAMPLE) -> list[tuple[tuple[str, ...], str, float, int]]:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_urls: int = MIN_URLS, min_lift: float = MIN_LIFT, z: float = Z, sample: int = SAMPLE) -> list[tuple[tuple[str, ...], str, float, int]]:
     """(tokens, label, confidence, urls) of the pruned rules, best first; labelled: tokens, label."""
     known = labelled.where("size(tokens) > 0 AND label IS NOT NULL").select("tokens", "label")
     known = shared.materialize(known.orderBy(F.xxhash64("tokens", "label")).limit(sample).withColumn("__row", F.monotonically_increasing_id()))
@@ -122,7 +123,9 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     for name, n in counts.items():
         share = F.when(F.col("label") == name, n / total).otherwise(share)
     strong = both.join(alone, "body").withColumn("confidence", F.col("freq") / F.col("all"))
-    strong = strong.where((F.col("confidence") >= min_confidence) & (F.col("confidence") >= share * min_lift)).collect()
+    p, n = F.col("confidence"), F.col("all")
+    lower = (p + z * z / (n * 2) - z * F.sqrt(p * (1 - p) / n + z * z / (n * n * 4))) / (1 + z * z / n)
+    strong = strong.where((p >= min_confidence) & (lower >= share * min_lift)).collect()
     whole = {r.item: tuple(r["all"]) for r in items.collect()}
     kept: dict[tuple[frozenset, str], float] = {}
     out = []
@@ -194,8 +197,9 @@ def page_labels(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFra
     """
     bad = F.greatest(F.coalesce(1 - F.col("quality"), F.lit(0)), F.coalesce(F.col("toxic"), F.lit(0)))
     plain = lambda text: F.unhex(F.sha2(text, 256)).alias("__text")
-    known = labels.where("doc_id IS NOT NULL").select("doc_id", bad.alias("bad")).join(docs.select("doc_id", "text"), "doc_id")
-    known = known.select(F.regexp_replace("text", r"\s+", "").alias("t"), "bad").where("t <> ''").groupBy(plain(F.col("t"))).agg(F.avg("bad").alias("bad"))
+    # Texts are hashed before they meet their labels, so none of them is shuffled.
+    hashed = docs.where("doc_id IS NOT NULL AND text <> ''").select("doc_id", F.regexp_replace("text", r"\s+", "").alias("t")).where("t <> ''").select("doc_id", plain(F.col("t")))
+    known = labels.where("doc_id IS NOT NULL").select("doc_id", bad.alias("bad")).join(hashed, "doc_id").groupBy("__text").agg(F.avg("bad").alias("bad"))
     held = pages.select("page_id", plain(article(F.col("html")))).join(known, "__text")
     return held.select("page_id", F.when(F.col("bad") >= 0.5, "block").otherwise("allow").alias("label"))
 

@@ -237,7 +237,11 @@ def test_url_mining(spark):
     assert urls.mine(spark.createDataFrame([], "tokens array<string>, label string")) == []
 
 
-def brute_rules(rows, least, confidence, lift):
+def wilson(p, n, z):
+    return (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+
+
+def brute_rules(rows, least, confidence, lift, z):
     """All item sets by enumeration; those with equal urls are one, kept in its largest form."""
     rows = [(frozenset(t), v) for t, v in rows if t]
     base = {v: sum(x == v for _, x in rows) / len(rows) for v in {v for _, v in rows}}
@@ -247,7 +251,7 @@ def brute_rules(rows, least, confidence, lift):
         have = [v for t, v in rows if s <= t]
         for v in base:
             n = have.count(v)
-            if n >= least and n / len(have) >= max(confidence, lift * base[v]):
+            if n >= least and n / len(have) >= confidence and wilson(n / len(have), len(have), z) >= lift * base[v]:
                 found[s, v] = (n / len(have), n, frozenset(k for k, (t, _) in enumerate(rows) if s <= t))
     best = lambda s, v: max((c for (p, w), (c, *_) in found.items() if w == v and p < s), default=-1.0)
     return found, {(s, v) for (s, v), (c, *_) in found.items() if best(s, v) < c}
@@ -260,9 +264,9 @@ def test_mining_against_enumeration(spark):
         own = {t for t in "abcdef" if rng.random() < 0.35} | ({"g", "h"} if rng.random() < 0.2 else set())  # g and h always together
         rows.append((sorted(own), "block" if "a" in own and "b" in own or "g" in own and rng.random() < 0.9 else rng.choice(["allow"] * 9 + ["block"])))
     long = [(sorted(f"t{k}" for k in range(40)), "block")] * 6  # forty tokens of the same urls: one item
-    got = urls.mine(spark.createDataFrame(rows + long, "tokens array<string>, label string"), 0.0, 0.8, 5, 1.1)
+    got = urls.mine(spark.createDataFrame(rows + long, "tokens array<string>, label string"), 0.0, 0.8, 5, 1.1, 1.0)
     assert (tuple(sorted(f"t{k}" for k in range(40))), "block", 1.0, 6) in got
-    _, want = brute_rules(rows + [(("t",), "block")] * 6, 5, 0.8, 1.1)
+    _, want = brute_rules(rows + [(("t",), "block")] * 6, 5, 0.8, 1.1, 1.0)
     plain = lambda s: frozenset("g" if x == "h" else "t" if x[0] == "t" else x for x in s)
     assert {(plain(b), v) for b, v, *_ in got} == {(plain(s), v) for s, v in want}
     for body, label, confidence, n in got:
@@ -290,6 +294,10 @@ def test_page_labels_by_whole_text(spark):
 
 
 def test_cross_validation(spark):
-    rows = [([f"host:{h}", f"n{i % 7}"], "block" if h == "bad" else "allow") for i in range(60) for h in ("bad", "good", "fine")]
+    rows = [([f"host:{h}", f"n{i % 7}"], "block" if h == "bad" else "allow") for i in range(150) for h in ("bad", "good", "fine")]
     got = urls.cross_validate(spark.createDataFrame(rows, "tokens array<string>, label string"), 3)
-    assert got["blocked"] == got["blocked_right"] == got["block"] == 60 and got["decided"] == got["right"] == 180
+    assert got["blocked"] == got["blocked_right"] == got["block"] == 150 and got["decided"] == got["right"] == 450
+    # Labels drawn by lot: nothing is mined, where rules without the bound would be.
+    rng = random.Random(2)
+    lot = spark.createDataFrame([([f"host:{rng.randrange(80)}", f"n{rng.randrange(9)}"], rng.choice(["allow"] * 3 + ["block"])) for _ in range(900)], "tokens array<string>, label string")
+    assert urls.cross_validate(lot, 2)["rules"] == 0 < urls.cross_validate(lot, 2, z=0.0)["rules"]
