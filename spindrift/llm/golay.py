@@ -315,16 +315,20 @@ def joined(fps: DataFrame, by_fp: DataFrame) -> DataFrame:
 WIDE, SEATS = 8, 20
 #: Differing bits up to which two wide fingerprints are copies of each other (README: measured distances).
 WIDE_RADIUS = 96
+#: And of the first 64 bits: twice its share, which one copy in 20 000 at the radius exceeds.
+FIRST_RADIUS = 24
 W = [f"w{k}" for k in range(WIDE)]
+#: Beside them, a byte of the least hash of the words under each of SEATS orders, in whole words of 64 bits: part of the keys.
+M = [f"m{k}" for k in range(-(-SEATS // 8))]
 #: Weight of a word by how often a text has it: four times the square root.
 _WEIGHT = np.minimum(15, np.round(4 * np.sqrt(np.arange(32)))).astype(np.int64)
 
 
 def wide_fingerprints(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """(n_docs, WIDE) uint64 of a block: SimHash of the distinct words."""
+    """(n_docs, WIDE + len(M)) uint64 of a block: SimHash of the distinct words, and bytes of their least hashes."""
     words = textkit.Words(buf, offs)
     n_docs = len(offs) - 1
-    out = np.zeros((n_docs, WIDE), np.uint64)
+    out = np.zeros((n_docs, WIDE + len(M)), np.uint64)
     if not len(words):
         return out
     doc, hashes = words.docs(), words.hashes()
@@ -339,16 +343,22 @@ def wide_fingerprints(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     for k in range(WIDE):
         votes = textkit.bit_votes(textkit.mix64(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))), first, weight)
         out[:, k] = textkit.pack_bits(votes * 2 > total[:, None])
+    some = np.flatnonzero(np.diff(first))
+    for k in range(SEATS):
+        least = np.minimum.reduceat(textkit.mix64(hashes ^ np.uint64((k + 1) * 0xD6E8FEB86659FD93 % (1 << 64))), first[some])
+        out[some, WIDE + k // 8] |= (least & np.uint64(255)) << np.uint64(8 * (k % 8))
     return out
 
 
 def wide_keys(wide: np.ndarray, lead: np.ndarray) -> np.ndarray:
-    """(n, pairs) keys of wide fingerprints: the codewords of every two segments."""
+    """(n, pairs) keys of wide fingerprints: the codewords of every two segments, and one of the bytes of least hashes."""
+    least = np.ascontiguousarray(wide[:, WIDE:]).view(np.uint8).reshape(len(wide), -1)[:, :SEATS].astype(np.int64)
+    wide = wide[:, :WIDE]
     bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8), axis=1, bitorder="little")[:, : SEATS * 23]
     segs = bits.reshape(len(wide), SEATS, 23).astype(np.int64) @ (1 << np.arange(23))
     code = np.stack([(x ^ lead[syndromes(x)]) >> 11 for x in segs.T], 1)
     a, b = np.triu_indices(SEATS, 1)
-    return (np.arange(len(a)) << 24) | code[:, a] << 12 | code[:, b]
+    return (np.arange(len(a)) << 32) | code[:, a] << 20 | code[:, b] << 8 | least[:, (a + b) % SEATS]
 
 
 def wide_column(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -360,27 +370,31 @@ def wide_column(docs: DataFrame, keep: list[str]) -> DataFrame:
     def run(batches):
         for batch in batches:
             buf, offs = textkit.text_buffers(batch.column("__text"))
-            got = [np.zeros((0, WIDE), np.uint64)] + [wide_fingerprints(b, o) for _, _, b, o in textkit.blocks(buf, offs)]
+            got = [np.zeros((0, WIDE + len(M)), np.uint64)] + [wide_fingerprints(b, o) for _, _, b, o in textkit.blocks(buf, offs)]
             wide = np.concatenate(got).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(wide[:, k].copy()) for k in range(WIDE)], [*names, *W])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(wide[:, k].copy()) for k in range(WIDE + len(M))], [*names, *W, *M])
 
-    return source.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{w} long" for w in W]))
+    return source.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{w} long" for w in W + M]))
 
 
 def _verified(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of vertices whose wide fingerprints are within WIDE_RADIUS."""
-    side = lambda p: vertices.select(F.col("v").alias(p), *[F.col(w).alias(f"{p}{w}") for w in W])
+    """Those of the pairs (a, b) of vertices whose wide fingerprints are within WIDE_RADIUS and FIRST_RADIUS."""
     counted = shared.materialize(pairs.distinct())
     hot = shared.hot_keys(counted.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "b", "n")
-    both = shared.salted(counted, side("b"), "b", hot).join(side("a"), "a")
-    apart = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in W), F.lit(0))
-    return both.where(apart <= WIDE_RADIUS).select("a", "b")
+    side = lambda p, words: vertices.select(F.col("v").alias(p), *[F.col(w).alias(f"{p}{w}") for w in words])
+    apart = lambda words: sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in words), F.lit(0))
+    # The first word alone first: of unrelated pairs few go on to the other seven.
+    near = shared.salted(counted, side("b", W[:1]), "b", hot).join(side("a", W[:1]), "a").where(apart(W[:1]) <= FIRST_RADIUS).select("a", "b")
+    both = shared.salted(near, side("b", W), "b", hot).join(side("a", W), "a")
+    return both.where(apart(W) <= WIDE_RADIUS).select("a", "b")
 
 
 def wide_classes(vertices: DataFrame) -> DataFrame:
-    """(v, root) of all vertices (v, w0, w1, ...): connected classes of wide fingerprints within WIDE_RADIUS.
+    """(v, root) of all vertices (v, w0, w1, ..., m0, ...): connected classes of wide fingerprints within WIDE_RADIUS.
 
-    Two copies share a key when two of their segments decode to the same codewords.  In the bucket of a key all
+    Two copies share a key when two of their segments decode to the same codewords and the least hash of their words
+    under one order agrees, as it does with the share of words that both have; of unrelated texts one pair in 256 of
+    those that share codewords does.  In the bucket of a key all
     meet its least vertex first, so a bucket of many copies gives one pair a member; then one vertex of each
     class found meets those of the other classes of the bucket, so unrelated vertices do not hide each other.
     """
@@ -388,25 +402,28 @@ def wide_classes(vertices: DataFrame) -> DataFrame:
         lead, _ = golay_tables()
         for batch in batches:
             v = batch.column("v").to_numpy(zero_copy_only=False)
-            wide = np.stack([batch.column(w).to_numpy(zero_copy_only=False) for w in W], 1)
-            for lo in range(0, len(v), 2048):
-                keys = wide_keys(wide[lo : lo + 2048], lead)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(v[lo : lo + 2048], keys.shape[1]))], ["key", "v"])
+            wide = np.stack([batch.column(w).to_numpy(zero_copy_only=False) for w in W + M], 1)
+            # Pair by pair of segments, by rising v: rows that follow each other differ in few bytes, so they are shuffled compressed.
+            order = np.argsort(v)
+            v, wide = v[order], wide[order]
+            for lo in range(0, len(v), 4096):
+                keys = wide_keys(wide[lo : lo + 4096], lead)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.T.reshape(-1)), pa.array(np.tile(v[lo : lo + 4096], keys.shape[1]))], ["key", "v"])
 
     def keyed(rows: DataFrame) -> DataFrame:
-        return rows.select("v", *W).mapInArrow(emit, "key long, v long")
+        return rows.select("v", *W, *M).mapInArrow(emit, "key long, v long")
 
     # Which keys are hot is told by a part of the vertices; it decides how rows are spread, not what is found.
     part = keyed(vertices.where(F.pmod(F.xxhash64("v"), F.lit(64)) == 0)).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     hot = shared.hot_keys(part, "key", "n")
     keys = keyed(vertices.repartition("v")) if hot else keyed(vertices.repartition("v")).repartition("key")
-    leads = keys.groupBy("key").agg(F.min("v").alias("lead"), F.max("v").alias("last")).where("lead < last").select("key", "lead")
+    leads = keys.groupBy("key").agg(F.min("v").alias("lead"), F.count(F.lit(1)).alias("many")).where("many > 1")
     buckets = shared.materialize(shared.salted(keys, leads, "key", hot))
     edges = shared.materialize(_verified(buckets.where("v <> lead").select(F.col("v").alias("a"), F.col("lead").alias("b")), vertices))
     found = shared.materialize(components(edges).where("v <> root"))
-    placed = buckets.join(found, "v", "left").select("key", F.coalesce("root", "v").alias("root"), "v")
+    # In a bucket of two, or of two classes, the pair has been met already.
+    placed = buckets.where("many > 2").join(found, "v", "left").select("key", F.coalesce("root", "v").alias("root"), "v")
     one = shared.materialize(placed.groupBy("key", "root").agg(F.min("v").alias("v")))
-    # With two classes in a bucket the pair has been met already.
     several = one.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("key")
     left = shared.materialize(one.join(several, "key", "left_semi"))
     if not left.isEmpty():
@@ -427,24 +444,17 @@ def filter_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     docs, restore = shared.shield(docs)
     fps = shared.materialize(wide_column(docs, ["doc_id"]))
-    vertices = shared.materialize(fps.groupBy(*W).agg(F.count(F.lit(1)).alias("n_docs")).withColumn("v", F.monotonically_increasing_id()))
+    vertices = shared.materialize(fps.groupBy(*W, *M).agg(F.count(F.lit(1)).alias("n_docs")).withColumn("v", F.monotonically_increasing_id()))
     placed = shared.materialize(vertices.join(wide_classes(vertices), "v"))
     sizes = shared.materialize(placed.groupBy("root").agg(F.sum("n_docs").alias("size"), F.count(F.lit(1)).alias("n")).where("size > 1"))
     crowded = shared.salted(placed, sizes.select("root"), "root", shared.hot_keys(sizes, "root", "n"))
-    crowded = shared.materialize(crowded.select(F.xxhash64(*W).alias("x"), "root", "n_docs", *[F.col(w).alias(f"_{w}") for w in W]))
+    crowded = shared.materialize(crowded.select(F.xxhash64(*W, *M).alias("x"), "root", "n_docs", *[F.col(w).alias(f"_{w}") for w in W + M]))
     same = F.lit(True)
-    for w in W:
+    for w in W + M:
         same = same & (F.col(w) == F.col(f"_{w}"))
-    rows = shared.salted(fps.withColumn("x", F.xxhash64(*W)), crowded.drop("n_docs"), "x", shared.hot_keys(crowded, "x", "n_docs")).where(same)
+    rows = shared.salted(fps.withColumn("x", F.xxhash64(*W, *M)), crowded.drop("n_docs"), "x", shared.hot_keys(crowded, "x", "n_docs")).where(same)
     rows = shared.materialize(rows.groupBy("root", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")))
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("best"))
     judged = shared.salted(rows, best, "root", shared.hot_keys(sizes, "root", "size"))
-    judged = shared.materialize(judged.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "n", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h"))).alias("stays")))
-    marked = docs.withColumn("__hash", F.xxhash64("text"))
-    row = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h"))
-    left = marked.join(judged.where("NOT stays").select("__id", "__h"), row, "left_anti")
-    twins = judged.where("stays AND n > 1").select("__id", "__h")
-    if not twins.isEmpty():
-        one = exact.one_of(left.join(twins, row, "left_semi"), ["doc_id", "__hash"])
-        left = left.join(twins, row, "left_anti").unionByName(one)
-    return left.select(*restore)
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h"))
+    return exact.settle(docs, judged.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "n", stays.alias("stays"))).select(*restore)
