@@ -311,24 +311,24 @@ def joined(fps: DataFrame, by_fp: DataFrame) -> DataFrame:
 
 # --- the stage: wide fingerprints ----------------------------------------------------------------
 
-#: A wide fingerprint is WIDE words of 64 bits; SEATS segments of 23 of its bits are coded.
-WIDE, SEATS = 8, 20
+#: A wide fingerprint is WIDE words of 64 bits.
+WIDE = 8
 #: Differing bits up to which two wide fingerprints are copies of each other (README: measured distances).
 WIDE_RADIUS = 96
-#: And of the first 64 bits: twice its share, which one copy in 20 000 at the radius exceeds.
-FIRST_RADIUS = 24
 W = [f"w{k}" for k in range(WIDE)]
-#: Beside them, a byte of the least hash of the words under each of SEATS orders, in whole words of 64 bits: part of the keys.
-M = [f"m{k}" for k in range(-(-SEATS // 8))]
+#: Fingerprints of a tile, and rows of a tile compared at a time.
+TILE, STRIP = 4096, 16
+#: Tiles of a partition: the first while that gives at most PARTS partitions, and never more than the second (75 MB).
+TILES, PARTS = (4, 256), 64
 #: Weight of a word by how often a text has it: four times the square root.
 _WEIGHT = np.minimum(15, np.round(4 * np.sqrt(np.arange(32)))).astype(np.int64)
 
 
 def wide_fingerprints(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """(n_docs, WIDE + len(M)) uint64 of a block: SimHash of the distinct words, and bytes of their least hashes."""
+    """(n_docs, WIDE) uint64 of a block: SimHash of the distinct words."""
     words = textkit.Words(buf, offs)
     n_docs = len(offs) - 1
-    out = np.zeros((n_docs, WIDE + len(M)), np.uint64)
+    out = np.zeros((n_docs, WIDE), np.uint64)
     if not len(words):
         return out
     doc, hashes = words.docs(), words.hashes()
@@ -343,24 +343,9 @@ def wide_fingerprints(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     for k in range(WIDE):
         votes = textkit.bit_votes(textkit.mix64(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))), first, weight)
         out[:, k] = textkit.pack_bits(votes * 2 > total[:, None])
-    some = np.flatnonzero(np.diff(first))
-    for k in range(SEATS):
-        least = np.minimum.reduceat(textkit.mix64(hashes ^ np.uint64((k + 1) * 0xD6E8FEB86659FD93 % (1 << 64))), first[some])
-        out[some, WIDE + k // 8] |= (least & np.uint64(255)) << np.uint64(8 * (k % 8))
     return out
 
 
-def wide_keys(wide: np.ndarray, lead: np.ndarray) -> np.ndarray:
-    """(n, pairs) keys of wide fingerprints: the codewords of every two segments, and one of the bytes of least hashes."""
-    least = np.ascontiguousarray(wide[:, WIDE:]).view(np.uint8).reshape(len(wide), -1)[:, :SEATS].astype(np.int64)
-    wide = wide[:, :WIDE]
-    bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8), axis=1, bitorder="little")[:, : SEATS * 23]
-    segs = bits.reshape(len(wide), SEATS, 23).astype(np.int64) @ (1 << np.arange(23))
-    code = np.stack([(x ^ lead[syndromes(x)]) >> 11 for x in segs.T], 1)
-    a, b = np.triu_indices(SEATS, 1)
-    return (np.arange(len(a)) << 32) | code[:, a] << 20 | code[:, b] << 8 | least[:, (a + b) % SEATS]
-
-
 def wide_column(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns, h (a hash of the text) and the wide fingerprint w0, w1, ..."""
     source = docs.select(*keep, F.xxhash64("text").alias("h"), F.col("text").alias("__text"))
@@ -370,67 +355,109 @@ def wide_column(docs: DataFrame, keep: list[str]) -> DataFrame:
     def run(batches):
         for batch in batches:
             buf, offs = textkit.text_buffers(batch.column("__text"))
-            got = [np.zeros((0, WIDE + len(M)), np.uint64)] + [wide_fingerprints(b, o) for _, _, b, o in textkit.blocks(buf, offs)]
+            got = [np.zeros((0, WIDE), np.uint64)] + [wide_fingerprints(b, o) for _, _, b, o in textkit.blocks(buf, offs)]
             wide = np.concatenate(got).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(wide[:, k].copy()) for k in range(WIDE + len(M))], [*names, *W, *M])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(wide[:, k].copy()) for k in range(WIDE)], [*names, *W])
+
+    return source.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{w} long" for w in W]))
+
 
-    return source.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{w} long" for w in W + M]))
+def _tiles(batches, size: int):
+    """Rows (tile, v, wide, own) of up to ``size`` vertices each, as bytes; own: the classes within the tile.
+
+    A tile is named by its first vertex.
+    """
+    def tile(rows):
+        own = np.arange(len(rows))
+        wide = np.ascontiguousarray(rows[:, 1:]).view(np.uint64)
+        _connect(wide, wide, own, True)
+        return pa.RecordBatch.from_arrays([pa.array(rows[:1, 0]), *(pa.array([x.tobytes()]) for x in (rows[:, 0], wide, own))], ["tile", "v", "wide", "own"])
+
+    held = np.zeros((0, 1 + WIDE), np.int64)
+    for batch in batches:
+        held = np.concatenate([held, np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ["v", *W]], 1)])
+        while len(held) >= size:
+            yield tile(held[:size])
+            held = held[size:]
+    if len(held):
+        yield tile(held)
 
 
-def _verified(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of vertices whose wide fingerprints are within WIDE_RADIUS and FIRST_RADIUS."""
-    counted = shared.materialize(pairs.distinct())
-    hot = shared.hot_keys(counted.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "b", "n")
-    side = lambda p, words: vertices.select(F.col("v").alias(p), *[F.col(w).alias(f"{p}{w}") for w in words])
-    apart = lambda words: sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in words), F.lit(0))
-    # The first word alone first: of unrelated pairs few go on to the other seven.
-    near = shared.salted(counted, side("b", W[:1]), "b", hot).join(side("a", W[:1]), "a").where(apart(W[:1]) <= FIRST_RADIUS).select("a", "b")
-    both = shared.salted(near, side("b", W), "b", hot).join(side("a", W), "a")
-    return both.where(apart(W) <= WIDE_RADIUS).select("a", "b")
+def _fold(wide: np.ndarray) -> np.ndarray:
+    """Half the bits, each the XOR of two: no pair is further apart so than it was."""
+    return wide[:, : WIDE // 2] ^ wide[:, WIDE // 2 :]
+
+
+def _connect(left: np.ndarray, right: np.ndarray, label: np.ndarray, same: bool) -> np.ndarray:
+    """Merges the classes of vertices at most WIDE_RADIUS bits apart, by strips of rows of ``left``; both may be the ``same`` tile.
+
+    ``label``, of the rows of left and then of right, is changed in place; the (2, n) labels that were joined are returned.
+    Pairs of one class need no second look.  The count of the folded bits is kept in a byte: where it overflows it is too
+    small, and the pair is told by all its bits.
+    """
+    ours, theirs = _fold(left), np.ascontiguousarray(_fold(right).T)
+    room, bits, total, close = (np.empty(STRIP * len(right), t) for t in (np.uint64, np.uint8, np.uint8, bool))
+    shift, merged = 0 if same else len(left), [np.zeros((2, 0), np.int64)]
+    for lo in range(0, len(left), STRIP):
+        rows, start = ours[lo : lo + STRIP], lo if same else 0
+        m = len(right) - start
+        x, n, far, ok = (a[: len(rows) * m].reshape(len(rows), m) for a in (room, bits, total, close))
+        far[:] = 0
+        for k in range(len(theirs)):
+            np.bitwise_xor(rows[:, k : k + 1], theirs[k, start:], out=x)
+            np.bitwise_count(x, out=n)
+            np.add(far, n, out=far)
+        np.less_equal(far, WIDE_RADIUS, out=ok)
+        i, j = np.divmod(np.flatnonzero(ok), m)
+        i, j = i + lo, j + start
+        open_ = label[i] != label[j + shift]
+        i, j = i[open_], j[open_]
+        hit = np.bitwise_count(left[i] ^ right[j]).sum(1, dtype=np.int64) <= WIDE_RADIUS
+        i, j = i[hit], j[hit]
+        if not len(i):
+            continue
+        first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+        for at, js in zip(i[first].tolist(), np.split(j, first[1:])):
+            met = np.unique(np.append(label[js + shift], label[at]))
+            if len(met) > 1:
+                label[label == met[1] if len(met) == 2 else np.isin(label, met)] = met[0]
+                merged.append(np.stack([met[1:], np.full(len(met) - 1, met[0])]))
+    return np.concatenate(merged, axis=1)
+
+
+def _tile_edges(batches):
+    """Edges (a, b) that connect what the near pairs of two tiles connect: fewer than the tiles have vertices."""
+    for batch in batches:
+        for name, v, wide, own, other, other_v, other_wide, other_own in zip(*(c.to_pylist() for c in batch.columns)):
+            own = np.frombuffer(own, np.int64)
+            if name == other:
+                ids = np.frombuffer(v, np.int64)
+                at = np.flatnonzero(own != np.arange(len(own)))
+                edges = np.stack([at, own[at]])
+            else:
+                ids = np.frombuffer(v + other_v, np.int64)
+                label = np.concatenate([own, np.frombuffer(other_own, np.int64) + len(own)])
+                edges = _connect(*(np.frombuffer(b, np.uint64).reshape(-1, WIDE) for b in (wide, other_wide)), label, False)
+            if edges.size:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[edges[0]]), pa.array(ids[edges[1]])], ["a", "b"])
 
 
 def wide_classes(vertices: DataFrame) -> DataFrame:
-    """(v, root) of all vertices (v, w0, w1, ..., m0, ...): connected classes of wide fingerprints within WIDE_RADIUS.
+    """(v, root) of all vertices (v, w0, w1, ...): connected classes of wide fingerprints within WIDE_RADIUS.
 
-    Two copies share a key when two of their segments decode to the same codewords and the least hash of their words
-    under one order agrees, as it does with the share of words that both have; of unrelated texts one pair in 256 of
-    those that share codewords does.  In the bucket of a key all
-    meet its least vertex first, so a bucket of many copies gives one pair a member; then one vertex of each
-    class found meets those of the other classes of the bucket, so unrelated vertices do not hide each other.
+    Every pair is compared, so no link is left out.  Complete keys would not be selective: 96 of 512 bits is so wide that segments
+    short enough to be looked up within their share of the errors agree for many unrelated pairs (README).  Vertices are
+    packed into tiles, every two tiles meet in one task (a Cartesian product of stored partitions, which shuffles nothing), and
+    a task hands on a forest of what it connects, so a dense family gives no more edges than tiles have vertices.
+    The work grows with the square of distinct fingerprints; README has figures.
     """
-    def emit(batches):
-        lead, _ = golay_tables()
-        for batch in batches:
-            v = batch.column("v").to_numpy(zero_copy_only=False)
-            wide = np.stack([batch.column(w).to_numpy(zero_copy_only=False) for w in W + M], 1)
-            # Pair by pair of segments, by rising v: rows that follow each other differ in few bytes, so they are shuffled compressed.
-            order = np.argsort(v)
-            v, wide = v[order], wide[order]
-            for lo in range(0, len(v), 4096):
-                keys = wide_keys(wide[lo : lo + 4096], lead)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.T.reshape(-1)), pa.array(np.tile(v[lo : lo + 4096], keys.shape[1]))], ["key", "v"])
-
-    def keyed(rows: DataFrame) -> DataFrame:
-        return rows.select("v", *W, *M).mapInArrow(emit, "key long, v long")
-
-    # Which keys are hot is told by a part of the vertices; it decides how rows are spread, not what is found.
-    part = keyed(vertices.where(F.pmod(F.xxhash64("v"), F.lit(64)) == 0)).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    hot = shared.hot_keys(part, "key", "n")
-    keys = keyed(vertices.repartition("v")) if hot else keyed(vertices.repartition("v")).repartition("key")
-    leads = keys.groupBy("key").agg(F.min("v").alias("lead"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    buckets = shared.materialize(shared.salted(keys, leads, "key", hot))
-    edges = shared.materialize(_verified(buckets.where("v <> lead").select(F.col("v").alias("a"), F.col("lead").alias("b")), vertices))
-    found = shared.materialize(components(edges).where("v <> root"))
-    # In a bucket of two, or of two classes, the pair has been met already.
-    placed = buckets.where("many > 2").join(found, "v", "left").select("key", F.coalesce("root", "v").alias("root"), "v")
-    one = shared.materialize(placed.groupBy("key", "root").agg(F.min("v").alias("v")))
-    several = one.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("key")
-    left = shared.materialize(one.join(several, "key", "left_semi"))
-    if not left.isEmpty():
-        pairs = left.select("key", F.col("v").alias("b")).join(left.select("key", F.col("v").alias("a")), "key").where("b < a").select("a", "b")
-        more = shared.materialize(_verified(pairs, vertices))
-        if not more.isEmpty():
-            found = shared.materialize(components(edges.unionByName(more)).where("v <> root"))
+    n, size = vertices.count(), TILE
+    few, many = (-(-n // (tiles * size)) for tiles in TILES)
+    parts = max(1, min(few, PARTS), many)
+    tiles = shared.materialize(vertices.select("v", *W).repartition(parts, "v").mapInArrow(lambda it: _tiles(it, size), "tile long, v binary, wide binary, own binary"))
+    other = tiles.select(*[F.col(c).alias(f"other_{c}") for c in tiles.columns])
+    met = tiles.hint("shuffle_replicate_nl").join(other, F.col("tile") <= F.col("other_tile"))
+    found = shared.materialize(components(met.mapInArrow(_tile_edges, "a long, b long")).where("v <> root"))
     return vertices.select("v").join(found, "v", "left").select("v", F.coalesce("root", "v").alias("root"))
 
 
@@ -438,21 +465,21 @@ def filter_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Pipeline stage: of every class of near copies the document with the smallest id stays, with its columns.
 
     Near copies are found by wide fingerprints (512 bits, from single words, so that words changed at random places
-    move few bits), coded and joined like the 64-bit ones.  Null and empty texts are one class.  Null ids come
+    move few bits), of which every two are compared.  Null and empty texts are one class.  Null ids come
     last; of several rows with the smallest id in a class the one with the least hash of its text, then of its
     columns, stays.  Rows of different classes never stand for each other, whatever their ids.
     """
     docs, restore = shared.shield(docs)
     fps = shared.materialize(wide_column(docs, ["doc_id"]))
-    vertices = shared.materialize(fps.groupBy(*W, *M).agg(F.count(F.lit(1)).alias("n_docs")).withColumn("v", F.monotonically_increasing_id()))
+    vertices = shared.materialize(fps.groupBy(*W).agg(F.count(F.lit(1)).alias("n_docs")).withColumn("v", F.monotonically_increasing_id()))
     placed = shared.materialize(vertices.join(wide_classes(vertices), "v"))
     sizes = shared.materialize(placed.groupBy("root").agg(F.sum("n_docs").alias("size"), F.count(F.lit(1)).alias("n")).where("size > 1"))
     crowded = shared.salted(placed, sizes.select("root"), "root", shared.hot_keys(sizes, "root", "n"))
-    crowded = shared.materialize(crowded.select(F.xxhash64(*W, *M).alias("x"), "root", "n_docs", *[F.col(w).alias(f"_{w}") for w in W + M]))
+    crowded = shared.materialize(crowded.select(F.xxhash64(*W).alias("x"), "root", "n_docs", *[F.col(w).alias(f"_{w}") for w in W]))
     same = F.lit(True)
-    for w in W + M:
+    for w in W:
         same = same & (F.col(w) == F.col(f"_{w}"))
-    rows = shared.salted(fps.withColumn("x", F.xxhash64(*W, *M)), crowded.drop("n_docs"), "x", shared.hot_keys(crowded, "x", "n_docs")).where(same)
+    rows = shared.salted(fps.withColumn("x", F.xxhash64(*W)), crowded.drop("n_docs"), "x", shared.hot_keys(crowded, "x", "n_docs")).where(same)
     rows = shared.materialize(rows.groupBy("root", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")))
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("best"))
     judged = shared.salted(rows, best, "root", shared.hot_keys(sizes, "root", "size"))

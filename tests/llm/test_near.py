@@ -181,6 +181,51 @@ def test_stage_recall(spark):
     assert sum(i >= 2000 for i in kept) <= 2
 
 
+def spread(rng, wide, n, bits=range(512)):
+    """The fingerprint with ``n`` of its bits changed."""
+    for b in rng.sample(list(bits), n):
+        wide ^= 1 << b
+    return wide
+
+
+@pytest.mark.parametrize("tile", [4096, 7])
+def test_wide_classes_lose_no_link(spark, monkeypatch, tile):
+    """Pairs at the very radius, spread over all bits, in one word or in half of them; one bit more is no link; a chain; a dense family."""
+    monkeypatch.setattr(golay, "TILE", tile, raising=False)
+    rng = random.Random(31)
+    prints = []
+    for n, bits in [(96, range(512)), (97, range(512))] * 12 + [(64, range(64)), (30, range(64)), (96, range(256)), (97, range(256)), (96, range(256, 512))]:
+        prints += [x := rng.getrandbits(512), spread(rng, x, n, bits)]
+    for _ in range(12):
+        prints.append(spread(rng, prints[-1], 90))
+    family = rng.getrandbits(512)
+    prints += [spread(rng, family, 40) for _ in range(40)] + [family ^ ((1 << 512) - 1)]
+    rng.shuffle(prints)
+    root = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 96 and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    words = [[(x >> 64 * k & (1 << 64) - 1) - (x >> 64 * k + 63 & 1) * (1 << 64) for k in range(8)] for x in prints]
+    names = ["v", *[f"w{k}" for k in range(8)], "m0", "m1", "m2"]
+    vertices = spark.createDataFrame([(v, *w, 0, 0, 0) for v, w in enumerate(words)], ", ".join(f"{c} long" for c in names))
+    assert {(r.v, r.root) for r in golay.wide_classes(vertices).collect()} == set(enumerate(root))
+
+
+def test_stage_joins_heavily_edited_copies_as_all_pairs_do(spark):
+    """Copies near the radius, with some 15 % of their words changed."""
+    rng = random.Random(32)
+    texts = []
+    for _ in range(60):
+        words = prose(rng, rng.randint(60, 160))
+        texts += [" ".join(words), edited(rng, words, len(words) * 15 // 100)]
+    root = brute_classes(texts)
+    assert len(set(root)) < 100
+    kept = {r.doc_id for r in golay.filter_neardup(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "").collect()}
+    assert kept == set(root)
+
+
 def test_filter_keeps_unrelated_rows_with_null_or_repeated_ids(spark, tmp_path):
     rng = random.Random(8)
     texts = [" ".join(rng.choice(FIXTURE_WORDS) + rng.choice("abcdefgh") for _ in range(80)) for _ in range(12)]
