@@ -166,22 +166,24 @@ def _keys(column) -> np.ndarray:
 def digests(docs: DataFrame, keep: list[str], folded: bool = False, only: shared.Sieve | None = None) -> DataFrame:
     """``keep`` columns, the SHA-256 of the folded text, its length in bytes; with ``folded`` also those bytes.
 
-    ``only``: a sieve of digests; what it stops is left out.
+    ``only``: a sieve of digests; what it stops is left out.  A batch is worked off by blocks, so its texts are not held several times.
     """
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["digest binary", "n_bytes long"] + ["folded binary"] * folded)
 
     def run(batches):
         for batch in batches:
-            # bytes.lower() changes A-Z only
-            texts = [(x or b"").lower() for x in batch.column("__bytes").to_pylist()]
-            digest = pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary())
-            columns = [batch.column(c) for c in keep] + [digest, pa.array([len(x) for x in texts], pa.int64())]
-            columns += [pa.array(texts, pa.binary())] * folded
-            out = pa.RecordBatch.from_arrays(columns, [*keep, "digest", "n_bytes", *["folded"] * folded])
-            yield out if only is None else out.filter(pa.array(only.passes(_keys(digest))))
-
-    return docs.select(*keep, F.col("text").cast("binary").alias("__bytes")).mapInArrow(run, schema)
+            for lo, hi, _, _ in textkit.blocks(*textkit.text_buffers(batch.column("__bytes"))):
+                part = batch.slice(lo, hi - lo)
+                # bytes.lower() changes A-Z only
+                texts = [(x or b"").lower() for x in part.column("__bytes").to_pylist()]
+                digest = pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary())
+                columns = [part.column(c) for c in keep] + [digest, pa.array([len(x) for x in texts], pa.int64())]
+                columns += [pa.array(texts, pa.binary())] * folded
+                out = pa.RecordBatch.from_arrays(columns, [*keep, "digest", "n_bytes", *["folded"] * folded])
+                yield out if only is None else out.filter(pa.array(only.passes(_keys(digest))))
+
+    return shared.in_arrow(docs.select(*keep, F.col("text").cast("binary").alias("__bytes")), run, schema)
 
 
 def _sieve(groups: DataFrame) -> shared.Sieve:

@@ -260,8 +260,12 @@ def components(edges: DataFrame) -> DataFrame:
     the logarithm of the longest chain).  Hot vertices are met by partial minima, not by collecting
     neighbours: each round is a grouped minimum and a join that spreads the edges of very large stars.
     """
-    now = edges.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long")
-    now = shared.materialize(now)
+    return _stars(edges.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long"))
+
+
+def _stars(forest: DataFrame) -> DataFrame:
+    """The classes of edges (a, b) that tasks have shrunk to forests already."""
+    now = shared.materialize(forest)
     if now.isEmpty():
         return now.select(F.col("a").alias("v"), F.col("b").alias("root"))
     while True:
@@ -359,7 +363,7 @@ def wide_column(docs: DataFrame, keep: list[str]) -> DataFrame:
             wide = np.concatenate(got).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(wide[:, k].copy()) for k in range(WIDE)], [*names, *W])
 
-    return source.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{w} long" for w in W]))
+    return shared.in_arrow(source, run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{w} long" for w in W]))
 
 
 def _tiles(batches, size: int):
@@ -428,16 +432,18 @@ def _connect(left: np.ndarray, right: np.ndarray, label: np.ndarray, same: bool)
 def _tile_edges(batches):
     """Edges (a, b) that connect what the near pairs of two tiles connect: fewer than the tiles have vertices."""
     for batch in batches:
-        for name, v, wide, own, other, other_v, other_wide, other_own in zip(*(c.to_pylist() for c in batch.columns)):
-            own = np.frombuffer(own, np.int64)
-            if name == other:
-                ids = np.frombuffer(v, np.int64)
+        for row in range(batch.num_rows):
+            # Views: a batch may hold a hundred pairs of tiles.
+            view = lambda c, kind=np.int64: np.frombuffer(batch.column(c)[row].as_buffer(), kind)  # noqa: B023, E731
+            own = view("own")
+            if batch.column("tile")[row] == batch.column("other_tile")[row]:
+                ids = view("v")
                 at = np.flatnonzero(own != np.arange(len(own)))
                 edges = np.stack([at, own[at]])
             else:
-                ids = np.frombuffer(v + other_v, np.int64)
-                label = np.concatenate([own, np.frombuffer(other_own, np.int64) + len(own)])
-                edges = _connect(*(np.frombuffer(b, np.uint64).reshape(-1, WIDE) for b in (wide, other_wide)), label, False)
+                ids = np.concatenate([view("v"), view("other_v")])
+                label = np.concatenate([own, view("other_own") + len(own)])
+                edges = _connect(*(view(c, np.uint64).reshape(-1, WIDE) for c in ("wide", "other_wide")), label, False)
             if edges.size:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[edges[0]]), pa.array(ids[edges[1]])], ["a", "b"])
 
@@ -454,10 +460,12 @@ def wide_classes(vertices: DataFrame) -> DataFrame:
     n, size = vertices.count(), TILE
     few, many = (-(-n // (tiles * size)) for tiles in TILES)
     parts = max(1, min(few, PARTS), many)
-    tiles = shared.materialize(vertices.select("v", *W).repartition(parts, "v").mapInArrow(lambda it: _tiles(it, size), "tile long, v binary, wide binary, own binary"))
+    tiles = shared.materialize(shared.in_arrow(vertices.select("v", *W).repartition(parts, "v"), lambda it: _tiles(it, size), "tile long, v binary, wide binary, own binary"))
     other = tiles.select(*[F.col(c).alias(f"other_{c}") for c in tiles.columns])
     met = tiles.hint("shuffle_replicate_nl").join(other, F.col("tile") <= F.col("other_tile"))
-    found = shared.materialize(components(met.mapInArrow(_tile_edges, "a long, b long")).where("v <> root"))
+    # One Python function per task: with two in a row an executor keeps twice as many workers.
+    forest = shared.in_arrow(met, lambda it: _forest(_tile_edges(it)), "a long, b long")
+    found = shared.materialize(_stars(forest).where("v <> root"))
     return vertices.select("v").join(found, "v", "left").select("v", F.coalesce("root", "v").alias("root"))
 
 

@@ -78,7 +78,7 @@ def fit_domains(docs: DataFrame, labelled_ids: DataFrame, domains: list[str], do
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(bucket, pa.int32()), pa.array(seen[at, bucket])], ["d", "bucket", "n"])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(domains)), pa.int32()), pa.array(np.full(len(domains), -1), pa.int32()), pa.array(n)], ["d", "bucket", "n"])
 
-    table = rows.mapInArrow(count, "d int, bucket int, n long").groupBy("d", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    table = shared.in_arrow(rows, count, "d int, bucket int, n long").groupBy("d", "bucket").agg(F.sum("n").alias("n")).toArrow()
     seen, prior = np.full((len(domains), 1 << BITS), 0.5), np.ones(len(domains))
     d, bucket, n = (table.column(c).to_numpy() for c in ("d", "bucket", "n"))
     words = bucket >= 0
@@ -136,7 +136,7 @@ def posteriors(docs: DataFrame, model, domains: int, keep: list[str], rate=None)
 
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["tokens long", "p array<double>"] + ["rate double", "copies int"] * (rate is not None))
     source = docs.select(*keep) if text in keep else docs.select(*keep, F.col("text").alias(text))
-    return source.mapInArrow(run, schema)
+    return shared.in_arrow(source, run, schema)
 
 
 def replay(p: np.ndarray, multipliers: np.ndarray, least: float) -> np.ndarray:

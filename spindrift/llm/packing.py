@@ -41,7 +41,7 @@ def lengths(docs: DataFrame, keep: list[str]) -> DataFrame:
             n = [np.zeros(0, np.int64)] + [textkit.Words(b, o, fold=False).counts for _, _, b, o in textkit.blocks(buf, offs)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(np.concatenate(n).astype(np.int64))], [*keep, "n_tokens"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["n_tokens long"]))
+    return shared.in_arrow(docs.select(*keep, F.col("text").alias("__text")), run, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["n_tokens long"]))
 
 
 def boundaries(top: np.ndarray, count: np.ndarray, tokens: np.ndarray, n_buckets: int) -> list[int]:

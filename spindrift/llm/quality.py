@@ -178,7 +178,7 @@ def train(docs: DataFrame, labelled: DataFrame, label: str, per_class: int = PER
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("y").slice(lo, hi - lo), lists], ["doc_id", "y", "ids"])
 
     # The sample has at most 2 * per_class rows, so its broadcast is bounded.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(features, "doc_id long, y int, ids array<int>")
+    rows = shared.in_arrow(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), features, "doc_id long, y int, ids array<int>")
     table = rows.toArrow()
     order = np.lexsort((np.array([len(x) for x in table.column("ids")], dtype=np.int64), table.column("doc_id").to_numpy())) if table.num_rows else np.zeros(0, np.int64)
     ids = table.column("doc_id").to_numpy()[order]
@@ -206,7 +206,7 @@ def score(docs: DataFrame, model, keep: list[str], threshold: float = 0.5) -> Da
             )
 
     source = docs.select(*keep) if text in keep else docs.select(*keep, F.col("text").alias(text))
-    return source.mapInArrow(run, f"{fields}, score double, predicted int")
+    return shared.in_arrow(source, run, f"{fields}, score double, predicted int")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

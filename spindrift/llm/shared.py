@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,29 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def hand_back() -> None:
+    """Gives the system the memory that the allocators of this process hold and do not use."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not glibc
+        pass
+
+
+def in_arrow(rows: DataFrame, run, schema: str) -> DataFrame:
+    """``rows.mapInArrow(run, schema)``; a task that ends hands back its memory.
+
+    Workers wait beside the executor's heap for further tasks, each with what its largest task took, unless it is handed back.
+    """
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            hand_back()
+
+    return rows.mapInArrow(lean, schema)
+
+
 def bounded_sample(rows: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
     """At most ``per_class`` rows of each of the labels 0 and 1, those with the lowest hash of the key; one row per key (the lower label)."""
     rows = rows.groupBy(key).agg(F.min(label).alias(label))

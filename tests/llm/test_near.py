@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 import xxhash
 
-from spindrift.llm import golay
+from spindrift.llm import golay, shared
 
 FIXTURE_WORDS = "of the and to in is that for on with as by this be are from or at it was".split()
 
@@ -213,6 +213,22 @@ def test_wide_classes_lose_no_link(spark, monkeypatch, tile):
     assert {(r.v, r.root) for r in golay.wide_classes(vertices).collect()} == set(enumerate(root))
 
 
+def test_tasks_run_one_python_function_each(spark, monkeypatch):
+    """Two in a row would keep twice as many Python workers on an executor."""
+    plans, materialize = [], shared.materialize
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df)
+
+    monkeypatch.setattr(shared, "materialize", noted)
+    monkeypatch.setattr(golay, "TILE", 7)
+    vertices = spark.range(40).selectExpr("id AS v", *[f"xxhash64(id DIV 2, {k}) AS w{k}" for k in range(8)])
+    assert {(r.v, r.root) for r in golay.wide_classes(vertices).collect()} == {(i, i - i % 2) for i in range(40)}
+    assert any("CartesianProduct" in p for p in plans)
+    assert [p for p in plans if p.count("MapInArrow") > 1] == []
+
+
 def test_stage_joins_heavily_edited_copies_as_all_pairs_do(spark):
     """Copies near the radius, with some 15 % of their words changed."""
     rng = random.Random(32)

@@ -1,5 +1,9 @@
 import random
+import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -64,3 +68,40 @@ def test_run_and_empty(spark, folder, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+WORKER = """
+import re, sys
+sys.path.insert(0, {root!r})
+import pyarrow as pa
+from pyspark.sql import SparkSession, functions as F
+from spindrift.llm import exact
+
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.python.worker.reuse", "true").getOrCreate()
+
+def held(batches):
+    list(batches)
+    own = sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read())))
+    most = int(re.search(r"VmHWM:\\s+(\\d+)", open("/proc/self/status").read()).group(1))
+    yield pa.RecordBatch.from_arrays([pa.array([own // 1024]), pa.array([most // 1024])], ["own", "most"])
+
+def now():
+    return tuple(spark.range(0, 1, 1, 1).mapInArrow(held, "own long, most long").first())
+
+first = now()
+docs = spark.range(0, 10000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 64).alias("text"))
+for _ in range(2):
+    exact.digests(docs, ["doc_id"], True).write.format("noop").mode("overwrite").save()
+    print("MB", *first, *now())
+"""
+
+
+def test_worker_hands_its_memory_back():
+    """A batch of 41 MB of texts: little stays with a worker that waits for its next task, and a task holds less than three copies."""
+    root = str(Path(__file__).resolve().parents[2])
+    said = subprocess.run([sys.executable, "-c", WORKER.format(root=root)], capture_output=True, text=True, timeout=300, check=True).stdout
+    for line in re.findall(r"^MB (.*)$", said, re.M):
+        own, most, own_after, most_after = map(int, line.split())
+        assert own_after - own < 40, line
+        assert most_after - most < 3 * 41, line
+    assert "MB" in said
