@@ -26,3 +26,12 @@ def test_references_are_read_in_one_pass(spark, folder):
     rows = program_catalog.program_references(spark, folder)
     assert plan(rows).count("MapInArrow") == 1 and "Join" not in plan(rows).split("MapInArrow")[0]
     assert rows.count() == len(program.REFERENCES[:1]) + sum(n for t, *_ in program.REFERENCES for n in [{"nation": 3, "customer": 40, "test": 4, "ts": 2, "go": 3, "java": 3, "rb": 2}.get(t, 0)])
+
+
+def test_files_are_spread_over_tasks_by_their_number(spark, folder, monkeypatch):
+    """Before, files of a table in one row group were read in one task."""
+    monkeypatch.setattr(extract, "FILES", 5)
+    parts = program.files(spark, folder).rdd.glom().map(len).collect()
+    assert len(parts) == 10 and sum(parts) == 58 and max(parts) < 20
+    assert plan(program_catalog.program_symbols(spark, folder)).count("MapInArrow") == 1
+    assert program_catalog.program_symbols(spark, folder).count() == 4 + 3 * 5 + 40 * 3 + 4 + 2 * 3 + 3 * 3 + 3 * 4 + 2 * 3
