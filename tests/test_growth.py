@@ -2,8 +2,11 @@
 
 import pytest
 
-from spindrift.operators import extract
-from spindrift.plans import program, program_catalog
+from pyspark.sql import functions as F
+
+from spindrift.operators import extract, graph, lines, retrieval, runs
+from spindrift.plans import context, corpus, program, program_catalog
+from spindrift.sources import repo
 
 
 @pytest.fixture(scope="module")
@@ -35,3 +38,26 @@ def test_files_are_spread_over_tasks_by_their_number(spark, folder, monkeypatch)
     assert len(parts) == 10 and sum(parts) == 58 and max(parts) < 20
     assert plan(program_catalog.program_symbols(spark, folder)).count("MapInArrow") == 1
     assert program_catalog.program_symbols(spark, folder).count() == 4 + 3 * 5 + 40 * 3 + 4 + 2 * 3 + 3 * 3 + 3 * 4 + 2 * 3
+
+
+def test_a_query_makes_only_the_tables_that_it_reads(spark, folder):
+    """Before, every query made and stored the whole index."""
+    index = repo.build(program.files(spark, folder), program.CHUNK, program.OVERLAP)
+    assert context.find_symbol(index, "log").count() == 3 and set(index.tables.made) == {"symbols"}
+    assert context.references(index, "geo.n2.rate_2", "in").count() > 0 and set(index.tables.made) == {"symbols", "edges"}
+    assert set(index.tables) == set(repo.TABLES)
+
+
+def test_tables_from_a_files_own_row_agree_with_joins(spark, folder, monkeypatch):
+    monkeypatch.setattr(extract, "FILES", 7)
+    files = program.files(spark, folder)
+    extracted = extract.ordered(files.union(files.limit(3)))
+    symbols = extract.symbols(extracted)
+    assert [r.id for r in symbols.orderBy("file", "ord").select("id").collect()] == list(range(1, symbols.count() + 1))
+    index = repo.build(files, 10, 2)
+    want = lines.owners(index.lines.drop("owner_symbol_id"), symbols, ["file"], "line_no", "start_line", "end_line", "id").select("file", "line_no", "id")
+    assert sorted(map(str, want.collect())) == sorted(str(r).replace("owner_symbol_id", "id") for r in index.lines.select("file", "line_no", "owner_symbol_id").collect())
+    plain = lines.chunks(files, size=10, overlap=2).select("file", "start_line", "end_line", "tokens", "text", "quality_summary")
+    got = index.chunks
+    assert sorted(map(str, plain.collect())) == sorted(map(str, got.select(plain.columns).collect()))
+    assert [r.id for r in got.orderBy("file", "start_line").select("id").collect()] == list(range(1, got.count() + 1))
