@@ -61,3 +61,12 @@ def test_tables_from_a_files_own_row_agree_with_joins(spark, folder, monkeypatch
     got = index.chunks
     assert sorted(map(str, plain.collect())) == sorted(map(str, got.select(plain.columns).collect()))
     assert [r.id for r in got.orderBy("file", "start_line").select("id").collect()] == list(range(1, got.count() + 1))
+
+
+def test_search_reads_fields_from_the_postings(spark, folder):
+    """Before, the terms of five fields of every symbol were found again in each search."""
+    index = program.index(spark, folder)
+    hits = context.symbol_hits(index, program_catalog.TASK, 20)
+    assert "regexp_extract_all" not in plan(hits)
+    slow = retrieval.symbol_search(index.symbols, program_catalog.TASK, 20, post=index.symbol_terms.drop("fields"))
+    assert [(r.id, r.score) for r in hits.orderBy("rank").collect()] == [(r.id, r.score) for r in slow.orderBy("rank").collect()]
