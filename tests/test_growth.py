@@ -70,3 +70,19 @@ def test_search_reads_fields_from_the_postings(spark, folder):
     assert "regexp_extract_all" not in plan(hits)
     slow = retrieval.symbol_search(index.symbols, program_catalog.TASK, 20, post=index.symbol_terms.drop("fields"))
     assert [(r.id, r.score) for r in hits.orderBy("rank").collect()] == [(r.id, r.score) for r in slow.orderBy("rank").collect()]
+
+
+def test_exploring_does_not_move_the_edges(spark):
+    edges = spark.createDataFrame([("a", "c", "calls"), ("a", "c", "calls"), ("c", "d", "calls")], "src string, dst string, kind string")
+    got = graph.explore(edges, spark.createDataFrame([("a", 2.0)], "id string, score double"))
+    assert {r.id: r.score for r in got.collect()} == {"a": 1000, "c": 550, "d": 303}
+
+
+def test_repeated_edges_are_the_same_edges(spark, tmp_path):
+    for name, schema, rows in (
+        ("nation", "n_nationkey int, n_regionkey int", [(0, 0)]), ("customer", "c_custkey long, c_nationkey int", [(1, 0)]), ("orders", "o_orderkey long, o_custkey long", [(1, 1)]),
+        ("lineitem", "l_orderkey long, l_partkey long, l_suppkey long", [(1, 5, 2), (1, 5, 2), (1, 6, 2)]),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    once, repeated = corpus.edges(spark, str(tmp_path)), corpus.edges(spark, str(tmp_path), repeated=True)
+    assert once.count() == 7 and repeated.count() == 9 and set(once.collect()) == set(repeated.collect())
