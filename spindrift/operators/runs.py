@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.operators import retrieval
+from spindrift.operators import graph, retrieval
 
 EVENT_SCHEMA = "run_id string, seq int, t double, kind string, data map<string, string>"
 
@@ -43,11 +43,17 @@ def wins_by_layer(runs: DataFrame) -> DataFrame:
     return runs.where("resolved").groupBy("won_by").agg(F.count(F.lit(1)).alias("wins"))
 
 
-def co_changes(members: DataFrame, run: str, item: str, min_count: int = 2) -> DataFrame:
-    """(a, b, count) of items that go together in at least ``min_count`` runs, a < b; members: (run, item)."""
-    own = members.select(run, item).distinct()
-    pairs = own.select(run, F.col(item).alias("a")).join(own.select(run, F.col(item).alias("b")), run).where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= min_count)
+def co_changes(members: DataFrame, run: str, item: str, min_count: int = 2, n_rows: int | None = None) -> DataFrame:
+    """(a, b, count) of items that go together in at least ``min_count`` runs, a < b; members: (run, item).
+
+    Tasks are set by the number of members (n_rows, if it is known or bounded), so that none holds more as they grow.
+    """
+    n = graph.tasks(members.sparkSession, members.count() if n_rows is None else n_rows)
+    runs = members.select(run, item).where(F.col(run).isNotNull()).repartition(n, run).groupBy(run).agg(F.array_sort(F.collect_set(item)).alias("all"))
+    # Item by item with those after it: a run of very many is never held as all its pairs.
+    first = runs.select(F.posexplode("all").alias("at", "a"), "all")
+    pairs = first.select("a", F.explode(F.slice("all", F.col("at") + 2, F.size("all"))).alias("b"))
+    return pairs.repartition(n, "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= min_count)
 
 
 def similar(queries: DataFrame, query_key: str, query_text: str, docs: DataFrame, key: str, text: str, top: int = 3) -> DataFrame:

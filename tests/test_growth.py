@@ -86,3 +86,13 @@ def test_repeated_edges_are_the_same_edges(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
     once, repeated = corpus.edges(spark, str(tmp_path)), corpus.edges(spark, str(tmp_path), repeated=True)
     assert once.count() == 7 and repeated.count() == 9 and set(once.collect()) == set(repeated.collect())
+
+
+def test_pairs_are_counted_in_tasks_by_the_number_of_members(spark, monkeypatch):
+    """Before, the session's number of partitions held whatever came."""
+    monkeypatch.setattr(graph, "ROWS", 10)
+    rows = [(r, i) for r in range(30) for i in range(r % 4)] * 2 + [(None, 1), (None, 2), (5, None)]
+    df = spark.createDataFrame(rows, "run long, item long")
+    got = runs.co_changes(df, "run", "item")
+    assert got.rdd.getNumPartitions() == -(-len(rows) // 10)
+    assert {tuple(r) for r in got.collect()} == {(0, 1, 14), (0, 2, 7), (1, 2, 7)}
