@@ -96,3 +96,13 @@ def test_pairs_are_counted_in_tasks_by_the_number_of_members(spark, monkeypatch)
     got = runs.co_changes(df, "run", "item")
     assert got.rdd.getNumPartitions() == -(-len(rows) // 10)
     assert {tuple(r) for r in got.collect()} == {(0, 1, 14), (0, 2, 7), (1, 2, 7)}
+
+
+def test_known_words_and_scored_lines_are_bounded(spark):
+    """Before, a worker kept the terms of 500 000 words, and those of all lines of a batch at once."""
+    of = retrieval.CodeTerms()
+    for i in range(3 * retrieval.KNOWN):
+        of(f"w{i}")
+    assert len(of.known) <= retrieval.KNOWN == 50_000
+    df = spark.range(5000).select(F.lit("f").alias("file"), F.col("id").alias("line_no"), F.concat(F.lit("red box "), F.col("id").cast("string")).alias("text"))
+    assert retrieval.line_scores(df, "box of x").count() == 5000
