@@ -106,3 +106,12 @@ def test_known_words_and_scored_lines_are_bounded(spark):
     assert len(of.known) <= retrieval.KNOWN == 50_000
     df = spark.range(5000).select(F.lit("f").alias("file"), F.col("id").alias("line_no"), F.concat(F.lit("red box "), F.col("id").cast("string")).alias("text"))
     assert retrieval.line_scores(df, "box of x").count() == 5000
+
+
+def test_postings_leave_in_batches_of_bounded_size(spark, monkeypatch):
+    """Before, a batch held the terms of 1000 texts, however long."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(i % 7))) for i in range(60)], "id long, text string").coalesce(1)
+    want = sorted(map(str, retrieval.posted(docs, "id", {"text": 1}).collect()))
+    monkeypatch.setattr(retrieval, "TERMS", 5)
+    monkeypatch.setattr(retrieval, "TEXTS", 4)
+    assert sorted(map(str, retrieval.posted(docs, "id", {"text": 1}).collect())) == want
