@@ -115,3 +115,11 @@ def test_postings_leave_in_batches_of_bounded_size(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "TERMS", 5)
     monkeypatch.setattr(retrieval, "TEXTS", 4)
     assert sorted(map(str, retrieval.posted(docs, "id", {"text": 1}).collect())) == want
+
+
+def test_only_asked_terms_are_posted(spark):
+    """Before, postings of all terms were stored for a search of a few."""
+    docs = spark.createDataFrame([(1, "red box box"), (2, "blue"), (3, ""), (4, None)], "id long, text string")
+    full, some = retrieval.posted(docs, "id", {"text": 1}), retrieval.posted(docs, "id", {"text": 1}, only=frozenset(["box"]))
+    assert {(r.id, r.term, r.tf, r.dl, r.n_terms, r["head"]) for r in some.collect()} == {(1, "box", 4, 6, 2, 1), (2, None, 0, 2, 1, 1)}
+    assert retrieval.corpus_numbers(some, docs).first() == retrieval.corpus_numbers(full, docs).first()
